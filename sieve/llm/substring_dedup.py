@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sieve.llm.common import NULL_ID, WordHashes, buckets_for, mix, pack, rolling, unpack
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-FLUSH_WORDS, FLUSH_BYTES = 2_000_000, 8 << 20
+FLUSH_WORDS, FLUSH_BYTES = 600_000, 4 << 20
 _PACKED = "bucket int, kind int, data binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 WINDOWS, ANSWERS, TEXTS = 0, 1, 2
@@ -233,7 +233,7 @@ def remove_repeated_windows(df: DataFrame, *, size: int = 13, id_col: str = "doc
     word positions) and, if asked for, kept_text.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = buckets_for(docs)
+    n = buckets_for(docs, 6 << 20)
     answers = docs.mapInArrow(_hash_windows(size, n), _PACKED).repartition(n, "bucket").mapInArrow(_count(n), _PACKED)
     texts = docs.mapInArrow(_pack_texts(n), _PACKED)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", kept_text string" * with_text
