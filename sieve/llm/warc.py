@@ -4,8 +4,8 @@ Writing: a page's record is an HTTP response whose body is the payload in chunke
 payloads become revisits of the one with the smallest id.  A block longer than ``segment_bytes`` is cut into a first
 record and continuation records (WARC-Segment-Number, WARC-Segment-Origin-ID, WARC-Segment-Total-Length).
 
-Reading: records are parsed from archive bytes in their tasks.  Only segments are shuffled, by the id of their origin;
-there they are put in order, checked against the total length, and their chunked framing is decoded.
+Reading: records are parsed from archive bytes and finished in their tasks.  Segments meet by the id of their origin,
+beside the finished records, in one shuffle; there they are put in order, checked against the total length, and their chunked framing is decoded.
 
 A payload travels to its digest's task once; the digests' minima are pre-aggregated, so a payload that a third of the
 pages share is one row per task there.  Nulls: a null payload is empty, a null url is written as ``-``; null ids sort
@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,7 +225,11 @@ def read(archives: DataFrame, *, n: int | None = None, with_payload: bool = True
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, out.types, strict=True)], schema=out)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends = batch.filter(pc.is_valid(batch.column("record_type")))
+            if ends.num_rows:
+                yield pa.record_batch(ends.columns[: len(out)], schema=out)
+            segments = batch.filter(pc.is_null(batch.column("record_type")))
+            for row in zip(*(c.to_pylist() for c in segments.columns[len(out) :]), strict=True):
                 if row[0] != origin and rows:
                     yield whole()
                     rows = []
@@ -236,10 +241,9 @@ def read(archives: DataFrame, *, n: int | None = None, with_payload: bool = True
     n = n or buckets_for(archives)
     both = ", ".join([_READ, *("p_" + x for x in _PART.split(", "))])
     rows = archives.select("archive").mapInArrow(single, both)
-    names, segment = [f.name for f in out], [f.name for f in parts]
-    ends = rows.where("record_type IS NOT NULL").select(*names)
-    segments = rows.where("p_type IS NOT NULL").select(*(F.col("p_" + c).alias(c) for c in segment)).repartition(n, "origin").sortWithinPartitions("origin", "number")
-    return ends.union(segments.mapInArrow(assemble, _READ))
+    # finished records spread by page; they are a few numbers each where payloads aren't asked for
+    rows = rows.repartition(n, F.coalesce("p_origin", F.col("page_id").cast("string"))).sortWithinPartitions("p_origin", "p_number")
+    return rows.mapInArrow(assemble, _READ)
 
 
 def archived_pages(pages: DataFrame, *, least_bytes: int = 0, **options) -> DataFrame:
