@@ -157,8 +157,11 @@ def or_expression(terms: Column) -> Column:
 
 
 def url_quote(c: Column) -> Column:
-    """Percent-encoding with %20 for a space."""
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """Percent-encoding of all but letters, digits and ``-._~``."""
+    coded = F.url_encode(c)
+    for form, strict in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        coded = F.replace(coded, F.lit(form), F.lit(strict))
+    return coded
 
 
 def email(c: Column) -> Column:
