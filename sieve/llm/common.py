@@ -109,12 +109,12 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the optimizer expects the input to hold; 8 EiB-like defaults of unknown plans are cut to 1 GB."""
+    """What the optimizer expects the input to hold; 0 for plans whose size it doesn't know, such as plain RDDs."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if 0 < n < 1 << 55 else 10**9
+    return n if n < 1 << 55 else 0
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 12 << 20) -> int:
-    """Buckets so that each holds about as much whatever the size of the input."""
+    """Buckets that hold about as much each whatever the input; the shuffle partitions at least, and for unknown sizes."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-input_bytes(df) // bytes_each))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import WordHashes, buckets_for, mix, pack, rolling, staged, unpack
+from sieve.llm.common import NULL_ID, WordHashes, buckets_for, mix, pack, rolling, staged, unpack
 from sieve.llm.components import components
 
 BASE = 0xC2B2AE3D27D4EB4F
@@ -310,7 +310,7 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
     class_id is the least id with the same shingle set, component_id the least id reachable by links.  Without
     shingles both are the row's own id.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = buckets_for(docs)
     ties = staged(docs.mapInArrow(_points(words, num, den, n), _ROWS).repartition(n, "bucket").mapInArrow(_tie, "kind int, a long, b long, n long, sig binary"))
     rows = ties.where(f"kind = {DOCUMENT}").select(F.col("a").alias("doc_id"), F.col("b").alias("v"), "n", "sig")
@@ -332,4 +332,5 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
         links = links.select("sig", "a").distinct().join(roots, F.col("a") == F.col("vertex"), "left").select("sig", "a", F.coalesce("root", "a").alias("b"))
     named = classes.join(links.select("sig", F.col("b").alias("root")), "sig", "left").select("sig", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     found = rows.where("sig IS NOT NULL").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
-    return found.union(rows.where("sig IS NULL").select("doc_id", F.lit(0).cast("long"), "doc_id", "doc_id"))
+    found = found.union(rows.where("sig IS NULL").select("doc_id", F.lit(0).cast("long"), "doc_id", "doc_id"))
+    return found.select(*(F.col(c) if c == "n_shingles" else F.nullif(F.col(c), F.lit(NULL_ID)).alias(c) for c in found.columns))

@@ -50,11 +50,14 @@ def runs(texts: list[str | None], most: int = RUN) -> Iterator[tuple[int, list[s
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, n-gram, count), sorted; an n-gram is three 21-bit code points, 0 a word end, 0x1FFFFF nothing."""
-    points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + 1 for t in texts])
-    doc = np.r_[doc, np.uint64(len(texts) - 1)]
+    points = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + 2 for t in texts])
     letter = _letters()[points]
-    keep = letter | np.r_[True, letter[:-1]]
+    # what separates words counts beside a letter only, so a text's n-grams don't depend on its neighbours
+    keep = letter | np.r_[False, letter[:-1]] | np.r_[letter[1:], False]
+    if not keep.any():
+        none = np.empty(0, np.int64)
+        return none, none.astype(np.uint64), none
     points, doc = np.where(letter, points, 0)[keep], doc[keep]
     found, code = np.unique(points, return_inverse=True)
     if found[0] != 0:
