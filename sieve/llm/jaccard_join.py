@@ -7,8 +7,11 @@ of at most eps = 1 - num/den.  Regions come in three levels, none of which loses
    sizes differ by a factor of num/den at most.  Sizes between two pivots are a Voronoi cell of the size axis; a cell
    and its upper neighbour are one region, and the documents in the window of both are replicated.
 2. *Cells of the universe.*  Within a size region linked sets differ in K shingles at most.  The universe is cut by
-   hash into m > K cells, so in at least m - K of them the two projections are at distance 0: points that agree in a
-   cell are tied (each group to its pivot, never all pairs), and the tied components are closed regions.
+   hash into m > K cells, so in at least m - K of them the two projections are at distance 0.  Of its cells a point
+   with e empty ones leaves out the m - K - 1 - e that it shares with the most points: the least shared cell in which
+   a linked pair agrees is left out by neither, so passages that many documents share tie nothing together.  Points
+   that agree in a cell still kept are tied, each group to its pivot, never all pairs; the tied components are closed
+   regions.
 3. *Document pivots.*  Inside a closed region a pivot's exact distances are computed; a point is expanded only against
    the window |d(x,p) - d(y,p)| <= eps of the points not yet reached, region by region until none is left.  A region
    too large for one task is cut into Voronoi shells about a sampled pivot; shells whose windows touch are joined
@@ -29,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.llm.common import NULL_ID, WordHashes, buckets_for, mix, pack, rolling, staged, unpack
@@ -38,7 +41,7 @@ from sieve.llm.components import components
 BASE = 0xC2B2AE3D27D4EB4F
 FLUSH_KEYS = 1_000_000
 #: Shingles of the largest region that one task takes (8 bytes each).
-REGION_SHINGLES = 6_000_000
+REGION_SHINGLES = 1_500_000
 DOCUMENT, KEYS = 0, 1
 _ROWS = "bucket int, kind int, doc_id long, v long, n long, sig binary, data binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("data", pa.binary())])
@@ -71,13 +74,14 @@ def _cells(region: int, num: int, den: int) -> tuple[int, int]:
     least = _edges(num, den)
     x = least[region + 1] - 1
     k = (den - num) * (x + x * den // num) // (den + num)
-    return k, k + 1 + -(-k // 8)
+    return k, k + 1 + -(-k // 6)
 
 
-def region_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set: one for each cell of each of its size regions."""
+def region_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of a set, one for each cell of each of its size regions, the region's parity in the last bit; and how many
+    cells may be left out, by parity."""
     own = int(np.searchsorted(np.array(_edges(num, den)), len(s), side="right")) - 1
-    mixed, out = mix(s), []
+    mixed, out, spare = mix(s), [], [0, 0]
     for region in (own - 1, own):
         if region < 0:
             continue
@@ -88,20 +92,23 @@ def region_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         seed = np.uint64((region * 0x9E3779B97F4A7C15 + 1) % (1 << 64))
         sums = np.add.reduceat(mixed, first)
-        out.append(mix(sums ^ mix(cell[first] * np.uint64(0xD6E8FEB86659FD93) + seed)))
+        keys = [mix(sums ^ mix(cell[first] * np.uint64(0xD6E8FEB86659FD93) + seed))]
+        spare[region & 1] = max(0, len(first) - k - 1)
         if m - len(first) >= m - k:  # the cells that agree may all be empty ones
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), cell[first], assume_unique=True)
-            out.append(mix(mix(empty * np.uint64(0xD6E8FEB86659FD93) + seed)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            keys.append(mix(mix(empty * np.uint64(0xD6E8FEB86659FD93) + seed)))
+        out += [key & ~np.uint64(1) | np.uint64(region & 1) for key in keys]
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), spare
 
 
 def _points(words: int, num: int, den: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, owners, held, seen = WordHashes(), [], [], 0, set()
+        hashes, keys, owners, spares, held, seen = WordHashes(), [], [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             key = np.concatenate(keys)
             owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+            spare = np.repeat(np.array(spares, np.uint16).reshape(-1, 2), [len(k) for k in keys], axis=0)
             bucket = ((key >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -110,7 +117,7 @@ def _points(words: int, num: int, den: int, n_buckets: int):
                 at = order[edge[b] : edge[b + 1]]
                 own = owner[at]
                 first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                out.append((int(b), KEYS, None, None, None, None, pack(key=key[at], v=own[first], n=np.diff(np.r_[first, len(at)]).astype(np.uint32))))
+                out.append((int(b), KEYS, None, None, None, None, pack(key=key[at], v=own[first], n=np.diff(np.r_[first, len(at)]).astype(np.uint32), even=spare[at[first], 0], odd=spare[at[first], 1])))
             for i in range(0, len(out), 64):
                 yield _batch(_SCHEMA, out[i : i + 64])
 
@@ -125,50 +132,62 @@ def _points(words: int, num: int, den: int, n_buckets: int):
                     sig = xxhash.xxh3_128_digest(s.tobytes())
                     v = int.from_bytes(sig[:8], "little", signed=True)
                     out.append((xxhash.xxh32_intdigest(str(doc_id)) % n_buckets, DOCUMENT, doc_id, v, len(s), sig, None))
-                    if sig not in seen and len(k := region_keys(s, num, den)):
+                    if sig in seen:
+                        continue
+                    k, spare = region_keys(s, num, den)
+                    if len(k):
                         seen.add(sig)
                         keys.append(k)
                         owners.append(v)
+                        spares.append([min(x, 65535) for x in spare])
                         held += len(k)
                 yield _batch(_SCHEMA, out)
                 if held >= FLUSH_KEYS:
                     yield from flush()
-                    keys, owners, held, seen = [], [], 0, set()
+                    keys, owners, spares, held, seen = [], [], [], 0, set()
         if keys:
             yield from flush()
 
     return run
 
 
-_TIES = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+_TIES = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("spare", pa.int32())])
 
 
-def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as they are; ties from the pivot (least point) of each group of a cell to its other points."""
-    keys, owners = [], []
+def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as they are; (key, point, points of the key, cells the point may leave out) of keys that points share."""
+    keys, owners, spares = [], [], []
     for batch in batches:
         kind = batch.column(1).to_numpy()
         docs = batch.filter(pa.array(kind == DOCUMENT))
         if docs.num_rows:
-            yield pa.record_batch([docs.column(i) for i in (1, 2, 3, 4, 5)], schema=_TIES)
+            yield pa.record_batch([*(docs.column(i) for i in (1, 2, 3, 4, 5)), pa.nulls(docs.num_rows, pa.int32())], schema=_TIES)
         for data in batch.column(6).drop_null().to_pylist():
-            key, v, n = unpack(data)
+            key, v, n, even, odd = unpack(data)
             keys.append(key)
             owners.append(np.repeat(v, n))
+            spares.append(np.where(key & np.uint64(1), np.repeat(odd, n), np.repeat(even, n)))
     if not keys:
         return
     key, v = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(key)
-    key, v = key[order], v[order]
+    order = np.lexsort((v, key))
+    key, v, spare = key[order], v[order], np.concatenate(spares)[order]
+    once = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
+    key, v, spare = key[once], v[once], spare[once]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
-    least = np.repeat(np.minimum.reduceat(v, first), size)
-    tied = v != least
-    pairs = np.unique(np.stack([least[tied], v[tied]], 1), axis=0)
-    for i in range(0, len(pairs), 10_000):
-        part = pairs[i : i + 10_000]
-        none = pa.nulls(len(part))
-        yield pa.record_batch([pa.array(np.full(len(part), KEYS, np.int32)), pa.array(part[:, 0]), pa.array(part[:, 1]), none.cast(pa.int64()), none.cast(pa.binary())], schema=_TIES)
+    size = np.repeat(size, size)
+    for at in np.array_split(np.flatnonzero(size > 1), max(1, int((size > 1).sum()) // 10_000)):
+        yield pa.record_batch([pa.array(np.full(len(at), KEYS, np.int32)), pa.array(key[at].view(np.int64)), pa.array(v[at]), pa.array(size[at].astype(np.int64)), pa.nulls(len(at), pa.binary()), pa.array(spare[at].astype(np.int32))], schema=_TIES)
+
+
+def _ties(shared: DataFrame) -> DataFrame:
+    """(a, b): pivot and other points of each key, once every point has left out its most shared cells."""
+    rows = shared.select(F.col("a").alias("key"), F.col("b").alias("v"), "n", "spare")
+    rank = F.row_number().over(Window.partitionBy("v", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("n"), "key"))
+    kept = rows.withColumn("rank", rank).where("rank > spare").select("key", "v")
+    pivots = kept.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("most")).where("a < most").select("key", "a")
+    return kept.join(pivots, "key").where("v <> a").select("a", F.col("v").alias("b")).distinct()
 
 
 def _sets(words: int, wanted: np.ndarray):
@@ -312,10 +331,10 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
     """
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = buckets_for(docs)
-    ties = staged(docs.mapInArrow(_points(words, num, den, n), _ROWS).repartition(n, "bucket").mapInArrow(_tie, "kind int, a long, b long, n long, sig binary"))
+    ties = staged(docs.mapInArrow(_points(words, num, den, n), _ROWS).repartition(n, "bucket").mapInArrow(_share, "kind int, a long, b long, n long, sig binary, spare int"))
     rows = ties.where(f"kind = {DOCUMENT}").select(F.col("a").alias("doc_id"), F.col("b").alias("v"), "n", "sig")
     classes = staged(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("v").alias("v"), F.first("n").alias("n")))
-    tied = components(ties.where(f"kind = {KEYS}").select("a", "b"), "a", "b")
+    tied = components(_ties(ties.where(f"kind = {KEYS}")), "a", "b")
     wanted = staged(classes.join(tied.select(F.col("vertex").alias("v"), F.col("root").alias("region")), "v").select("region", "sig", F.col("class_id").alias("doc_id"), "n"))
     sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23)).alias("at")).mapInArrow(_sets(words, _bitmap(wanted)), "doc_id long, sig binary, shingles binary")
     sets = wanted.join(sets, (wanted.sig == sets.sig) & wanted.doc_id.eqNullSafe(sets.doc_id)).select("region", wanted.sig, wanted.doc_id, "shingles", "n")
