@@ -80,3 +80,20 @@ def all_sent(results: list[Sent]) -> bool:
 def missing_settings(settings: dict[str, str], needed: list[str]) -> list[str]:
     """Names of needed settings that are blank: what keeps a provider from being ready."""
     return [n for n in needed if not (settings.get(n) or "").strip()]
+
+
+def digest_text(rows: list[dict], *, week: str, trend: str, greeting: str, sign_off: str, source_failed: bool = False) -> str:
+    """The message: rows (group, company, title, place, why, url), already in order, numbered on across groups."""
+    if not rows:
+        return "\n".join([greeting, "", f"No new roles matched the criteria for the week of {week}.", "", sign_off])
+    out, group = [greeting, "", f"Roles for the week of {week}.", trend, ""], None
+    for n, r in enumerate(rows, 1):
+        if r["group"] != group:
+            group = r["group"]
+            out.append(group)
+        out.append(f"{n}. {r['company']} - {r['title']}")
+        out += [f"   {label}: {r[key]}" for label, key in (("Location", "place"), ("Why it is interesting", "why"), ("Apply", "url")) if r[key]]
+        out.append("")
+    if source_failed:
+        out += ["Note: some sources failed this run; the others were used.", ""]
+    return "\n".join([*out, sign_off])
