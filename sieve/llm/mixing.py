@@ -93,6 +93,7 @@ def mix_sources(df: DataFrame, *, share: float = SHARE, most_epochs: float = MOS
     return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(taken > 0, position).alias("position"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
 
 
-def in_training_order(mixed: DataFrame, partitions: int) -> DataFrame:
-    """Documents range-sorted by training position, those that are not taken left out."""
-    return mixed.where("position IS NOT NULL").repartitionByRange(partitions, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+def in_training_order(mixed: DataFrame, partitions: int, *, untaken: bool = False) -> DataFrame:
+    """Documents range-sorted by training position; those that are not taken left out, or last if ``untaken``."""
+    order = F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()
+    return (mixed if untaken else mixed.where("position IS NOT NULL")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)

@@ -238,6 +238,39 @@ def test_mixing(spark):
     assert mixing.mix_sources(spark.createDataFrame([], DDL)).count() == 0
 
 
+def inverted(ordinal, u):
+    """The time at which a source's weight, integrated from 0, reaches u of its integral over all of training."""
+    a, b = mixing.SCHEDULE[ordinal % len(mixing.SCHEDULE)]
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        t = (low + high) / 2
+        low, high = (t, high) if (a * t + (b - a) * t * t / 2) / ((a + b) / 2) < u else (low, t)
+    return low
+
+
+def places(rows):
+    """{doc_id: words of its source before it} by brute force."""
+    out, at = {}, Counter()
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for r in sorted(rows, key=lambda r: md5(f"{'' if r[0] is None else r[0]}/{md5(r[1] or '')}")):
+        out[r[0]] = at[r[3]]
+        at[r[3]] += len(words(r[1]))
+    return out
+
+
+def test_mixing_follows_the_schedule(spark, sf):
+    docs = [tuple(r) for r in queries.documents(spark, sf).select("doc_id", "text", "lang", "source").collect()]
+    ordinal = {s: k for k, s in enumerate(sorted({r[3] for r in docs}))}
+    source, start = {r[0]: r[3] for r in docs}, places(docs)
+    found = queries.op4_mixing(spark, sf).collect()
+    assert len(found) == len(docs) and any(r.taken == 0 for r in found) and any(r.taken for r in found)
+    for r in found:
+        assert (r.position is None) == (r.taken == 0)
+        assert r.position is None or abs(r.position - inverted(ordinal[source[r.doc_id]], start[r.doc_id] / r.target)) < 1e-9
+    order = [(r.position is None, r.position or 0) for r in found]
+    assert order == sorted(order) and len({r.position for r in found}) > 0.5 * len(found)
+
+
 def test_language_id(spark, sf):
     docs = queries.documents(spark, sf)
     found = queries.op6_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()
