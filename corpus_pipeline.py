@@ -39,11 +39,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in order of training; one taken twice comes twice, one taken in part stays whole."""
-    mixed = mixing.mix_sources(docs, keep=COLUMNS[1:])
-    times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    again = mixed.where("taken > 0").withColumn("time", F.explode(F.sequence(F.lit(1), times)))
-    return mixing.in_training_order(again, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(*COLUMNS)
+    """Documents in order of training; one read twice comes twice, at a place each, one taken in part stays whole."""
+    reads = mixing.mixed_reads(docs, keep=COLUMNS[1:])
+    return mixing.in_training_order(reads, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every source has a weight schedule over training time 0..1, here a line from ``start`` to ``end`` times its share.  Its
 integral is the source's cumulative demand; inverting it at a document's place in its source gives the document's
-training position, and documents are range-sorted by position.
+training position, and documents are range-sorted by position.  A document read more than once has a place, and so a
+position, for every read: the i-th time through, all of its source has gone before it i times.
 
 Targets are a water level: each source gets ``weight * level`` words, capped at ``most_epochs`` times its size, the
 level such that the targets make up ``share`` of all words.  Within a source documents follow a hash of id and text;
@@ -56,12 +57,11 @@ def targets(sizes: DataFrame, *, share: float = SHARE, most_epochs: float = MOST
     return rows.select("source", "source_size", "weight", "ordinal", F.coalesce(F.least(cap, level * F.col("weight")), cap).alias("target"))
 
 
-def mix_sources(df: DataFrame, *, share: float = SHARE, most_epochs: float = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, schedule: tuple[tuple[float, float], ...] = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position) of every row, and the columns of ``keep``.
+def _mixed(df: DataFrame, *, share: float = SHARE, most_epochs: float = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, schedule: tuple[tuple[float, float], ...] = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, _reads) of every row, and the columns of ``keep`` as _keep_ and their names.
 
-    position is where in training (0..1) the document is first read; null for documents that are not taken.
+    _reads has one (read, words, position) for each time the document is read, in order.
     """
-    size = size_of("_text") if "size" not in keep else None
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), F.col(source_col).cast("string").alias("source"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     spread = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("_text", F.lit("")))))
     rows = rows.select("doc_id", "source", size_of("_text").alias("size"), spread.alias("spread"), *(f"_keep_{c}" for c in keep))
@@ -83,17 +83,43 @@ def mix_sources(df: DataFrame, *, share: float = SHARE, most_epochs: float = MOS
         left = F.floor("target") - F.col("source_size") * i - start
         return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
 
-    taken = epoch(0)
-    for i in range(1, -int(-most_epochs // 1)):
-        taken = taken + epoch(i)
-    # demand(t) = (a t + (b - a) t^2 / 2) / ((a + b) / 2), inverted at the document's share of the target
+    # demand(t) = (a t + (b - a) t^2 / 2) / ((a + b) / 2), inverted at the read's share of the target
     a, b = (F.element_at(F.array(*(F.lit(float(s[k])) for s in schedule)), (F.col("ordinal") % len(schedule) + 1).cast("int")) for k in (0, 1))
-    u = F.least(F.lit(1.0), start / F.col("target"))
-    position = F.when(a == b, u).otherwise((F.sqrt(a * a + (b * b - a * a) * u) - a) / (b - a))
-    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(taken > 0, position).alias("position"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
+
+    def read(i: int) -> Column:
+        u = F.least(F.lit(1.0), (start + F.col("source_size") * i) / F.col("target"))
+        position = F.when(a == b, u).otherwise((F.sqrt(a * a + (b * b - a * a) * u) - a) / (b - a))
+        return F.when(epoch(i) > 0, F.struct(F.lit(i).alias("read"), epoch(i).cast("long").alias("words"), position.alias("position")))
+
+    epochs = range(max(1, -int(-most_epochs // 1)))
+    taken = sum((epoch(i) for i in epochs[1:]), epoch(0))
+    reads = F.array_compact(F.array(*(read(i) for i in epochs)))
+    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), reads.alias("_reads"), *(f"_keep_{c}" for c in keep))
+
+
+def _kept(keep: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"_keep_{c}").alias(c) for c in keep]
+
+
+def mix_sources(df: DataFrame, *, keep: tuple[str, ...] = (), every_position: bool = False, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, position) of every row, and the columns of ``keep``.
+
+    position is where in training (0..1) the document is first read; null for documents that are not taken.
+    ``every_position`` adds positions, those of all its reads.
+    """
+    every = [F.col("_reads.position").alias("positions")] * every_position
+    return _mixed(df, keep=keep, **options).select("doc_id", "size", "source_size", "target", "taken", F.expr("try_element_at(_reads, 1).position").alias("position"), *every, *_kept(keep))
+
+
+def mixed_reads(df: DataFrame, *, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """(doc_id, size, source_size, target, read, words, position) of every time a row is read, and the columns of ``keep``.
+
+    read counts from 0; words are those taken in this read, less than size where the target ends inside the document.
+    """
+    return _mixed(df, keep=keep, **options).withColumn("_read", F.explode("_reads")).select("doc_id", "size", "source_size", "target", "_read.read", "_read.words", "_read.position", *_kept(keep))
 
 
 def in_training_order(mixed: DataFrame, partitions: int, *, untaken: bool = False) -> DataFrame:
-    """Documents range-sorted by training position; those that are not taken left out, or last if ``untaken``."""
+    """Documents or reads range-sorted by training position; those that are not taken left out, or last if ``untaken``."""
     order = F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()
     return (mixed if untaken else mixed.where("position IS NOT NULL")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)

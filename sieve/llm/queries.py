@@ -36,7 +36,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.in_training_order(mixing.mix_sources(documents(spark, sf_dir)), int(spark.conf.get("spark.sql.shuffle.partitions")), untaken=True)
+    return mixing.in_training_order(mixing.mix_sources(documents(spark, sf_dir), every_position=True), int(spark.conf.get("spark.sql.shuffle.partitions")), untaken=True)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

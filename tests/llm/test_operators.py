@@ -271,6 +271,31 @@ def test_mixing_follows_the_schedule(spark, sf):
     assert order == sorted(order) and len({r.position for r in found}) > 0.5 * len(found)
 
 
+def test_every_read_has_its_own_position(spark, sf):
+    import corpus_pipeline
+
+    df = queries.documents(spark, sf)
+    docs = [tuple(r) for r in df.select("doc_id", "text", "lang", "source").collect()]
+    ordinal = {s: k for k, s in enumerate(sorted({r[3] for r in docs}))}
+    source, start = {r[0]: r[3] for r in docs}, places(docs)
+    found, reads = queries.op4_mixing(spark, sf).collect(), mixing.mixed_reads(df).collect()
+    by = defaultdict(list)
+    for r in sorted(reads, key=lambda r: r.read):
+        by[r.doc_id].append(r)
+    for r in found:
+        mine = by[r.doc_id]
+        assert [x.read for x in mine] == list(range(len(mine))) and sum(x.words for x in mine) == r.taken
+        assert [x.position for x in mine] == r.positions and r.positions[:1] == [r.position][: len(mine)]
+        for x in mine:
+            u = (start[r.doc_id] + x.read * r.source_size) / r.target
+            assert abs(x.position - inverted(ordinal[source[r.doc_id]], u)) < 1e-9
+    # the second time through a source comes after the first, not beside it
+    first, second = ({s: [x.position for x in reads if x.read == k and source[x.doc_id] == s] for s in ordinal} for k in (0, 1))
+    assert any(second.values()) and all(min(second[s]) >= max(first[s]) for s in ordinal if second[s])
+    order = [r.doc_id for r in corpus_pipeline.mix_to_weights(spark, df, sf).collect()]
+    assert order == [r.doc_id for r in sorted(reads, key=lambda r: (r.position, r.doc_id))]
+
+
 def test_language_id(spark, sf):
     docs = queries.documents(spark, sf)
     found = queries.op6_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()
