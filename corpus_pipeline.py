@@ -24,10 +24,16 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of five-word shingles at a similarity of 0.8."""
-    found = jaccard_join.jaccard_components(docs, words=5, num=80, den=100)
-    kept = found.where("component_id <=> doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.expr("doc_id <=> kept_id")).select(*COLUMNS)
+    """Keeps one row of each component of five-word shingles at a similarity of 0.8: the one with the smallest id.
+
+    Rows are told apart by a number of their own, staged so that it stays the same: of repeated rows one stays, and rows
+    with a null id, which come last, are rows like any other.  Rows without a word are alone in their components.
+    """
+    rows = staged(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()))
+    found = jaccard_join.jaccard_components(rows, words=5, num=80, den=100, id_col="row_id").select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col("row_id").alias("row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_id").alias("place"))
+    kept = found.join(ids, "row").groupBy("component_id").agg(F.min("place")["row_id"].alias("row_id"))
+    return rows.join(kept.select("row_id"), "row_id").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -420,6 +420,17 @@ def test_empty_tables(spark):
     assert matroska.features(matroska.store(none)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, sf):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcd"]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (None, texts[0] + " z"), (None, texts[1]), (None, texts[1]), (None, texts[1] + " z"), (None, texts[2]), (9, texts[3]), (4, texts[3]), (4, texts[1] + " y")]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_near_duplicates(spark, df, sf)
+    assert tuple(found.columns) == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter([(1, texts[0]), (4, texts[1] + " y"), (None, texts[2]), (4, texts[3])])
+
+
 def test_pipeline_against_brute_force(spark, sf):
     import corpus_pipeline
 
