@@ -10,7 +10,7 @@ beside the finished records, in one shuffle; there they are put in order, checke
 A payload travels to its digest's task once; the digests' minima are pre-aggregated, so a payload that a third of the
 pages share is one row per task there.  Nulls: a null payload is empty, a null url is written as ``-``; null ids sort
 last, are written empty and come back null.  Rows with the smallest id of their payload are all responses, repeated
-rows too.  Damaged input: a record cut short, missing or repeated segments, a wrong total or broken framing give
+rows too; record ids hold a number of the row's own, so the segments of rows that share an id, or have none, stay apart.  Damaged input: a record cut short, missing or repeated segments, a wrong total or broken framing give
 ``complete`` false and whatever bytes there are; repeated equal segments count once.
 """
 
@@ -73,15 +73,19 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, '/'.join(map(str, parts)))}>"
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """Records of one page."""
-    own = record_id("page", "" if page_id is None else page_id, 0)
+def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, row: int | None = None, refers_row: int | None = None) -> Iterator[bytes]:
+    """Records of one page; ``row`` tells rows apart that share an id, ``refers_row`` is that of the page referred to."""
+
+    def named(page: int | None, at: int | None, i: int) -> str:
+        return record_id("page", "" if page is None else page, i, *([] if at is None else [at]))
+
+    own = named(page_id, row, 0)
     common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", (url or "-").replace("\r", "%0D").replace("\n", "%0A")), ("X-Page-Id", "" if page_id is None else str(page_id))]
     digest = ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload))
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, digest, profile, ("WARC-Refers-To", record_id("page", refers_to, 0)), ("X-Refers-To-Page", str(refers_to)), kind], _HTTP)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, digest, profile, ("WARC-Refers-To", named(refers_to, refers_row, 0)), ("X-Refers-To-Page", str(refers_to)), kind], _HTTP)
         return
     block = _HTTP + chunked(payload)
     if len(block) <= segment_bytes:
@@ -95,7 +99,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
             yield record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, digest, segment, kind], part)
         else:
             total = [("WARC-Segment-Total-Length", str(len(block)))] * (i == last - 1)
-            yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id("page", page_id, i)), *common, ("WARC-Segment-Origin-ID", own), segment, *total], part)
+            yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", named(page_id, row, i)), *common, ("WARC-Segment-Origin-ID", own), segment, *total], part)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
@@ -117,23 +121,27 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
 
 
 def with_originals(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to): the page that each later page with an equal payload of ``least_bytes`` repeats."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("d"), "first")
-    later = F.when(F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull()), F.col("first"))
-    return rows.join(first, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= least_bytes), "left").select("page_id", "url", "payload", later.alias("refers_to"))
+    """(page_id, url, payload, refers_to, row, refers_row): the page that each later page with an equal payload of
+    ``least_bytes`` repeats.  row is a number of each row's own, refers_row that of one row of the page referred to."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"), F.monotonically_increasing_id().alias("row"))
+    # staged, as the number must be the same wherever a row is read again
+    rows = staged(rows).withColumn("digest", F.sha1("payload"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("least")
+    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(least, F.count("*").alias("n")).where("n > 1 AND least IS NOT NULL").select(F.col("digest").alias("d"), F.col("least.page_id").alias("first"), F.col("least.row").alias("first_row"))
+    later = F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull())
+    both = rows.join(first, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= least_bytes), "left")
+    return both.select("page_id", "url", "payload", F.when(later, F.col("first")).alias("refers_to"), "row", F.when(later, F.col("first_row")).alias("refers_row"))
 
 
 def write(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive) of about ``archive_bytes`` each from (page_id, url, payload, refers_to)."""
+    """(archive) of about ``archive_bytes`` each from (page_id, url, payload, refers_to, row, refers_row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 for row in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
-                    for r in page_records(*row, segment_bytes):
+                    for r in page_records(*row[:4], segment_bytes, *row[4:]):
                         held.append(r)
                         size += len(r)
                     if size >= archive_bytes:
@@ -142,7 +150,7 @@ def write(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, archive_bytes
         if held:
             yield pa.record_batch([pa.array([b"".join(held)])], names=["archive"])
 
-    return pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive binary")
+    return pages.select("page_id", "url", "payload", "refers_to", "row", "refers_row").mapInArrow(run, "archive binary")
 
 
 _PART = "origin string, number int, total long, page_id long, url string, type string, refers_to long, digest string, whole boolean, block binary"

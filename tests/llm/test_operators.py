@@ -337,6 +337,17 @@ def test_warc(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
 
 
+def test_warc_segments_of_rows_that_share_an_id(spark):
+    long = [k * 100_000 for k in "abc"]
+    rows = [(7, "u", long[0]), (7, "u", long[0]), (8, "u", long[1]), (8, "u", long[2]), (None, "u", long[1] + "x"), (None, "u", long[2] + "y"), (9, "u", long[0])]
+    found = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    expected = Counter((i, len(t), warc.base32_sha1(t.encode()), 7 if i == 9 else None, True) for i, _, t in rows)
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.refers_to, r.complete) for r in found) == expected
+    heads = [h for a in warc.write(warc.with_originals(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect() for h, _, _ in warc.parse(bytes(a.archive))]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids)) and {h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit"} <= set(ids)
+
+
 def test_warc_damage(spark):
     parts = list(warc.page_records(1, "u", b"p" * 50_000, None, 8_000))
     assert len(parts) > 5
