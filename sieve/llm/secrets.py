@@ -3,7 +3,10 @@
 The rules are three patterns.  The models are first-order Markov chains over characters, one trained on samples
 labelled random (1), one on samples labelled ordinary (0); a token's score is the mean log-likelihood ratio of its
 transitions.  Tokens are runs of key characters not next to a letter or digit; those that score ``least_score`` and
-overlap no rule span become spans of kind ``markov``.  Positions are code points, ends exclusive.
+overlap no rule span become spans of kind ``markov``.  A token that scores less, say a key behind a readable prefix, is
+searched for runs: the sum of ratios grows from 0 to its highest and ends where it is back at 0 or DROP below that.  A
+run, widened to the ``= / _ -`` about it, is a span if it is TOKEN_LEAST long and it or its run scores ``least_score``.
+Positions are code points, ends exclusive.
 
 Nulls: a null text is an empty one, without spans; null ids and repeated rows come back as they are.
 """
@@ -23,6 +26,9 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 TOKEN = r"(?<![\p{L}\p{N}])[A-Za-z0-9+/_=-]{16,}(?![\p{L}\p{N}])"
 LEAST_SCORE = 0.75
+TOKEN_LEAST = 16
+# How far a run's sum may fall before it ends, and its least transitions.
+DROP, RUN_LEAST = 10.0, 11
 
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -113,15 +119,36 @@ def _renamed(sql: str, name: str) -> str:
     return sql.replace(f"{name}[i - 1]", f"w.{name}[i - 1]").replace(f"size({name})", f"size(w.{name})")
 
 
-def _score(ratios: tuple[float, ...], alphabet: str, token: str) -> str:
-    """SQL for the mean log-likelihood ratio of a token's transitions."""
+def _steps(ratios: tuple[float, ...], alphabet: str, token: str) -> str:
+    """SQL for the log-likelihood ratios of a token's transitions."""
     code = [alphabet.find(chr(i)) for i in range(128)]
     codes = f"cast(split('{','.join(map(str, code))}', ',') as array<int>)"
     table = f"cast(split('{','.join(f'{x:.4f}' for x in ratios)}', ',') as array<double>)"
     k = len(alphabet)
     chars = f"transform(split({token}, ''), c -> {codes}[ascii(c)])"
-    steps = f"transform(array({chars}), c -> zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> {table}[a * {k} + b]))[0]"
-    return f"aggregate({steps}, 0D, (s, x) -> s + x) / (length({token}) - 1)"
+    return f"transform(array({chars}), c -> zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> {table}[a * {k} + b]))[0]"
+
+
+def _mean(steps: str, first: str = "0", n: str | None = None) -> str:
+    """SQL for the mean of ``n`` steps from ``first`` on; of all without ``n``."""
+    part = steps if n is None else f"slice({steps}, cast({first} as int) + 1, cast({n} as int))"
+    return f"(aggregate({part}, 0D, (s, x) -> s + x) / size({part}))"
+
+
+def _runs(token: str, steps: str, least_score: float) -> str:
+    """SQL for the (a, b) of a token's runs that are spans, from its first character to beyond its last."""
+    closed = f"if(s.top > 0 AND s.b - s.a >= {RUN_LEAST}, concat(s.out, array(named_struct('a', s.a, 'b', s.b))), s.out)"
+    fresh = "'sum', 0D, 'top', 0D, 'a', s.i + 1, 'b', s.i + 1"
+    runs = f"""aggregate({steps}, named_struct('i', 0, 'sum', 0D, 'top', 0D, 'a', 0, 'b', 0, 'out', cast(array() as array<struct<a:int,b:int>>)),
+        (s, x) -> CASE WHEN s.sum + x <= 0 OR s.sum + x < s.top - {DROP} THEN named_struct('i', s.i + 1, {fresh}, 'out', {closed})
+            WHEN s.sum + x > s.top THEN named_struct('i', s.i + 1, 'sum', s.sum + x, 'top', s.sum + x, 'a', s.a, 'b', s.i + 1, 'out', s.out)
+            ELSE named_struct('i', s.i + 1, 'sum', s.sum + x, 'top', s.top, 'a', s.a, 'b', s.b, 'out', s.out) END,
+        s -> {closed})"""
+    left = f"length(regexp_replace(substring({token}, 1, r.a), '[^=/_-]+$', ''))"
+    right = f"r.b + 1 + length(regexp_extract(substring({token}, r.b + 2), '^[^=/_-]*', 0))"
+    wide = f"transform({runs}, r -> named_struct('a', {left}, 'b', {right}, 'score', {_mean(steps, 'r.a', 'r.b - r.a')}, 'long', r.b - r.a + 1))"
+    good = f"(w.long >= {TOKEN_LEAST} AND w.score >= {least_score} OR {_mean(steps, 'w.a', 'w.b - w.a - 1')} >= {least_score})"
+    return f"array_distinct(transform(filter({wide}, w -> w.b - w.a >= {TOKEN_LEAST} AND {good}), w -> named_struct('a', w.a, 'b', w.b)))"
 
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, least_score: float = LEAST_SCORE, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -133,9 +160,11 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sampl
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     base = rows.select(*rows.columns, F.expr(f"array_sort(concat({_found(ASSIGN, 0, ASSIGN_LEAST)}, {_found(ACCESS, 1)}, {_found(HEX, 2)}))").alias("base"), F.expr(_found(TOKEN, 3)).alias("tokens"))
     token = "substring(text, cast(t.start as int) + 1, cast(t.end - t.start as int))"
-    scored = f"transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'score', transform(array({token}), x -> {_score(ratios, ALPHABET, 'x')})[0]))"
-    free = f"filter({scored}, t -> t.score >= {least_score} AND NOT exists(base, b -> b.start < t.end AND t.start < b.end))"
-    extra = f"CASE WHEN size(tokens) > 0 THEN transform({free}, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind)) ELSE array() END"
+    whole = "array(named_struct('a', 0, 'b', length(y.x)))"
+    parts = f"CASE WHEN {_mean('y.l')} >= {least_score} THEN {whole} ELSE {_runs('y.x', 'y.l', least_score)} END"
+    bound = f"transform(transform(array({token}), x -> named_struct('x', x, 'l', {_steps(ratios, ALPHABET, 'x')})), y -> {parts})[0]"
+    spans = f"flatten(transform(tokens, t -> transform({bound}, p -> named_struct('start', t.start + p.a, 'end', t.start + p.b, 'kind', t.kind))))"
+    extra = f"CASE WHEN size(tokens) > 0 THEN filter({spans}, t -> NOT exists(base, b -> b.start < t.end AND t.start < b.end)) ELSE array() END"
     return base.select("doc_id", "text", "base", F.expr(f"array_sort(concat(base, {extra}))").alias("found"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
 
 
