@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from sieve.llm.common import buckets_for
 
-SAMPLES = 32
+SAMPLES = 128
+#: Samples of one aggregate; with more its generated code is too long to be compiled.
+AT_ONCE = 32
 #: Most cuts of the id range; what the driver holds for neighbours is this many ids.
 MOST_CUTS = 2048
 WHITE = "\\u0020\\u0009\\u000a\\u000b\\u000c\\u000d"
@@ -32,7 +34,7 @@ def words_of(text: str) -> str:
 
 def sample(term: Column, weight_ln: Column, i: int) -> Column:
     """ln a and the hash of (term, t) of sample i in one long; the least over a document's terms is its sample."""
-    h, g = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
+    h, g = F.xxhash64(term, F.col("_group"), F.lit(2 * i)), F.xxhash64(term, F.col("_group"), F.lit(2 * i + 1))
 
     def unit(x: Column, shift: int, bits: int) -> Column:
         return (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) * (1.0 / (1 << bits))
@@ -47,9 +49,13 @@ def sample(term: Column, weight_ln: Column, i: int) -> Column:
 
 def signatures(terms: DataFrame, keys: list[str], term: str = "term", weight: str = "weight", samples: int = SAMPLES) -> DataFrame:
     """keys, signature (array of ``samples`` ints) from rows of keys, term and a weight above 0."""
-    rows = terms.select(*keys, F.xxhash64(term).alias("_h"), F.ln(F.col(weight).cast("double")).alias("_ln"))
-    least = rows.groupBy(*keys).agg(*(F.min(sample(F.col("_h"), F.col("_ln"), i)).alias(f"_{i}") for i in range(samples)))
-    return least.select(*keys, F.array(*(F.hash(f"_{i}") for i in range(samples))).alias("signature"))
+    n = min(samples, AT_ONCE)
+    groups = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // n) - 1))).alias("_group")
+    rows = terms.select(*keys, F.xxhash64(term).alias("_h"), F.ln(F.col(weight).cast("double")).alias("_ln"), groups)
+    least = rows.groupBy(*keys, "_group").agg(*(F.min(sample(F.col("_h"), F.col("_ln"), i)).alias(f"_{i}") for i in range(n)))
+    some = least.select(*keys, F.struct("_group", F.array(*(F.hash(f"_{i}") for i in range(n))).alias("part")).alias("_some"))
+    whole = some.groupBy(*keys).agg(F.sort_array(F.collect_list("_some")).alias("_all"))
+    return whole.select(*keys, F.slice(F.flatten(F.col("_all.part")), 1, samples).alias("signature"))
 
 
 def likeness(a: str, b: str) -> Column:

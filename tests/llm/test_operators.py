@@ -133,6 +133,22 @@ def test_fingerprints(spark):
     assert abs(sum(errors) / len(errors)) < 0.02 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.06
 
 
+def test_fingerprints_as_the_query_makes_them(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in queries.documents(spark, sf).collect()}
+    order = sorted(texts, reverse=True)
+    errors = []
+    for r in queries.op1_fingerprints(spark, sf).collect():
+        after = texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+        third = len(texts[r.doc_id]) // 3
+        edited = texts[r.doc_id][: len(texts[r.doc_id]) - third] + after[:third]
+        assert len(r.fingerprint) == 8 * 128
+        for other, got in ((edited, r.near_edited), (after, r.near_next)):
+            a, b = (Counter(words(t) or [b""]) for t in (texts[r.doc_id], other))
+            errors.append(got - sum((a & b).values()) / sum((a | b).values()))
+    assert abs(sum(errors) / len(errors)) < 0.02 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.06
+    assert max(map(abs, errors)) < 0.2
+
+
 def test_fingerprints_odd(spark):
     found = fingerprints.edited_fingerprints(table(spark)).collect()
     assert len(found) == len(ODD)
