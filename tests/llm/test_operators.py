@@ -149,6 +149,55 @@ def test_fingerprints_as_the_query_makes_them(spark, sf):
     assert max(map(abs, errors)) < 0.2
 
 
+def plain_signature(text, samples):
+    """Consistent weighted sampling of one text, word by word, with the operator's hashes and tables."""
+    import math
+    import struct
+
+    import xxhash
+
+    def of(value, seed=42, form="<Q"):
+        return xxhash.xxh64_intdigest(struct.pack(form, value), seed)
+
+    def cell(bits):
+        low = bits & (1 << 23) - 1 | 1 << 23
+        return ((low & -low).bit_length() - 1) * (1 << fingerprints.CELL_BITS) + (bits >> 24 & (1 << fingerprints.CELL_BITS) - 1)
+
+    r_of, c_of = fingerprints.quantiles()
+    out = []
+    for i in range(samples):
+        best = None
+        for word, weight in Counter(words(text) or [b""]).items():
+            h = of(xxhash.xxh64_intdigest(word, 42))
+            g = of(i // fingerprints.AT_ONCE, of(h), "<I")
+            x, y = (of((g ^ fingerprints.key_of(2 * (i % fingerprints.AT_ONCE) + k)) % (1 << 64)) for k in (0, 1))
+            r, ln_c, b = r_of[cell(x)], c_of[cell(x >> 32)], (y >> 32) / 2**32
+            t = math.floor(math.log(weight) / r + b)
+            ln_a = ln_c - r * (t - b) - r
+            best = min(x for x in (best, (int((ln_a + 128) * 2**28) << 26) | (h ^ t) & (1 << 26) - 1) if x is not None)
+        out.append(of(best) >> 32)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def test_fingerprints_against_a_plain_sampler(spark):
+    rows = [(i, " ".join(random.Random(i).choices([f"t{k}" for k in range(30)], k=40 * i)), None, None) for i in range(6)]
+    df = spark.createDataFrame(rows, DDL)
+    order = sorted(rows, reverse=True)
+    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(df, samples=20).collect()}
+    assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(df, samples=20).collect()} == {i: r.fingerprint for i, r in found.items()}
+    for k, (i, text, *_) in enumerate(order):
+        third = len(text) // 3
+        edited = text[: len(text) - third] + order[(k + 1) % len(order)][1][:third]
+        assert (found[i].fingerprint, found[i].edited_fingerprint) == (plain_signature(text, 20), plain_signature(edited, 20))
+
+
+def test_ranges_of_ids(spark):
+    cuts = [float(x) for x in range(0, 200, 3)]
+    for some in ([], cuts[:1], cuts):
+        found = spark.range(-5, 220).selectExpr("id", f"{fingerprints.range_of('cast(id as double)', some)} AS n").collect()
+        assert all(r.n == sum(c <= r.id for c in some) for r in found)
+
+
 def test_fingerprints_odd(spark):
     found = fingerprints.edited_fingerprints(table(spark)).collect()
     assert len(found) == len(ODD)
