@@ -11,6 +11,7 @@ import numpy as np
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters outside the ASCII white space; ``bytes.split()`` cuts there.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,8 +96,13 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only where the session names none and runs on this machine.
+
+    Raises RuntimeError on a cluster without one: a machine's own folder would be read back in part or not at all.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return found or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
@@ -105,7 +111,16 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sieve/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstaged(*frames: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -118,3 +133,32 @@ def buckets_for(df: DataFrame, bytes_each: int = 12 << 20) -> int:
     """Buckets that hold about as much each whatever the input; the shuffle partitions at least, and for unknown sizes."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-input_bytes(df) // bytes_each))
+
+
+#: Keys with more than this part of all rows are hot; there are as many at most.
+HOT_PART = 4096
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner", part: int = HOT_PART) -> DataFrame:
+    """``left`` joined by ``key`` with ``right``, which has one row a key and says in ``rows`` how many ``left`` has of it.
+
+    ``total`` bounds the sum of ``rows``.  Keys that hold more than ``total / part`` of them are ``part`` at most, so they
+    are broadcast whatever the input, and no task takes a hot key's rows; the others are shuffled.
+    """
+    hot, cold = right.where(F.col(rows) * part > total), right.where(F.col(rows) * part <= total)
+    first = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return first.unionByName(rest)
+
+
+def perhaps_among(df: DataFrame, values: DataFrame, column: str, mark: str, bits: int = 1 << 23) -> DataFrame:
+    """``df`` with a boolean ``mark``: false where ``column`` is surely none of ``values``.
+
+    What is broadcast is a bitmap of hashes, ``bits / 8`` bytes (1 MiB) whatever the number of values; the more values,
+    the more rows are marked that need not be.
+    """
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    parts = values.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / 32768).alias("_part")).agg(F.bitmap_construct_agg((F.col("_at") % 32768).cast("int")).alias("_bits"))
+    rows = df.withColumns({"_at": at, "_part": F.floor(at / 32768)}).join(F.broadcast(parts), "_part", "left")
+    byte = "cast(conv(hex(substring(_bits, cast(_at % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    return rows.withColumn(mark, F.expr(f"coalesce(getbit({byte}, cast(_at % 8 as int)) = 1, false)")).drop("_at", "_part", "_bits")

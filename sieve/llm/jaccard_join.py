@@ -35,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieve.llm.common import NULL_ID, WordHashes, buckets_for, mix, pack, rolling, staged, unpack
+from sieve.llm.common import NULL_ID, WordHashes, buckets_for, join_skewed, mix, pack, rolling, staged, unpack, unstaged
 from sieve.llm.components import components
 
 BASE = 0xC2B2AE3D27D4EB4F
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 400_000
 #: Shingles of the largest region that one task takes (8 bytes each).
 REGION_SHINGLES = 1_500_000
 DOCUMENT, KEYS = 0, 1
@@ -103,7 +103,7 @@ def region_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int
 
 def _points(words: int, num: int, den: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, owners, spares, held, seen = WordHashes(), [], [], [], 0, set()
+        hashes, keys, owners, spares, held, seen, dealt = WordHashes(), [], [], [], 0, set(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             key = np.concatenate(keys)
@@ -125,13 +125,13 @@ def _points(words: int, num: int, den: int, n_buckets: int):
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).fill_null(b"").to_pylist(), strict=True):
-                    s = shingles(hashes, text, words)
+                    s, dealt = shingles(hashes, text, words), (dealt + 1) % n_buckets
                     if not len(s):
-                        out.append((xxhash.xxh32_intdigest(str(doc_id)) % n_buckets, DOCUMENT, doc_id, None, 0, None, None))
+                        out.append((dealt, DOCUMENT, doc_id, None, 0, None, None))
                         continue
                     sig = xxhash.xxh3_128_digest(s.tobytes())
                     v = int.from_bytes(sig[:8], "little", signed=True)
-                    out.append((xxhash.xxh32_intdigest(str(doc_id)) % n_buckets, DOCUMENT, doc_id, v, len(s), sig, None))
+                    out.append((dealt, DOCUMENT, doc_id, v, len(s), sig, None))
                     if sig in seen:
                         continue
                     k, spare = region_keys(s, num, den)
@@ -185,9 +185,11 @@ def _ties(shared: DataFrame) -> DataFrame:
     """(a, b): pivot and other points of each key, once every point has left out its most shared cells."""
     rows = shared.select(F.col("a").alias("key"), F.col("b").alias("v"), "n", "spare")
     rank = F.row_number().over(Window.partitionBy("v", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("n"), "key"))
-    kept = rows.withColumn("rank", rank).where("rank > spare").select("key", "v")
-    pivots = kept.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("most")).where("a < most").select("key", "a")
-    return kept.join(pivots, "key").where("v <> a").select("a", F.col("v").alias("b")).distinct()
+    kept = staged(rows.withColumn("rank", rank).where("rank > spare").select("key", "v"))
+    pivots = kept.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("most"), F.count("*").alias("points")).where("a < most").select("key", "a", "points")
+    out = staged(join_skewed(kept, pivots, "key", "points", kept.count()).where("v <> a").select("a", F.col("v").alias("b")).distinct())
+    unstaged(kept)
+    return out
 
 
 def _sets(words: int, wanted: np.ndarray):
@@ -330,11 +332,13 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
     shingles both are the row's own id.
     """
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = buckets_for(docs)
-    ties = staged(docs.mapInArrow(_points(words, num, den, n), _ROWS).repartition(n, "bucket").mapInArrow(_share, "kind int, a long, b long, n long, sig binary, spare int"))
+    n = buckets_for(docs, 4 << 20)
+    ties = staged(docs.mapInArrow(_points(words, num, den, n), _ROWS).repartitionById(n, "bucket").mapInArrow(_share, "kind int, a long, b long, n long, sig binary, spare int"))
     rows = ties.where(f"kind = {DOCUMENT}").select(F.col("a").alias("doc_id"), F.col("b").alias("v"), "n", "sig")
-    classes = staged(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("v").alias("v"), F.first("n").alias("n")))
-    tied = components(_ties(ties.where(f"kind = {KEYS}")), "a", "b")
+    classes = staged(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("v").alias("v"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    edges = _ties(ties.where(f"kind = {KEYS}"))
+    tied = components(edges, "a", "b")
+    unstaged(edges)
     wanted = staged(classes.join(tied.select(F.col("vertex").alias("v"), F.col("root").alias("region")), "v").select("region", "sig", F.col("class_id").alias("doc_id"), "n"))
     sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23)).alias("at")).mapInArrow(_sets(words, _bitmap(wanted)), "doc_id long, sig binary, shingles binary")
     sets = wanted.join(sets, (wanted.sig == sets.sig) & wanted.doc_id.eqNullSafe(sets.doc_id)).select("region", wanted.sig, wanted.doc_id, "shingles", "n")
@@ -349,7 +353,8 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
         links = staged(links)
         roots = components(links.select("a", "b"), "a", "b")
         links = links.select("sig", "a").distinct().join(roots, F.col("a") == F.col("vertex"), "left").select("sig", "a", F.coalesce("root", "a").alias("b"))
-    named = classes.join(links.select("sig", F.col("b").alias("root")), "sig", "left").select("sig", "class_id", F.coalesce("root", "class_id").alias("component_id"))
-    found = rows.where("sig IS NOT NULL").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    named = staged(classes.join(links.select("sig", F.col("b").alias("root")), "sig", "left").select("sig", "class_id", F.coalesce("root", "class_id").alias("component_id"), "copies"))
+    known = rows.where("sig IS NOT NULL")
+    found = join_skewed(known, named, "sig", "copies", known.count()).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     found = found.union(rows.where("sig IS NULL").select("doc_id", F.lit(0).cast("long"), "doc_id", "doc_id"))
     return found.select(*(F.col(c) if c == "n_shingles" else F.nullif(F.col(c), F.lit(NULL_ID)).alias(c) for c in found.columns))
