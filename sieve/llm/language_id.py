@@ -5,8 +5,9 @@ training texts.  A document's own ranking is compared with each profile: an n-gr
 the full depth if the profile lacks it.  The language with the least total wins.
 
 Profiles are learned from at most ``most_docs`` documents per language, picked by a hash of their id (a bound that is a
-parameter); prediction reads every text whole.  Text is handled in runs of about two million code points, so memory
-does not follow the partition.  Predictions depend on the text alone.
+parameter); prediction reads every text whole.  Text is handled in runs of about half a million code points, so memory
+does not follow the partition.  Predictions depend on the text alone: a run's letters are coded in as many bits as they
+need, and a run that needs more than 64 bits an n-gram is halved.
 
 Nulls: a null text, or one without letters, is ``und`` with score 0; so is every text if nothing could be learned.
 Training skips null texts and null languages.  Ties go to the language that sorts first.
@@ -25,9 +26,9 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 
 DEPTH = 300
 MOST_DOCS = 4000
-RUN = 2_000_000
+RUN = 500_000
 UNKNOWN = "und"
-_NONE = (1 << 14) - 1
+_NOTHING = 0x1FFFFF
 
 
 @lru_cache(maxsize=1)
@@ -49,7 +50,7 @@ def runs(texts: list[str | None], most: int = RUN) -> Iterator[tuple[int, list[s
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, n-gram, count), sorted; an n-gram is three 21-bit code points, 0 a word end, 0x1FFFFF nothing."""
+    """(document, n-gram, count), sorted by document; an n-gram is three 21-bit code points, 0 a word end, 0x1FFFFF nothing."""
     points = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + 2 for t in texts])
     letter = _letters()[points]
@@ -59,26 +60,33 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.empty(0, np.int64)
         return none, none.astype(np.uint64), none
     points, doc = np.where(letter, points, 0)[keep], doc[keep]
-    found, code = np.unique(points, return_inverse=True)
+    found = np.flatnonzero(np.bincount(points)).astype(np.uint32)
     if found[0] != 0:
-        found, code = np.r_[np.uint32(0), found], code + 1
-    code = np.minimum(code, _NONE - 1).astype(np.uint64)
+        found = np.r_[np.uint32(0), found]
+    width = len(found).bit_length()  # the last code, of nothing, included
+    if len(texts) > 1 and 3 * width + (len(texts) - 1).bit_length() > 64:
+        half = len(texts) // 2
+        a, b = grams(texts[:half]), grams(texts[half:])
+        return np.r_[a[0], b[0] + half], np.r_[a[1], b[1]], np.r_[a[2], b[2]]
+    codes = np.zeros(int(found[-1]) + 1, np.uint32)
+    codes[found] = np.arange(len(found), dtype=np.uint32)
+    code = codes[points].astype(np.uint64)
+    last = len(found)
     a, b, c = code[:-2], code[1:-1], code[2:]
-    none, s14, s28, s42 = np.uint64(_NONE), np.uint64(14), np.uint64(28), np.uint64(42)
-    top = doc << s42
-    one = (top | code << s28 | none << s14 | none)[code > 0]
-    two = (top[:-1] | code[:-1] << s28 | code[1:] << s14 | none)[((code[:-1] > 0) | (code[1:] > 0)) & (doc[:-1] == doc[1:])]
-    three = (top[1:-1] | a << s28 | b << s14 | c)[(b > 0) & (doc[1:-1] == doc[:-2]) & (doc[1:-1] == doc[2:])]
+    none, s1, s2, s3 = np.uint64(last), np.uint64(width), np.uint64(2 * width), np.uint64(3 * width)
+    top = doc << s3 if len(texts) > 1 else np.zeros_like(doc)
+    one = (top | code << s2 | none << s1 | none)[code > 0]
+    two = (top[:-1] | code[:-1] << s2 | code[1:] << s1 | none)[((code[:-1] > 0) | (code[1:] > 0)) & (doc[:-1] == doc[1:])]
+    three = (top[1:-1] | a << s2 | b << s1 | c)[(b > 0) & (doc[1:-1] == doc[:-2]) & (doc[1:-1] == doc[2:])]
     keys = np.concatenate([one, two, three])
+    del one, two, three, top, code, doc, points
     keys.sort()
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     keys, count = keys[first], np.diff(np.r_[first, len(keys)])
-    wide = np.full(_NONE + 1, 0x1FFFFF, np.uint64)
-    wide[: len(found)] = found[: _NONE + 1]
-    wide[_NONE] = 0x1FFFFF
-    low = np.uint64(_NONE)
-    gram = wide[(keys >> s28) & low] << np.uint64(42) | wide[(keys >> s14) & low] << np.uint64(21) | wide[keys & low]
-    return (keys >> s42).astype(np.int64), gram, count
+    wide, low = np.r_[found, np.uint32(_NOTHING)].astype(np.uint64), np.uint64((1 << width) - 1)
+    gram = wide[(keys >> s2) & low] << np.uint64(42) | wide[(keys >> s1) & low] << np.uint64(21) | wide[keys & low]
+    of = (keys >> s3).astype(np.int64) if len(texts) > 1 else np.zeros(len(keys), np.int64)
+    return of, gram, count
 
 
 def ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,8 +165,8 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], *, text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 tags, scores = of(part.column(at).cast(pa.string()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tags, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
