@@ -64,19 +64,21 @@ def _mixed(df: DataFrame, *, share: float = SHARE, most_epochs: float = MOST_EPO
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), F.col(source_col).cast("string").alias("source"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     spread = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("_text", F.lit("")))))
-    rows = rows.select("doc_id", "source", size_of("_text").alias("size"), spread.alias("spread"), *(f"_keep_{c}" for c in keep))
+    # a key without null, so that windows and joins share one shuffle
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    rows = rows.select("doc_id", "source", key.alias("key"), size_of("_text").alias("size"), spread.alias("spread"), *(f"_keep_{c}" for c in keep))
     n = buckets_for(df, 64 << 20)
     digits = max(2, len(f"{4 * n:x}"))
     rows = rows.withColumn("part", F.substring("spread", 1, digits))
-    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    parts = rows.groupBy("key", "source", "part").agg(F.sum("size").alias("part_size"))
     sizes = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
     wanted = targets(sizes, share=share, most_epochs=most_epochs, weights=weights)
-    up = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("source", "part", F.coalesce(F.sum("part_size").over(up), F.lit(0)).alias("before"))
-    parts = parts.alias("p").join(wanted.alias("t"), F.expr("p.source <=> t.source")).select("p.source", "p.part", "before", "source_size", "target", "ordinal")
-    inside = Window.partitionBy("source", "part").orderBy("spread", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("key", "source", "part", F.coalesce(F.sum("part_size").over(up), F.lit(0)).alias("before"))
+    parts = parts.alias("p").join(wanted.alias("t"), F.expr("p.source <=> t.source")).select("p.key", "p.part", "before", "source_size", "target", "ordinal")
+    inside = Window.partitionBy("key", "part").orderBy("spread", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    both = rows.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source AND r.part = p.part"))
+    both = rows.alias("r").join(parts.alias("p"), F.expr("r.key = p.key AND r.part = p.part"))
     start = F.col("before") + F.col("within")
 
     def epoch(i: int) -> Column:
