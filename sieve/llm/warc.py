@@ -7,8 +7,8 @@ record and continuation records (WARC-Segment-Number, WARC-Segment-Origin-ID, WA
 Reading: records are parsed from archive bytes and finished in their tasks.  Segments meet by the id of their origin,
 beside the finished records, in one shuffle; there they are put in order, checked against the total length, and their chunked framing is decoded.
 
-A payload travels to its digest's task once; the digests' minima are pre-aggregated, so a payload that a third of the
-pages share is one row per task there.  Nulls: a null payload is empty, a null url is written as ``-``; null ids sort
+Payloads without an equal are written where they are read.  Of equal ones only a digest travels: minima are
+pre-aggregated by digest, and a payload that a third of the pages share is met by a broadcast of the few like it.  Nulls: a null payload is empty, a null url is written as ``-``; null ids sort
 last, are written empty and come back null.  Rows with the smallest id of their payload are all responses, repeated
 rows too; record ids hold a number of the row's own, so the segments of rows that share an id, or have none, stay apart.  Damaged input: a record cut short, missing or repeated segments, a wrong total or broken framing give
 ``complete`` false and whatever bytes there are; repeated equal segments count once.
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import buckets_for, staged
+from sieve.llm.common import buckets_for, join_skewed, perhaps_among, staged
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -73,15 +73,18 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, '/'.join(map(str, parts)))}>"
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, row: int | None = None, refers_row: int | None = None) -> Iterator[bytes]:
-    """Records of one page; ``row`` tells rows apart that share an id, ``refers_row`` is that of the page referred to."""
+def page_records(page_id: int | None, url: str | None, payload: bytes | None, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, row: str | None = None, refers_row: str | None = None, sha1: str | None = None) -> Iterator[bytes]:
+    """Records of one page; ``row`` tells rows apart that share an id, ``refers_row`` is that of the page referred to.
 
-    def named(page: int | None, at: int | None, i: int) -> str:
+    A revisit needs no payload if ``sha1``, the payload's digest in hex, is given.
+    """
+
+    def named(page: int | None, at: str | None, i: int) -> str:
         return record_id("page", "" if page is None else page, i, *([] if at is None else [at]))
 
     own = named(page_id, row, 0)
     common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", (url or "-").replace("\r", "%0D").replace("\n", "%0A")), ("X-Page-Id", "" if page_id is None else str(page_id))]
-    digest = ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload))
+    digest = ("WARC-Payload-Digest", "sha1:" + (base64.b32encode(bytes.fromhex(sha1)).decode() if sha1 else base32_sha1(payload)))
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
@@ -121,20 +124,31 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
 
 
 def with_originals(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to, row, refers_row): the page that each later page with an equal payload of
-    ``least_bytes`` repeats.  row is a number of each row's own, refers_row that of one row of the page referred to."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"), F.monotonically_increasing_id().alias("row"))
+    """(page_id, url, payload, refers_to, row, refers_row, sha1): the page that each later page with an equal payload of
+    ``least_bytes`` repeats.
+
+    row tells rows with equal payloads apart, refers_row is that of one row of the page referred to.  The payload of a
+    page that repeats another is null.
+    """
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha1", F.sha1("payload"))
+    equal = staged(rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    total = equal.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = perhaps_among(rows, equal, "sha1", "equal")
+    later = F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull()) & (F.octet_length("payload") >= least_bytes)
+    twins = join_skewed(rows.where("equal"), equal, "sha1", "n", total, "left")
+    twins = twins.select("page_id", "url", F.when(~later, F.col("payload")).alias("payload"), F.when(later, F.col("first")).alias("refers_to"), F.monotonically_increasing_id().cast("string").alias("row"), "sha1")
     # staged, as the number must be the same wherever a row is read again
-    rows = staged(rows).withColumn("digest", F.sha1("payload"))
-    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("least")
-    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(least, F.count("*").alias("n")).where("n > 1 AND least IS NOT NULL").select(F.col("digest").alias("d"), F.col("least.page_id").alias("first"), F.col("least.row").alias("first_row"))
-    later = F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull())
-    both = rows.join(first, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= least_bytes), "left")
-    return both.select("page_id", "url", "payload", F.when(later, F.col("first")).alias("refers_to"), "row", F.when(later, F.col("first_row")).alias("refers_row"))
+    twins = staged(twins)
+    ends = twins.where("refers_to IS NULL").groupBy("sha1", "page_id").agg(F.min("row").alias("refers_row"))
+    ends = equal.join(ends, F.expr("first = page_id") & (equal.sha1 == ends.sha1)).select(equal.sha1, "refers_row", "n")
+    again = join_skewed(twins.where("refers_to IS NOT NULL"), ends, "sha1", "n", total)
+    columns = ["page_id", "url", "payload", "refers_to", "row", "refers_row", "sha1"]
+    alone = rows.where("NOT equal").withColumns({"refers_to": F.lit(None).cast("long"), "row": F.col("sha1"), "refers_row": F.lit(None).cast("string")})
+    return alone.select(*columns).union(twins.where("refers_to IS NULL").withColumn("refers_row", F.lit(None).cast("string")).select(*columns)).union(again.select(*columns))
 
 
 def write(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive) of about ``archive_bytes`` each from (page_id, url, payload, refers_to, row, refers_row)."""
+    """(archive) of about ``archive_bytes`` each from (page_id, url, payload, refers_to, row, refers_row, sha1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -150,7 +164,7 @@ def write(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, archive_bytes
         if held:
             yield pa.record_batch([pa.array([b"".join(held)])], names=["archive"])
 
-    return pages.select("page_id", "url", "payload", "refers_to", "row", "refers_row").mapInArrow(run, "archive binary")
+    return pages.select("page_id", "url", "payload", "refers_to", "row", "refers_row", "sha1").mapInArrow(run, "archive binary")
 
 
 _PART = "origin string, number int, total long, page_id long, url string, type string, refers_to long, digest string, whole boolean, block binary"
@@ -206,11 +220,13 @@ def read(archives: DataFrame, *, n: int | None = None, with_payload: bool = True
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole records are finished where they are parsed; segments go on as they are."""
+        done = 0
         for batch in records(batches):
             ends, rows = [], []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[1] is None and row[5] != "continuation":
-                    ends.append((*finished(row, row[9], row[8]), *[None] * 10))
+                    ends.append((*finished(row, row[9], row[8]), str(done), *[None] * 9))
+                    done += 1
                 else:
                     rows.append((*[None] * 9, *row))
             both = pa.schema([*out, *(pa.field("p_" + f.name, f.type) for f in parts)])
@@ -249,8 +265,8 @@ def read(archives: DataFrame, *, n: int | None = None, with_payload: bool = True
     n = n or buckets_for(archives)
     both = ", ".join([_READ, *("p_" + x for x in _PART.split(", "))])
     rows = archives.select("archive").mapInArrow(single, both)
-    # finished records spread by page; they are a few numbers each where payloads aren't asked for
-    rows = rows.repartition(n, F.coalesce("p_origin", F.col("page_id").cast("string"))).sortWithinPartitions("p_origin", "p_number")
+    # finished records are dealt out by number; they are a few values each where payloads aren't asked for
+    rows = rows.repartition(n, "p_origin").sortWithinPartitions("p_origin", "p_number")
     return rows.mapInArrow(assemble, _READ)
 
 
@@ -259,6 +275,8 @@ def archived_pages(pages: DataFrame, *, least_bytes: int = 0, **options) -> Data
     they refer to: (page_id, payload_bytes, payload_digest, record_type, refers_to, complete)."""
     found = staged(read(staged(write(with_originals(pages, least_bytes=least_bytes, **options))), with_payload=False))
     ends = found.where("record_type = 'response'")
-    origin = ends.where("page_id IS NOT NULL").select(F.col("page_id").alias("at"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).dropDuplicates(["at", "d"])
-    again = found.where("record_type = 'revisit'").join(origin, F.expr("refers_to = at AND digest = d"), "left")
+    again = found.where("record_type = 'revisit'").withColumn("of", F.concat_ws("/", F.col("refers_to").cast("string"), "digest"))
+    counts = again.groupBy("of").agg(F.count("*").alias("n"))
+    origin = ends.where("page_id IS NOT NULL").select(F.concat_ws("/", F.col("page_id").cast("string"), "payload_digest").alias("of"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).dropDuplicates(["of"]).join(counts, "of")
+    again = join_skewed(again, staged(origin), "of", "n", again.count(), "left")
     return ends.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete").union(again.select("page_id", F.col("b"), F.col("d"), "record_type", "refers_to", F.col("complete") & F.col("d").isNotNull()))
