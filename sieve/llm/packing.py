@@ -4,7 +4,7 @@ Texts become token ids; a document longer than a sequence is cut into full piece
 are sequences of their own.  The others are dealt evenly into pools; every pool is evolved by several islands, which
 see its lengths only (2 bytes a piece).  An island's individual is a grouping of pieces into bins.  Crossover injects
 whole well-filled bins of one parent into the other, removes the bins that hold the same pieces, and puts the pieces
-so displaced back by best fit, long ones first; mutation empties the worst bins.  After each epoch an island's elite
+so displaced back by best fit, long ones first; mutation empties the worst bins.  The first individuals are best fit in random orders.  After each epoch an island's elite
 migrates to its neighbour.  What the best island of each pool leaves poorly filled is pooled anew, in fewer pools,
 until one pool is left or nothing is gained.
 
@@ -17,7 +17,6 @@ others.  Equal inputs give equal packings only if rows come in the same order.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 from bisect import bisect_left
@@ -31,30 +30,31 @@ from pyspark.sql import functions as F
 from sieve.llm.common import staged
 
 SEQUENCE, END_ID = 2048, 0
-POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 2, 2, 3, 4
+POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 2, 2, 30, 4
 #: Bins filled less than this are pooled anew.
 FULL = 0.995
-MOST_WORDS = 500_000
+MOST_WORDS = 400_000
 # Fixed value: how byte-level pre-tokenizers split a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNEVEN = re.compile(r"\s | \s|^ | $|\0")
 
 
 class Encoder:
     """Token ids of texts as little-endian bytes, by a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer always splits before a single space between two other characters, so a text is the sum of such
-    spaced words; each is encoded once while remembered, and the memory is emptied at ``most`` words.  Words not yet
-    known are merged by tiktoken, built from the same file: its ranks are the file's ids, which follow the merges.
-    Other kinds of file, and texts with other white space at a space, go to the tokenizer itself.
+    spaced words; each is encoded once while remembered, and the memory is emptied at ``most`` words.  The words that a
+    batch of texts brings are merged together by tiktoken, built from the same file: its ranks are the file's ids, which
+    follow the merges.
+    Other kinds of file, and texts that hold an added token's content, go to the tokenizer itself; texts with other
+    white space at a space are merged whole.
     """
 
     def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most, self.known = most, {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.fast = self._merger(path)
 
     def _merger(self, path: str):
@@ -72,22 +72,38 @@ class Encoder:
         merges = [ranks[bytes(byte[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]
         if merges != sorted(merges):
             return None
+        self.starts = np.zeros(max(ranks.values()) + 1, bool)
+        self.starts[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
         return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def one(self, text: str) -> bytes:
-        ids = self.fast(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.fast(text) if self.fast and not self.apart(text) else self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def of(self, text: str) -> bytes:
-        if not self.fast or _UNEVEN.search(text):
-            return self.one(text)
-        first, *words = text.split(" ")
-        if len(self.known) >= self.most:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = self.one(" " + w)
-        return self.one(first) + b"".join(map(known.__getitem__, words))
+    def apart(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers words, each with a space before it; encoded at one go, as a word's first token alone starts with a space."""
+        ids = np.array(self.fast("".join(f" {w}" for w in words)), np.uint32)
+        raw, at = ids.tobytes(), np.flatnonzero(self.starts[ids])
+        edge = [*(4 * at).tolist(), len(raw)]
+        self.known.update(zip(words, (raw[a:b] for a, b in zip(edge, edge[1:])), strict=True))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        cut = [None if not self.fast or "\0" in t or self.apart(t) else t.split(" ") for t in texts]
+        new = set().union(*filter(None, cut)).difference(self.known)
+        # a space beside other white space, or at an end of the text, isn't where words are split
+        uneven = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        if uneven:
+            cut = [w if w and uneven.isdisjoint(w) else None for w in cut]
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = set().union(*filter(None, cut))
+        if new := new - uneven:
+            self.learn(list(new))
+        known = self.known.__getitem__
+        return [self.one(t) if w is None else array("I", self.fast(w[0])).tobytes() + b"".join(map(known, w[1:])) for t, w in zip(texts, cut, strict=True)]
 
 
 def cut(ids: bytes, size: int = SEQUENCE) -> Iterator[tuple[int, int, int]]:
@@ -108,10 +124,10 @@ def pieces(df: DataFrame, tokenizer: str, *, size: int = SEQUENCE, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, mark = Encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
                 ids = part.column(0).to_pylist()
-                coded = [encoder.of(t or "") for t in part.column(1).to_pylist()]
+                coded = encoder.of([t or "" for t in part.column(1).to_pylist()])
                 out = [(d, k, *p) for d, x in zip(ids, coded, strict=True) for k, p in enumerate(cut(x + mark, size))]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
 
@@ -151,15 +167,15 @@ def _dense(bins: np.ndarray) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1].astype(np.int32)
 
 
-def refit(bins: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """Pieces with bin -1 put back by best fit, long ones first, near ties in any order."""
+def refit(bins: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator, sort: bool = True) -> np.ndarray:
+    """Pieces with bin -1 put back by best fit, long ones first, near ties in any order; all in any order without ``sort``."""
     out = np.full(len(bins), -1, np.int32)
     placed = bins >= 0
     if placed.any():
         out[placed] = _dense(bins[placed])
     free = size - _fill(out[placed], lengths[placed]) if placed.any() else np.empty(0, np.int64)
     loose = np.flatnonzero(~placed)
-    loose = loose[np.argsort(-(lengths[loose] + rng.uniform(0, 8, len(loose))), kind="stable")]
+    loose = loose[np.argsort(-(lengths[loose] + rng.uniform(0, 8, len(loose))), kind="stable")] if sort else rng.permutation(loose)
     keep = np.flatnonzero(free > 0)
     open_bins = Bins(free[keep])
     names, total = keep.tolist(), len(free)
@@ -197,12 +213,12 @@ def mutate(a: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generat
 
 
 def evolve(lengths: np.ndarray, elites: list[np.ndarray], *, size: int = SEQUENCE, seed: int = 0, population: int = POPULATION, generations: int = GENERATIONS) -> list[np.ndarray]:
-    """An epoch of one island; the population, best first."""
+    """An epoch of one island; the population, best first.  Beside the elites it starts from best fit in random orders."""
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // size)
     people = list(elites)
     while len(people) < population:
-        people.append(refit(np.full(len(lengths), -1, np.int32), lengths, size, rng))
+        people.append(refit(np.full(len(lengths), -1, np.int32), lengths, size, rng, sort=False))
     people.sort(key=lambda p: -fitness(p, lengths, size))
     for _ in range(generations):
         if int(people[0].max()) + 1 == least:
