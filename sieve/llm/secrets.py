@@ -1,12 +1,14 @@
 """Secret scans, in DataFrame functions only: rule patterns, and Markov models of characters.
 
 The rules are three patterns.  The models are first-order Markov chains over characters, one trained on samples
-labelled random (1), one on samples labelled ordinary (0); a token's score is the mean log-likelihood ratio of its
+labelled random (1), one on samples labelled ordinary (0): samples made by a rule, and tokens of the corpus, those in rule
+spans (1) and plain words and numbers outside them (0).  A token's score is the mean log-likelihood ratio of its
 transitions.  Tokens are runs of key characters not next to a letter or digit; those that score ``least_score`` and
 overlap no rule span become spans of kind ``markov``.  A token that scores less, say a key behind a readable prefix, is
 searched for runs: the sum of ratios grows from 0 to its highest and ends where it is back at 0 or DROP below that.  A
 run, widened to the ``= / _ -`` about it, is a span if it is TOKEN_LEAST long and it or its run scores ``least_score``.
-Positions are code points, ends exclusive.
+Positions are code points, ends exclusive.  Matches are gathered in blocks of BLOCK, as an array that grows by one is
+copied each time: the work grows with the 1.5th power of a text's matches at most.
 
 Nulls: a null text is an empty one, without spans; null ids and repeated rows come back as they are.
 """
@@ -14,7 +16,6 @@ Nulls: a null text is an empty one, without spans; null ids and repeated rows co
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +26,16 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 TOKEN = r"(?<![\p{L}\p{N}])[A-Za-z0-9+/_=-]{16,}(?![\p{L}\p{N}])"
+SAMPLED = r"(?<![\p{L}\p{N}])[A-Za-z0-9+/_=-]{8,}(?![\p{L}\p{N}])"
 LEAST_SCORE = 0.75
 TOKEN_LEAST = 16
 # How far a run's sum may fall before it ends, and its least transitions.
 DROP, RUN_LEAST = 10.0, 11
 
+BLOCK = 64
+#: About as many documents of the corpus give samples to train on, picked by a hash.
+SAMPLE_DOCS = 2000
+
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Ordinary words of four languages, from which identifiers are put together.
@@ -90,33 +96,51 @@ def train(samples: DataFrame, alphabet: str = ALPHABET) -> list[float]:
     return [math.log(one[b] / sum(one.values())) - math.log(zero[b] / sum(zero.values())) for zero, one in zip(*rows, strict=True) for b in alphabet]
 
 
-@lru_cache(maxsize=4)
-def _default_ratios(spark: SparkSession) -> tuple[float, ...]:
-    return tuple(train(labelled_samples(spark)))
+def corpus_samples(df: DataFrame, *, text_col: str = "text", most_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(label, text) from about ``most_docs`` texts: tokens inside rule spans (1), plain words and numbers outside them (0).
+
+    Only letters of one case, a capital before them, or digits count as plain, so keys that no rule finds teach nothing.
+    """
+    n = df.count()
+    texts = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(min(1.0, most_docs / max(n, 1)) * (1 << 20)))
+    rows = texts.select(F.expr(f"concat({_found(ASSIGN, 0, ASSIGN_LEAST)}, {_found(ACCESS, 1)}, {_found(HEX, 2)})").alias("base"), F.expr(_found(SAMPLED, 3, text=True)).alias("tokens"))
+    rows = rows.withColumn("blocks", F.expr(_blocks("base"))).select("blocks", F.explode("tokens").alias("t"))
+    rows = rows.select(F.expr(f"CAST({_overlaps('t')} AS int)").alias("label"), "t.x")
+    return rows.where(F.expr("label = 1 OR x RLIKE '^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$'")).select("label", F.col("x").alias("text"))
 
 
 def _quoted(pattern: str) -> str:
     return "r\"" + pattern.replace('"', "\\x22") + "\""
 
 
-def _found(pattern: str, order: int, least: int = 0) -> str:
-    """SQL for an array of (start, end, kind) of a pattern's matches, from the lengths of what lies between them."""
+def _found(pattern: str, order: int, least: int = 0, text: bool = False) -> str:
+    """SQL for an array of (start, end, kind[, x]) of a pattern's matches, from the lengths of what lies between them."""
     p = _quoted(pattern)
     value = f"regexp_extract_all(text, {p}, 2)" if least else "cast(null as array<string>)"
-    fold = f"""aggregate(sequence(1, size(m)), named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint,kind:int>>)),
-        (s, i) -> named_struct('at', s.at + length(g[i - 1]) + length(m[i - 1]),
-            'out', {'if(length(v[i - 1]) < ' + str(least) + ', s.out, ' if least else '('}concat(s.out, array(named_struct('start', s.at + length(g[i - 1]), 'end', s.at + length(g[i - 1]) + length(m[i - 1]), 'kind', {order}))))),
-        s -> s.out)"""
+    kind = "struct<start:bigint,end:bigint,kind:int" + ",x:string" * text + ">"
+    span = f"named_struct('start', t.at + length(w.g[i - 1]), 'end', t.at + length(w.g[i - 1]) + length(w.m[i - 1]), 'kind', {order}" + ", 'x', w.m[i - 1]" * text + ")"
+    more = f"concat(t.out, array({span}))"
+    if least:
+        more = f"if(length(w.v[i - 1]) < {least}, t.out, {more})"
+    block = f"""aggregate(sequence(k * {BLOCK} + 1, least(size(w.m), (k + 1) * {BLOCK})), named_struct('at', s.at, 'out', cast(array() as array<{kind}>)),
+        (t, i) -> named_struct('at', t.at + length(w.g[i - 1]) + length(w.m[i - 1]), 'out', {more}))"""
+    blocks = f"""flatten(aggregate(sequence(0, (size(w.m) - 1) div {BLOCK}), named_struct('at', 0L, 'out', cast(array() as array<array<{kind}>>)),
+        (s, k) -> transform(array({block}), c -> named_struct('at', c.at, 'out', concat(s.out, array(c.out))))[0], s -> s.out))"""
     # one let-binding, so that each regex runs once
     parts = f"named_struct('m', regexp_extract_all(text, {p}, 0), 'g', split(text, {p}, -1), 'v', {value})"
-    bound = fold
-    for name in ("m", "g", "v"):
-        bound = _renamed(bound, name)
-    return f"CASE WHEN text RLIKE {p} THEN element_at(transform(array({parts}), w -> {bound}), 1) ELSE array() END"
+    return f"CASE WHEN text RLIKE {p} THEN element_at(transform(array({parts}), w -> {blocks}), 1) ELSE cast(array() as array<{kind}>) END"
+
 
+def _blocks(spans: str) -> str:
+    """SQL for the spans in blocks, each with its least start and greatest end."""
+    cut = f"transform(if(size({spans}) = 0, cast(array() as array<int>), sequence(0, cast((size({spans}) - 1) div {BLOCK} as int))), k -> slice({spans}, k * {BLOCK} + 1, {BLOCK}))"
+    return f"transform({cut}, q -> named_struct('low', array_min(transform(q, b -> b.start)), 'high', array_max(transform(q, b -> b.end)), 'of', q))"
 
-def _renamed(sql: str, name: str) -> str:
-    return sql.replace(f"{name}[i - 1]", f"w.{name}[i - 1]").replace(f"size({name})", f"size(w.{name})")
+
+def _overlaps(span: str) -> str:
+    """SQL for whether a span overlaps one of ``blocks``."""
+    return f"exists(blocks, q -> q.low < {span}.end AND {span}.start < q.high AND exists(q.of, b -> b.start < {span}.end AND {span}.start < b.end))"
 
 
 def _steps(ratios: tuple[float, ...], alphabet: str, token: str) -> str:
@@ -154,17 +178,20 @@ def _runs(token: str, steps: str, least_score: float) -> str:
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, least_score: float = LEAST_SCORE, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, base, found) of every row and the columns of ``keep``.
 
-    base and found, those of the rules and all: arrays of (start, end, kind) in order, kind a place in KINDS.
+    base and found, those of the rules and all: arrays of (start, end, kind) in order, kind a place in KINDS.  Without
+    ``samples`` the models train on those made by a rule and on a bounded number of the corpus's own.
     """
-    ratios = tuple(train(samples)) if samples is not None else _default_ratios(df.sparkSession)
+    if samples is None:
+        samples = labelled_samples(df.sparkSession).union(corpus_samples(df, text_col=text_col))
+    ratios = tuple(train(samples))
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    base = rows.select(*rows.columns, F.expr(f"array_sort(concat({_found(ASSIGN, 0, ASSIGN_LEAST)}, {_found(ACCESS, 1)}, {_found(HEX, 2)}))").alias("base"), F.expr(_found(TOKEN, 3)).alias("tokens"))
-    token = "substring(text, cast(t.start as int) + 1, cast(t.end - t.start as int))"
+    base = rows.select(*rows.columns, F.expr(f"array_sort(concat({_found(ASSIGN, 0, ASSIGN_LEAST)}, {_found(ACCESS, 1)}, {_found(HEX, 2)}))").alias("base"), F.expr(_found(TOKEN, 3, text=True)).alias("tokens"))
+    base = base.withColumn("blocks", F.expr(_blocks("base")))
     whole = "array(named_struct('a', 0, 'b', length(y.x)))"
     parts = f"CASE WHEN {_mean('y.l')} >= {least_score} THEN {whole} ELSE {_runs('y.x', 'y.l', least_score)} END"
-    bound = f"transform(transform(array({token}), x -> named_struct('x', x, 'l', {_steps(ratios, ALPHABET, 'x')})), y -> {parts})[0]"
+    bound = f"transform(transform(array(t.x), x -> named_struct('x', x, 'l', {_steps(ratios, ALPHABET, 'x')})), y -> {parts})[0]"
     spans = f"flatten(transform(tokens, t -> transform({bound}, p -> named_struct('start', t.start + p.a, 'end', t.start + p.b, 'kind', t.kind))))"
-    extra = f"CASE WHEN size(tokens) > 0 THEN filter({spans}, t -> NOT exists(base, b -> b.start < t.end AND t.start < b.end)) ELSE array() END"
+    extra = f"CASE WHEN size(tokens) > 0 THEN filter({spans}, p -> NOT {_overlaps('p')}) ELSE array() END"
     return base.select("doc_id", "text", "base", F.expr(f"array_sort(concat(base, {extra}))").alias("found"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
 
 
@@ -180,9 +207,17 @@ def secret_spans(df: DataFrame, **options) -> DataFrame:
 
 
 def redacted(found: str = "found", mark: str = "[secret]") -> str:
-    """SQL for the text with each span, or run of overlapping spans, replaced by a mark."""
-    fold = f"""aggregate({found}, named_struct('at', 0L, 'out', cast(array() as array<string>)),
-        (s, x) -> CASE WHEN x.start >= s.at THEN named_struct('at', x.end, 'out', concat(s.out, array(substring(text, cast(s.at as int) + 1, cast(x.start - s.at as int)), '{mark}')))
-            ELSE named_struct('at', greatest(s.at, x.end), 'out', s.out) END,
+    """SQL for the text with each span, or run of overlapping spans, replaced by a mark.
+
+    The text is cut once a block of spans, as cutting walks it from its start.
+    """
+    spans = "array<struct<start:bigint,end:bigint,kind:int>>"
+    inner = f"""aggregate(c.of, named_struct('at', s.at, 'out', cast(array() as array<string>)),
+        (t, x) -> CASE WHEN x.start >= t.at THEN named_struct('at', x.end, 'out', concat(t.out, array(substring(c.part, cast(t.at - s.at as int) + 1, cast(x.start - t.at as int)), '{mark}')))
+            ELSE named_struct('at', greatest(t.at, x.end), 'out', t.out) END,
+        t -> named_struct('at', t.at, 'out', array_join(t.out, '')))"""
+    fold = f"""aggregate({_blocks(f"cast({found} as {spans})")}, named_struct('at', 0L, 'out', cast(array() as array<string>)),
+        (s, q) -> transform(transform(array(named_struct('of', q.of, 'part', substring(text, cast(s.at as int) + 1, cast(greatest(0L, q.high - s.at) as int)))), c -> {inner}),
+            d -> named_struct('at', d.at, 'out', concat(s.out, array(d.out))))[0],
         s -> concat(array_join(s.out, ''), substring(text, cast(s.at as int) + 1)))"""
     return f"CASE WHEN size({found}) = 0 THEN text ELSE {fold} END"
