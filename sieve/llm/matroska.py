@@ -5,8 +5,8 @@ and EBML lacing.  Its packet table has a row per frame: track, timestamp in nano
 frame.  The writer stores bytes as 8-bit PCM samples in frames of ``FRAME`` samples, laced, with cues per cluster.
 
 A payload is the text in UTF-8 and spaces up to a positive multiple of ``FRAME``.  Nulls: a null text is an empty one;
-null ids and repeated rows come back as they are.  Bytes that are no Matroska, or end early, give the packets before
-the damage and ``whole`` false.
+null ids and repeated rows come back as they are.  Bytes that are no Matroska, end early, or hold an element where the
+format has none of its kind, give the packets before the damage and ``whole`` false.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ AUDIO, SAMPLING, CHANNELS, DEPTH, DEFAULT = 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, TIMESTAMP, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, DOC_VERSION, DOC_READ = 0x4282, 0x4287, 0x4285
-_MASTERS = {SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, GROUP, CUES, POINT, POSITIONS}
+#: Elements that hold others, and what holds them; 0 is the file.
+_MASTERS = {SEGMENT: 0, INFO: SEGMENT, TRACKS: SEGMENT, ENTRY: TRACKS, AUDIO: ENTRY, CLUSTER: SEGMENT, GROUP: CLUSTER, CUES: SEGMENT, POINT: CUES, POSITIONS: POINT}
 _TOP = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 
 
@@ -194,6 +195,8 @@ def demux(data: bytes) -> Media:
             if kind == GROUP:
                 state["refers"] = False
             if kind in _MASTERS:
+                if _MASTERS[kind] != parent:
+                    raise ValueError("element in a wrong place")  # so the depth is that of the format
                 stop = walk(body, stop, kind)
             if kind == ENTRY:
                 m.tracks[state["track"].get("number", 0)] = state["track"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieve.llm import chat, fingerprints, jaccard_join, language_id, matroska, mixing, packing, secrets, substring_dedup, warc
+from sieve.llm.common import staged
 
 #: A conversation whose texts are the template's own control strings.
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -59,7 +60,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.features(matroska.store(documents(spark, sf_dir)))
+    return matroska.features(staged(matroska.store(documents(spark, sf_dir))))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
