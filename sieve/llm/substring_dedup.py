@@ -233,8 +233,8 @@ def remove_repeated_windows(df: DataFrame, *, size: int = 13, id_col: str = "doc
     word positions) and, if asked for, kept_text.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = buckets_for(docs, 6 << 20)
-    answers = docs.mapInArrow(_hash_windows(size, n), _PACKED).repartition(n, "bucket").mapInArrow(_count(n), _PACKED)
+    n = buckets_for(docs, 4 << 20)
+    answers = docs.mapInArrow(_hash_windows(size, n), _PACKED).repartitionById(n, "bucket").mapInArrow(_count(n), _PACKED)
     texts = docs.mapInArrow(_pack_texts(n), _PACKED)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", kept_text string" * with_text
-    return answers.union(texts).repartition(n, "bucket").mapInArrow(_remove(size, with_text), out)
+    return answers.union(texts).repartitionById(n, "bucket").mapInArrow(_remove(size, with_text), out)
