@@ -483,7 +483,6 @@ def test_packing(spark):
 
     path = queries.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     extra = [(20, "a  b\n c <|endoftext|> 'll x ", None, None), (21, " lead", None, None), (22, "nul \0 byte", None, None)]
     rows = ODD + extra
     found = packing.pack(packing.pieces(table(spark, rows), path)).collect()
@@ -515,6 +514,140 @@ def test_packing_near_the_bound(spark):
     assert len(found) == 6000 and len({r.sequence_id for r in found}) <= 1.01 * least
 
 
+def test_the_search_beats_its_seeds():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(2047, rng.lognormal(6, 1, 4000).astype(np.int64) + 1)
+    least = -(-int(lengths.sum()) // 2048)
+    seeds = [packing.refit(np.full(len(lengths), -1, np.int32), lengths, 2048, rng, sort=False) for _ in range(4)]
+    best = packing.evolve(lengths, seeds, seed=1)[0]
+    bins = lambda p: int(p.max()) + 1
+    assert min(map(bins, seeds)) >= 1.005 * least and bins(best) <= 1.002 * least
+    assert int(packing._fill(best, lengths).max()) <= 2048 and sorted(set(best.tolist())) == list(range(bins(best)))
+
+
+def test_encoder_on_odd_words():
+    from tokenizers import Tokenizer
+
+    encoder, plain = packing.Encoder(queries.tokenizer_path(), most=5), Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \tb", "\na b c", "x\u00a0 y", "x\u00a0y z", "it's the 3rd 'll", "<|endoftext|>", "a <|endoftext|> b", "nul \0 x", "é 𝒳 日本 語", "one two three four five six seven", "one two eight"]
+    for _ in range(2):
+        for some in (texts, *([t] for t in texts)):
+            assert [list(memoryview(x).cast("I")) for x in encoder.of(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_secrets_in_a_long_text(spark):
+    import time
+
+    rng = random.Random(8)
+    tokens = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=18)) for _ in range(16_000)]
+    text = " ".join(t if i % 4 else f"token={t}" for i, t in enumerate(tokens))
+    df = spark.createDataFrame([(1, text, None, None)], DDL)
+    ratios = secrets.labelled_samples(spark)
+    secrets.secret_spans(df.limit(0), samples=ratios).count()
+    start = time.perf_counter()
+    row = secrets.scan(df, samples=ratios).selectExpr("base", "found", secrets.redacted() + " AS t").first()
+    took = time.perf_counter() - start
+    base = brute_spans(text)
+    assert ",".join(f"{secrets.KINDS[s.kind]}:{s.start}:{s.end}" for s in row.base) == base and len(row.base) == 4000
+    at, out = 0, []
+    for s in row.found:
+        if s.start >= at:
+            out += [text[at : s.start], "[secret]"]
+        at = max(at, s.end)
+    assert row.t == "".join(out) + text[at:] and len(row.found) > 15_000
+    assert took < 20, took
+
+
+def test_nested_groups_are_damage():
+    body = b""
+    for _ in range(3000):
+        body = matroska.element(matroska.GROUP, body)
+    media = matroska.element(matroska.EBML, b"") + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, body))
+    assert not matroska.demux(media).whole
+
+
+def test_letters_stay_apart_beside_many_others():
+    many = "".join(chr(i) for i in range(0x3400, 0xD7A4) if chr(i).isalpha())
+    rare = "".join(chr(i) for i in range(0x1E900, 0x1E944)) + " " + many[-40:]
+    alone = language_id.grams([rare])
+    doc, gram, n = language_id.grams([many, rare, many[::-1], "ab"])
+    assert dict(zip(gram[doc == 1].tolist(), n[doc == 1].tolist())) == dict(zip(alone[1].tolist(), alone[2].tolist()))
+    assert doc.tolist() == sorted(doc.tolist())
+
+
+def plain_language(profiles, text, depth):
+    """Rank-order prediction of one text, n-gram by n-gram."""
+    counts = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        w = [0, *map(ord, w), 0]
+        counts.update((a, language_id._NOTHING, language_id._NOTHING) for a in w if a)
+        counts.update((a, b, language_id._NOTHING) for a, b in zip(w, w[1:]))
+        counts.update((a, b, c) for a, b, c in zip(w, w[1:], w[2:]) if b)
+    if not counts or not profiles:
+        return "und", 0.0
+    ranked = [k for k, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:depth]
+    best = None
+    for lang in sorted(profiles):
+        place = {(g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF): i for i, g in enumerate(profiles[lang])}
+        cost = sum(min(depth, abs(place[g] - i)) if g in place else depth for i, g in enumerate(ranked))
+        if best is None or cost < best[0]:
+            best = (cost, lang)
+    return best[1], max(0.0, 1 - best[0] / (depth * len(ranked)))
+
+
+def test_language_id_against_brute_force(spark, sf):
+    docs = [tuple(r) for r in queries.documents(spark, sf).select("doc_id", "text", "lang", "source").collect()] + ODD
+    df = spark.createDataFrame(docs, DDL)
+    profiles = language_id.learn(df.where(~language_id.held_out()))
+    found = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.identify(df, profiles).collect())
+    expected = [(i, *plain_language(profiles, t, language_id.DEPTH)) for i, t, *_ in docs]
+    assert found == Counter((i, lang, round(score, 9)) for i, lang, score in expected)
+
+
+def test_hot_keys_by_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from sieve.llm import common
+
+    left = spark.range(300).select(F.when(F.col("id") < 200, F.lit(0)).otherwise(F.col("id") % 30).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k <> 7").withColumn("x", F.col("k") * 2)
+    for part in (1, 4, 4096):
+        for how in ("inner", "left"):
+            found = common.join_skewed(left, right, "k", "n", 300, how, part).select("k", "id", "n", "x")
+            assert Counter(map(tuple, found.collect())) == Counter(map(tuple, left.join(right, "k", how).select("k", "id", "n", "x").collect()))
+
+
+def test_values_perhaps_among(spark):
+    from sieve.llm import common
+
+    rows = common.perhaps_among(spark.range(1000), spark.range(0, 1000, 3), "id", "mark").collect()
+    assert all(r["mark"] for r in rows if r.id % 3 == 0) and sum(r["mark"] for r in rows) < 345
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from sieve.llm import common
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))
+
+
+def test_clashing_columns_of_pages_and_conversations(spark):
+    from pyspark.sql import functions as F
+
+    names = ["row", "first", "n", "sha1", "equal", "payload", "digest", "of", "archive", "refers_to", "message", "seq", "kind", "place", "turns", "rewound"]
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (None, "u", None)], "page_id long, url string, html string").select("*", *(F.lit("clash").alias(c) for c in names))
+    found = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived_pages(pages).collect())
+    assert found == Counter([(1, 1, "response", None), (2, 1, "revisit", 1), (None, 0, "response", None)])
+    talks = spark.createDataFrame([(1, 0, "user", "x" * 200_000), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string").select("*", *(F.lit("clash").alias(c) for c in names))
+    row = chat.read_back(chat.formatted_conversations(talks)).first()
+    assert (row.n_turns, row.loss_chars) == (2, 1) and row.turns_sha256 == hashlib.sha256(("user\n" + "x" * 200_000 + "\nassistant\ny\n").encode()).hexdigest()
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert substring_dedup.remove_repeated_windows(none).count() == 0
@@ -536,6 +669,50 @@ def test_one_row_of_each_group_stays(spark, sf):
     assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter([(1, texts[0]), (4, texts[1] + " y"), (None, texts[2]), (4, texts[3])])
 
 
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, repeated rows, an empty table and columns beside the documents' own."""
+    import corpus_pipeline
+
+    df = table(spark).selectExpr("*", "cast(length(text) as long) AS n_chars")
+    for rows in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "packing":
+                rows = rows.select(*corpus_pipeline.COLUMNS)
+            found = stage(spark, rows, sf)
+            if name != "packing":
+                assert tuple(found.columns) == corpus_pipeline.COLUMNS
+            n = len(found.collect())
+            assert n == 0 if not rows.head(1) else n > 0
+    # nothing learned, nothing rejected
+    none = df.selectExpr("doc_id", "text", "nullif('', '') AS lang", "source", "n_chars")
+    assert len(corpus_pipeline.identify_languages(spark, none, sf).collect()) == len(ODD)
+    kept = corpus_pipeline.identify_languages(spark, df, sf).collect()
+    assert all(any(c.isalpha() for c in r.text or "") for r in kept)
+    clean = corpus_pipeline.redact_secrets(spark, spark.createDataFrame([(None, None, "en", None, None), (1, "token=abcdefgh x", "en", "a", 16)], "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in clean.collect()) == Counter([(None, None, None), (1, "[secret] x", 10)])
+
+
+def test_a_document_taken_in_part_is_cut(spark, sf):
+    import corpus_pipeline
+
+    df = queries.documents(spark, sf)
+    text = {r.doc_id: r.text or "" for r in df.collect()}
+    reads = {(r.doc_id, r.read): r for r in mixing.mixed_reads(df).collect()}
+    whole = Counter((i, len(text[i])) for (i, _), r in reads.items() if r["words"] == r["size"])
+    found = Counter((r.doc_id, r.n_chars) for r in corpus_pipeline.mix_to_weights(spark, df, sf).collect())
+    part = Counter((i, len(" ".join(w.decode() for w in words(text[i])[: r["words"]]))) for (i, _), r in reads.items() if r["words"] < r["size"])
+    assert part and found == whole + part
+
+
+def test_packing_stage_holds_every_document(spark, sf):
+    import corpus_pipeline
+
+    docs = queries.documents(spark, sf)
+    found = corpus_pipeline.pack_sequences(spark, docs, sf).collect()
+    expected = packing.pieces(docs, queries.tokenizer_path()).collect()
+    assert Counter(tuple(r)[:5] for r in found) == Counter(map(tuple, expected))
+
+
 def test_pipeline_against_brute_force(spark, sf):
     import corpus_pipeline
 
