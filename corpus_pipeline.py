@@ -18,8 +18,15 @@ LEAST_SCORE = 0.2
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those unlike every language; sets ``lang`` to the prediction."""
-    found = language_id.identify(docs, language_id.learn(docs))
+    """Rejects documents without letters and those unlike every language; sets ``lang`` to the prediction.
+
+    A null text has no letters.  Without any language to learn, all rows stay as they are; repeated rows and null ids are
+    rows like any other.
+    """
+    profiles = language_id.learn(docs)
+    if not profiles:
+        return docs.select(*COLUMNS)
+    found = language_id.identify(docs.select(*COLUMNS), profiles)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
@@ -37,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; a text that is null stays null."""
+    """Replaces every secret by a mark; a text that is null stays null, and every row stays."""
     rows = docs.select(*COLUMNS).withColumn("was_null", F.col("text").isNull())
     found = secrets.scan(rows, keep=("lang", "source", "was_null"))
     clean = found.select("doc_id", F.expr(f"CASE WHEN NOT was_null THEN {secrets.redacted()} END").alias("text"), "lang", "source")
@@ -45,12 +52,20 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in order of training; one read twice comes twice, at a place each, one taken in part stays whole."""
-    reads = mixing.mixed_reads(docs, keep=COLUMNS[1:])
+    """Documents in order of training; one read twice comes twice, at a place each.
+
+    A read that takes a document in part, where its source's target ends, has its first words, a space between them; the
+    others have the text as it is.  Texts without a word are taken by no mix; null sources are a source, null ids ids.
+    """
+    reads = mixing.mixed_reads(docs.select(*COLUMNS), keep=COLUMNS[1:])
+    part = F.expr("words < size")
+    some = F.array_join(F.expr(r"slice(regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0), 1, cast(words as int))"), " ")
+    reads = reads.withColumn("text", F.when(part, some).otherwise(F.col("text"))).withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return mixing.in_training_order(reads, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's pieces with their sequence and offset; a null text is the end mark alone, repeated rows are rows."""
     return packing.pack(packing.pieces(docs, tokenizer_path()))
 
 
