@@ -7,15 +7,44 @@ from pyspark.sql import functions as F
 
 from sieve.functions.text import blank
 
-ISO = "yyyy-MM-dd'T'HH:mm:ssxxx"
 _FULL_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 _COMPACT = r"^\d{8}T\d{6}Z?$"
+_DAY = 86_400_000_000
+# The zones that mail dates may name, as offsets.
+ZONES = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700", "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000"}
+
+
+def instant(c: Column) -> Column:
+    """A time without a zone as UTC, whatever the session's zone."""
+    return F.try_to_timestamp(F.concat(c.cast("string"), F.lit("Z")))
+
+
+def local_day(ts: Column, zone: str = "UTC") -> Column:
+    """The date that a clock in the zone shows; from the microseconds, so the session's zone plays no part."""
+    return F.date_from_unix_date(F.floor(_local_micros(ts, zone) / _DAY).cast("int"))
+
+
+def _local_micros(ts: Column, zone: str) -> Column:
+    return F.unix_micros(F.from_utc_timestamp(ts, zone))
+
+
+def _local_part(ts: Column, zone: str, unit: int, most: int) -> Column:
+    return F.pmod(F.floor(_local_micros(ts, zone) / unit), F.lit(most)).cast("int")
+
+
+def iso(ts: Column) -> Column:
+    """UTC ISO text in seconds."""
+    parts = [F.lpad(_local_part(ts, "UTC", unit, most).cast("string"), 2, "0") for unit, most in ((3_600_000_000, 24), (60_000_000, 60), (1_000_000, 60))]
+    return F.concat(local_day(ts).cast("string"), F.lit("T"), F.concat_ws(":", *parts), F.lit("+00:00"))
 
 
 def parse_iso(c: Column) -> Column:
     """Timestamp of a full or compact ISO text; naive times are UTC; null otherwise."""
     text = F.trim(blank(c))
-    return F.when(text.rlike(_FULL_ISO), F.try_to_timestamp(text)).when(text.rlike(_COMPACT), F.try_to_timestamp(F.regexp_replace(text, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")))
+    naive = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & (F.length(text) > 10), text).otherwise(F.concat(text, F.lit("Z")))
+    naive = F.regexp_replace(naive, r"^(.{10}[T ]\d{2}:\d{2})([Z+-])", "$1:00$2")
+    compact = F.concat(F.regexp_replace(text, "Z$", ""), F.lit("+0000"))
+    return F.when(text.rlike(_FULL_ISO), F.try_to_timestamp(naive)).when(text.rlike(_COMPACT), F.try_to_timestamp(compact, F.lit("yyyyMMdd'T'HHmmssxx")))
 
 
 def parse_date(c: Column) -> Column:
@@ -23,9 +52,12 @@ def parse_date(c: Column) -> Column:
     text = F.trim(blank(c))
     n = F.try_to_number(text, F.lit("9" * 18)).cast("long")
     epoch = F.when(text.rlike(r"^\d{1,18}$"), F.timestamp_seconds(F.when(n > 10_000_000_000, F.floor(n / 1000)).otherwise(n)))
-    mail = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), "(GMT|UTC|Z)$", "+0000"), r"\s+", " ")
+    mail = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\s*\(.*\)$", ""), r"\s+", " ")
+    named = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
+    zone = F.regexp_extract(mail, r" ([A-Za-z]+)$", 1)
+    mail = F.when(zone != "", F.concat(F.substring_index(mail, " ", 4), F.lit(" "), F.try_element_at(named, F.upper(zone)))).when(mail.rlike(r":\d{2}$"), F.concat(mail, F.lit(" +0000"))).otherwise(mail)
     rfc = F.when(text.rlike(r"\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}"), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss xx")))
-    return F.when(text == "", "").otherwise(F.coalesce(F.date_format(F.coalesce(epoch, rfc, parse_iso(text)), ISO), F.left(text, F.lit(80))))
+    return F.when(text == "", "").otherwise(F.coalesce(iso(F.coalesce(epoch, rfc, parse_iso(text))), F.left(text, F.lit(80))))
 
 
 def age_days(posted: Column, now: Column) -> Column:
@@ -38,14 +70,13 @@ def recent(age: Column, limit: float, missing_ok: bool = False) -> Column:
 
 
 def week_key(ts: Column, zone: str = "UTC") -> Column:
-    """ISO week of a UTC timestamp in a zone, as 2026-W25."""
-    local = F.from_utc_timestamp(ts, zone)
-    return F.concat(F.extract(F.lit("YEAROFWEEK"), local).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(local).cast("string"), 2, "0"))
+    """ISO week of a timestamp in a zone, as 2026-W25."""
+    day = local_day(ts, zone)
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
 
 
 def in_send_window(ts: Column, zone: str, weekday: int, hour: int) -> Column:
-    local = F.from_utc_timestamp(ts, zone)
-    return (F.weekday(local) == weekday) & (F.hour(local) == hour)
+    return (F.weekday(local_day(ts, zone)) == weekday) & (_local_part(ts, zone, 3_600_000_000, 24) == hour)
 
 
 def week_range(monday: Column) -> Column:

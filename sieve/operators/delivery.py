@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieve.functions.dates import iso
 from sieve.functions.text import human_join
 
 MOST_CHARS = 1500
@@ -38,6 +39,12 @@ def split_messages(df: DataFrame, id_col: str, text_col: str, most: int = MOST_C
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, chunk int, text string")
 
 
+def preview_title(now: Column, name: str = "Digest", zone: str = "UTC") -> Column:
+    """``name`` preview 2026-06-20 09:30, as a clock in the zone shows it."""
+    stamp = F.left(F.translate(iso(F.from_utc_timestamp(now, zone)), "T", " "), F.lit(16))
+    return F.concat(F.lit(f"{name} preview "), stamp)
+
+
 def trend_sentence(cities: Column, themes: Column) -> Column:
     """One of four sentences from the leading places and themes (arrays, empty where none leads)."""
     city = F.concat(F.lit("roles clustered around "), human_join(cities))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -56,6 +59,40 @@ def shown(jobs: DataFrame) -> list[str]:
     return [r.row for r in top.select(F.to_json(row).alias("row")).collect()]
 
 
+# Fixed value: what a model is told to return.
+ANSWER_SHAPE = '{"opportunities": [{"key": "exact candidate key", "score": 0, "include": true, "scholar_fit_reason": "short reason", "why_cool": "one concise digest-ready line", "risk_flags": []}]}'
+
+
+def prompt(rows: list[str], criteria: str, least: int, most: int) -> list[dict[str, str]]:
+    """Messages that ask a model for one answer per candidate; ``rows`` as ``shown`` gives them."""
+    asked = f"Return JSON only.\n\nCriteria:\n{criteria}\n\nCandidates:\n[{', '.join(rows)}]\n\nReturn:\n{ANSWER_SHAPE}\n\n"
+    aim = f"One row for every candidate key. Aim for {min(max(0, least), most)}-{most} included rows where enough candidates score {THRESHOLD} or more; include none below {THRESHOLD}."
+    return [{"role": "system", "content": "You rank postings for a weekly digest. Return strict JSON only."}, {"role": "user", "content": asked + aim}]
+
+
+class ChatError(RuntimeError):
+    """A model's service didn't answer as agreed."""
+
+
+def chat_model(url: str, key: str, model: str, criteria: str, least: int, most: int, timeout: float = 90, most_tokens: int = 8000) -> Callable[[list[str]], str]:
+    """A ``model`` for ``rank``: posts the prompt to a chat-completion service and returns the first choice's text."""
+    if not key.strip():
+        raise ChatError("a key is required")
+
+    def ask(rows: list[str]) -> str:
+        body = {"model": model, "messages": prompt(rows, criteria, least, most), "temperature": 0.0, "max_tokens": most_tokens, "response_format": {"type": "json_object"}}
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"Authorization": f"Bearer {key.strip()}", "Content-Type": "application/json"}, method="POST")
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as r:
+                return json.loads(r.read().decode())["choices"][0]["message"]["content"]
+        except urllib.error.HTTPError as e:
+            raise ChatError(f"HTTP {e.code}: {e.read().decode('utf-8', 'replace')[:500]}") from e
+        except (OSError, ValueError, LookupError, TypeError) as e:
+            raise ChatError(f"{type(e).__name__}: {e}"[:500]) from e
+
+    return ask
+
+
 def answered(jobs: DataFrame, answer: str) -> DataFrame:
     """Postings that a model's answer names, with its scores; unknown keys go, the first of repeated ones stays."""
     spark = jobs.sparkSession

@@ -24,8 +24,8 @@ def group_match(text: Column, group: dict) -> Column:
 
 def matched_groups(text: Column, groups: list[dict]) -> Column:
     """array of struct(id, label, terms), in the order of the groups."""
-    found = [F.when(group_match(text, g).isNotNull(), F.struct(F.lit(g["id"]).alias("id"), F.lit(g.get("label", g["id"])).alias("label"), group_match(text, g).alias("terms"))) for g in groups]
-    return F.filter(F.array(*found), lambda g: g.isNotNull())
+    found = [F.struct(F.lit(g["id"]).alias("id"), F.lit(g.get("label", g["id"])).alias("label"), group_match(text, g).alias("terms")) for g in groups]
+    return F.filter(F.array(*found), lambda g: g["terms"].isNotNull())
 
 
 def rejection(*, age: Column, title: Column, metadata: Column, full: Column, role: Column, rules: dict, groups: list[dict]) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieve.functions import dates, places, text, urls
-from sieve.functions.vocabulary import ACRONYMS, GROUPS, INACTIVE, OTHER_GROUP, THEMES
-from sieve.operators import relational, rules
+from sieve.functions.vocabulary import ACRONYMS, BRAND_TERMS, GROUPS, INACTIVE, LOW_SIGNAL_TERMS, OTHER_GROUP, SENIOR_TERMS, SIGNAL_TERMS, THEMES
+from sieve.operators import delivery, ranking, relational, rules
+from sieve.plans import jobs
 from sieve.sources import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,7 @@ def col(name: str):
 
 
 def utc(name: str):
-    return F.col(name).cast("timestamp")
+    return dates.instant(F.col(name))
 
 
 # Fixed values of the queries: terms of the supplied texts, role groups and a clock.
@@ -61,7 +62,7 @@ def listed(t: str, terms) -> str:
 @query(f"""SELECT o_orderkey, round((epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate)) / 86400.0, 6) AS age_days FROM orders
     WHERE (epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate)) / 86400.0 BETWEEN -1 AND 60""")
 def recency_window(t):
-    age = dates.age_days(utc("o_orderdate"), F.lit(NOW).cast("timestamp"))
+    age = dates.age_days(utc("o_orderdate"), dates.instant(F.lit(NOW)))
     return t("orders").where(dates.recent(age, 60)).select("o_orderkey", F.round(age, 6).alias("age_days"))
 
 
@@ -213,9 +214,9 @@ def evaluated_status(t):
     return orders.join(picked, col("o_orderkey") == col("k"), "left").select("o_orderkey", F.when(no, "rejected").otherwise("included").alias("status"), F.when(no, "not_selected").otherwise("").alias("rejection_reason"), F.when(no, "").otherwise(col("o_orderpriority")).alias("description"))
 
 
-@query("""SELECT conv_id, turn, role, CAST(conv_id % 100 AS DOUBLE) AS score FROM conversations WHERE turn = 0""")
+@query("""SELECT conv_id, turn, role, CAST(conv_id % 100 AS DOUBLE) AS score FROM conversations""")
 def ranker_rows_join(t):
-    conv = t("conversations").where("turn = 0")
+    conv = t("conversations")
     made = conv.select(F.concat(F.lit("Here you are: ```json "), F.to_json(F.struct(F.concat_ws(":", "conv_id", "turn").alias("key"), (col("conv_id") % 100).cast("double").alias("score"))), F.lit("```")).alias("said"))
     answer = made.select(text.json_object(col("said"), "struct<key:string,score:double>").alias("r")).select("r.*")
     return conv.withColumn("key", F.concat_ws(":", "conv_id", "turn")).join(relational.first_wins(answer, ["key"], ["score"]), "key").select("conv_id", "turn", "role", "score")
@@ -334,9 +335,9 @@ def source_metrics(t):
     return t("documents").groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(col("lang") == "en").alias("normalized"), F.max("n_chars").alias("longest"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 def recent_runs(t):
-    return t("orders").select("o_orderkey", "o_custkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey", "o_custkey")
+    return relational.last_runs(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey", ["o_orderdate", "o_orderkey"], 50)
 
 
 @query("""SELECT arg_min(email, k) AS email FROM (SELECT c_custkey AS k, 'User' || (c_custkey % 200) || CASE WHEN c_custkey % 2 = 0 THEN '@Example.com' ELSE '@example.com' END AS email, c_mktsegment AS s FROM customer)
@@ -348,17 +349,35 @@ def recipient_rows(t):
     return relational.first_wins(kept, ["low"], ["c_custkey"]).select("email")
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) AS display_rank FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 100)")
+@query("""SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS display_rank FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM
+    (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2) WHERE n <= 30""")
 def display_rank(t):
-    top = t("part").select("p_partkey", "p_brand", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)
-    return top.select("p_partkey", F.row_number().over(Window.orderBy("p_brand", "p_partkey")).cast("long").alias("display_rank"))
+    # the cap before it is the operator's own: numbers run on over the rows that a digest shows
+    top = relational.per_group_cap(t("orders"), "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 2, 30)
+    return ranking.display_rank(top, ["o_orderpriority", F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "o_custkey", "display_rank")
 
 
-@query()
-def message_chunks(t):
-    from sieve.operators.delivery import split_messages
+_WHITE = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def stripped(t: str) -> str:
+    return f"regexp_replace(regexp_replace({t}, '^{_WHITE}+', ''), '{_WHITE}+$', '')"
+
+
+def last_mark(mark: str, width: int) -> str:
+    """SQL: where the mark last starts in the first 1500 characters, from 0; -1 without one."""
+    return f"CASE WHEN contains(left(rest, 1500), {mark}) THEN length(left(rest, 1500)) - strpos(reverse(left(rest, 1500)), {mark}) - {width - 1} ELSE -1 END"
+
 
-    return split_messages(t("documents"), "doc_id", "text")
+_CUT = f"greatest({last_mark('chr(10) || chr(10)', 2)}, {last_mark('chr(10)', 1)}, {last_mark(repr(' '), 1)})"
+
+
+@query(f"""WITH RECURSIVE c(doc_id, chunk, text, rest) AS (SELECT doc_id, -1, '', {stripped("coalesce(text, '')")} FROM documents
+    UNION ALL SELECT doc_id, chunk + 1, CASE WHEN length(rest) > 1500 THEN {stripped("left(rest, cut)")} ELSE rest END, CASE WHEN length(rest) > 1500 THEN {stripped("substr(rest, cut + 1)")} END
+    FROM (SELECT *, CAST(CASE WHEN {_CUT} >= 750 THEN {_CUT} ELSE 1500 END AS INT) AS cut FROM c WHERE rest IS NOT NULL AND (rest <> '' OR chunk = -1)))
+    SELECT doc_id, chunk, text FROM c WHERE chunk >= 0""")
+def message_chunks(t):
+    return delivery.split_messages(t("documents"), "doc_id", "text")
 
 
 @query("""WITH top AS (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30), r AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS n FROM top),
@@ -390,10 +409,10 @@ def excluded_terms(t):
     return t("documents").select("doc_id", F.array_join(text.matched_keywords(F.lower("source"), ["src1", "src2"]), ",").alias("title_terms"), F.array_join(text.matched_keywords(text.haystack(col("source"), col("lang")), ["es", "src3"]), ",").alias("meta_terms"), F.array_join(text.matched_keywords(F.lower("text"), ["license", "token"]), ",").alias("full_terms"))
 
 
-@query("""SELECT d.doc_id, n_chars FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = d.doc_id) ORDER BY n_chars DESC, d.doc_id LIMIT 40""")
+@query("""SELECT d.doc_id, n_chars FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = d.doc_id)""")
 def unsent_included(t):
     rows = t("documents").select("doc_id", "n_chars").join(t("labels").where("quality = 1").select("doc_id"), "doc_id")
-    return relational.without(rows, t("benchmark").select(col("item_id").alias("doc_id")), "doc_id").orderBy(F.desc("n_chars"), "doc_id").limit(40)
+    return relational.without(rows, t("benchmark").select(col("item_id").alias("doc_id")), "doc_id").orderBy(F.desc("n_chars"), "doc_id")
 
 
 @query("SELECT doc_id, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
@@ -409,13 +428,14 @@ def cache_lookup(t):
     return t("documents").select("doc_id", "source").join(cache, "source", "left").select("doc_id", shown.alias("headers"))
 
 
-@query("""SELECT k AS user_id, CAST(CASE WHEN ok IS NULL THEN 2 WHEN ok THEN 0 ELSE 3 END AS INT) AS failure_count, CASE WHEN ok IS NULL THEN true ELSE ok END AS active
-    FROM (SELECT DISTINCT user_id AS k FROM events) LEFT JOIN (SELECT user_id, bool_and(event_type <> 'error') AS ok FROM events WHERE event_id % 7 = 0 GROUP BY 1) p ON p.user_id = k""")
+@query("""SELECT CAST(user_id AS VARCHAR) AS board_key, CAST(CASE WHEN ok THEN 0 ELSE 3 END AS BIGINT) AS failure_count, ok AS active, '2024-02-01T00:00:00+00:00' AS last_polled, CASE WHEN ok THEN '' ELSE 'errors' END AS last_error
+    FROM (SELECT user_id, count(*) FILTER (event_type = 'error') <= 10 AS ok FROM events WHERE event_type <> 'signup' GROUP BY 1)""")
 def poll_update(t):
-    boards = t("events").select("user_id").distinct().withColumn("failure_count", F.lit(2))
-    polls = t("events").where("event_id % 7 = 0").groupBy("user_id").agg(F.bool_and(col("event_type") != "error").alias("ok"))
-    n = F.when(col("ok").isNull(), col("failure_count")).when(col("ok"), 0).otherwise(col("failure_count") + 1)
-    return boards.join(polls, "user_id", "left").select("user_id", n.alias("failure_count"), (F.coalesce(col("ok"), F.lit(True)) | (n < 3)).alias("active"))
+    polls = t("events").where("event_type <> 'signup'").groupBy(col("user_id").cast("string").alias("board_key")).agg((F.count_if(col("event_type") == "error") <= 10).alias("ok")).withColumn("error", F.when(~col("ok"), "errors"))
+    none = F.lit(None).cast("array<string>")
+    boards = t("events").select(col("user_id").cast("string").alias("board_key")).distinct().select("board_key", F.lit("lever").alias("ats"), col("board_key").alias("board_token"), F.lit(True).alias("active"), F.lit("").alias("first_seen"), F.lit("").alias("last_seen"), F.lit("").alias("last_polled"), F.lit(2).cast("long").alias("failure_count"), F.lit("").alias("last_error"), none.alias("sample_urls"), none.alias("sample_job_ids"))
+    out = jobs.polled_boards(boards, polls, at="2024-02-01T00:00:00+00:00", most_failures=3)
+    return out.select("board_key", "failure_count", "active", "last_polled", "last_error")
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, coalesce(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lineitem) WHERE b < 60""")
@@ -461,8 +481,8 @@ def dict_upsert(t):
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'not a date' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS parsed FROM orders")
 def parse_dates(t):
-    ts, m = utc("o_orderdate"), col("o_orderkey") % 4
-    said = F.when(m == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(m == 1, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss '+0000'")).when(m == 2, F.unix_millis(ts).cast("string")).otherwise("not a date")
+    ts, m = col("o_orderdate"), col("o_orderkey") % 4
+    said = F.when(m == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(m == 1, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(m == 2, F.unix_millis(utc("o_orderdate")).cast("string")).otherwise("not a date")
     return t("orders").select("o_orderkey", dates.parse_date(said).alias("parsed"))
 
 
@@ -555,10 +575,28 @@ def html_wrapper(t):
     return out.withColumnRenamed("source_id", "page_id")
 
 
-@query("SELECT doc_id, least(100, s) AS score, s >= 70 AS include FROM (SELECT doc_id, 45.0::DOUBLE + " + " + ".join(f"CASE WHEN {has(_L, k)} THEN {v}::DOUBLE ELSE 0 END" for k, v in _WEIGHTS.items()) + " AS s FROM documents) ORDER BY s DESC, doc_id LIMIT 60")
+def signal_sql() -> str:
+    """DuckDB SQL for the points of made postings, from the same tables of terms."""
+    title = "CASE p_size % 3 WHEN 0 THEN 'ai policy lead' WHEN 1 THEN 'sales intern' ELSE 'office keeper' END"
+    role, context = f"({title} || ' ' || lower(p_type) || '  ')", "(lower(p_brand) || ' ' || lower(p_name))"
+    parts = [f"CASE WHEN {has(role, t)} THEN {float(p)}::DOUBLE WHEN {has(context, t)} THEN {max(4, p * 0.4) * 1.0}::DOUBLE ELSE 0 END" for t, p in SIGNAL_TERMS.items()]
+    parts += [f"CASE WHEN contains(lower(p_brand), '{t}') OR contains({context}, '{t}') THEN {float(p)}::DOUBLE ELSE 0 END" for t, p in BRAND_TERMS.items()]
+    minus = [f"CASE WHEN {has(title, t)} THEN {float(p)}::DOUBLE ELSE 0 END" for table in (LOW_SIGNAL_TERMS, SENIOR_TERMS) for t, p in table.items()]
+    return "45.0::DOUBLE + " + " + ".join(parts) + " - " + " - ".join(minus) + " + CASE WHEN p_size % 2 = 0 THEN 8.0::DOUBLE ELSE 0 END"
+
+
+@query(f"""WITH s AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS stable_key, {signal_sql()} AS points FROM part),
+    c AS (SELECT stable_key, least(100.0::DOUBLE, points) AS score, points >= 70 AS include FROM s),
+    y AS (SELECT *, false AS filled FROM c WHERE include ORDER BY score DESC, stable_key LIMIT 30), n AS (SELECT *, true AS filled FROM c WHERE NOT include AND score >= 70 ORDER BY score DESC, stable_key LIMIT 25),
+    r AS (SELECT *, row_number() OVER (ORDER BY filled, score DESC, stable_key) AS rank FROM (SELECT * FROM y UNION ALL SELECT * FROM n))
+    SELECT stable_key, score, include, filled, rank, CASE WHEN filled THEN 'deterministic_fallback,score_threshold_fill' ELSE 'deterministic_fallback' END AS flags FROM r WHERE (NOT filled AND rank <= 30) OR rank <= least(25, (SELECT count(*) FROM part))""")
 def deterministic_rank(t):
-    rows = t("documents").select("doc_id", rules.score_terms(F.lower("text"), _WEIGHTS, 45).alias("s")).orderBy(F.desc("s"), "doc_id").limit(60)
-    return rows.select("doc_id", F.least(F.lit(100.0), "s").alias("score"), (col("s") >= 70).alias("include"))
+    title = F.expr("CASE p_size % 3 WHEN 0 THEN 'AI policy lead' WHEN 1 THEN 'Sales intern' ELSE 'Office keeper' END")
+    city = F.when(col("p_size") % 2 == 0, F.lit(places.PLACES[0])).otherwise("Nowhere")
+    none = F.lit("")
+    posted = t("part").select(F.lpad(col("p_partkey").cast("string"), 12, "0").alias("stable_key"), title.alias("title"), col("p_brand").alias("company"), col("p_type").alias("department"), none.alias("employment_type"), F.array().cast("array<string>").alias("tags"), col("p_name").alias("description_text"), city.alias("city"))
+    out = ranking.by_points(posted, 25, 30)
+    return out.select("stable_key", "score", "include", "filled", "rank", F.array_join("risk_flags", ",").alias("flags"))
 
 
 @query("SELECT doc_id AS id, text, 'documents' AS kind FROM documents WHERE source IN ('src0', 'src1') UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark")

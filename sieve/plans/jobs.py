@@ -7,6 +7,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +17,15 @@ from sieve.functions.vocabulary import GROUPS, OTHER_GROUP, THEMES
 from sieve.operators import delivery, ranking, relational, rules
 from sieve.operators.postings import POSTING, normalize
 from sieve.settings import Settings
-from sieve.sources import payloads
+from sieve.sources import listing, payloads
+from sieve.sources.fetch import fetch_bodies, get
 from sieve.sources.store import TABLES, StateStore
 
 MOST_URLS, MOST_IDS, MOST_RUNS = 5, 25, 50
 PARSERS = {"greenhouse": payloads.greenhouse, "lever": payloads.lever, "ashby": payloads.ashby}
+MORE_PARSERS = {"rss": payloads.rss_raw, "fixture": payloads.fixture}
+#: Postings read of a source that sets no limit of its own.
+MOST_ROWS = 500
 
 
 def _state(df: DataFrame, table: str) -> DataFrame:
@@ -78,6 +83,80 @@ def refresh_registry(store: StateStore, records: DataFrame, *, at: str, run_id:
     return out
 
 
+def refresh_from(store: StateStore, config: dict, *, at: str, run_id: str, conditions: dict | None = None, getter=get, env: dict[str, str] | None = None, write: bool = True) -> dict:
+    """Asks the configured providers for posting URLs and refreshes the registry with them.
+
+    ``ok`` is false only if there were errors and no ref was accepted.
+    """
+    records, errors = listing.found_urls(store.spark, config, conditions, getter, env, lambda df: _staged(store, df))
+    out = refresh_registry(store, _staged(store, records), at=at, run_id=run_id, excluded=[str(d) for d in config.get("exclude_domains") or []], write=write)
+    return out | {"provider": config.get("provider") or listing.CRAWL, "errors": errors, "ok": not errors or out["accepted"] > 0}
+
+
+def poll(store: StateStore, sources: list[dict], *, getter=get, boards: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Answers of the enabled sources and of registry boards (as ``boards_to_poll`` gives them), written once.
+
+    (source_id, adapter, company, board_key, status, body, ok, error, etag, last_modified).  Requests are conditional on
+    what the state knows of the last answer, unless ``force``; a 304 is an answer without postings.  Inline and file
+    rows (adapter ``fixture``) are answers too.
+    """
+    spark, asked, given = store.spark, [], []
+    for s in sources:
+        if not s.get("enabled", True):
+            continue
+        name, adapter = str(s.get("id") or s.get("name") or "source").strip(), str(s.get("adapter") or "").strip().lower()
+        company = str(s.get("company") or s.get("name") or name)
+        if adapter == "fixture":
+            body = json.dumps({"jobs": s["jobs"]}) if "jobs" in s else Path(str(s["fixture_path"])).read_text("utf-8-sig") if s.get("fixture_path") else ""
+            given.append((name, adapter, company, body))
+        else:
+            asked.append((name, adapter, company, str(s.get("url") or "").strip(), str(s.get("board_token") or "")))
+    rows = spark.createDataFrame(asked, "source_id string, adapter string, company string, url string, token string")
+    known = F.col("adapter").isin(*PARSERS) & ((F.col("token") != "") | (F.col("url") != ""))
+    url = F.when(F.col("url") != "", F.col("url")).when(known, urls.board_urls(F.col("adapter"), F.lower("token")))
+    rows = rows.select("source_id", "adapter", "company", F.lit(None).cast("string").alias("board_key"), url.alias("url"))
+    if boards is not None:
+        rows = rows.unionByName(boards.select("source_id", "adapter", "company", "board_key", "url"))
+    cache = store.read("source_cache").select("source_id", "etag", "last_modified")
+    rows = _staged(store, relational.first_wins(rows, ["source_id"], ["url"]).join(cache.limit(0) if force else cache, "source_id", "left"))
+    answers = fetch_bodies(rows.withColumn("headers", payloads.conditional_headers(F.col("etag"), F.col("last_modified"))), getter)
+    told = answers.join(rows.select("source_id", "board_key"), "source_id").select("source_id", "adapter", "company", "board_key", "status", "body", "ok", "error", *(text.blank(F.try_element_at("headers", F.lit(h))).alias(c) for h, c in (("etag", "etag"), ("last-modified", "last_modified"))))
+    inline = spark.createDataFrame([(n, a, c, None, 200, b, True, "", "", "") for n, a, c, b in given], "source_id string, adapter string, company string, board_key string, status int, body string, ok boolean, error string, etag string, last_modified string")
+    return _staged(store, told.unionByName(inline))
+
+
+def _source_rules(spark, sources: list[dict]) -> DataFrame:
+    """One row a configured source: its name, keywords as one pattern each, and most rows; as many as are configured."""
+
+    def pattern(words) -> str:
+        return "|".join(text.pattern_of(str(w)) for w in words or [] if str(w).split())
+
+    rows = [(str(s.get("id") or s.get("name") or "source").strip(), str(s.get("name") or s.get("id") or ""), pattern(s.get("include_keywords")), pattern(s.get("exclude_keywords")), int(s.get("max_jobs_per_source", MOST_ROWS))) for s in sources]
+    return spark.createDataFrame(list({r[0]: r for r in rows}.values()), "_source string, _name string, _include string, _exclude string, _most int")
+
+
+def _parsed(bodies: DataFrame, sources: list[dict]) -> DataFrame:
+    """Raw postings of every adapter, the first of each source, with the source's configured name."""
+    out = None
+    for adapter, parse in (PARSERS | MORE_PARSERS).items():
+        rows = parse(bodies.where(F.col("adapter") == adapter))
+        out = rows if out is None else out.unionByName(rows)
+    for s in sources:
+        if str(s.get("adapter") or "").strip().lower() == "html_static" and s.get("item_regex"):
+            out = out.unionByName(payloads.html_raw(bodies.where((F.col("adapter") == "html_static") & (F.col("source_id") == str(s.get("id") or s.get("name") or "source").strip())), s))
+    # as many rows as sources are configured, which the driver holds anyway
+    out = out.join(F.broadcast(_source_rules(bodies.sparkSession, sources).select(F.col("_source").alias("source_id"), "_name", "_most")), "source_id", "left")
+    return out.where(F.col("pos") < F.coalesce("_most", F.lit(MOST_ROWS))).withColumn("source_name", F.coalesce(text.present(F.col("_name")), F.col("source_id"))).drop("_name", "_most")
+
+
+def _allowed(judged: DataFrame, sources: list[dict]) -> DataFrame:
+    """Without the accepted postings that their own source's keywords, or the years they ask for, keep out."""
+    said = text.haystack(F.col("title"), F.col("company"), F.col("city"), F.col("location_text"), F.col("department"), F.col("employment_type"), F.left("description_text", F.lit(8000)), F.array_join("tags", " "))
+    rows = judged.join(F.broadcast(_source_rules(judged.sparkSession, sources).select("_source", "_include", "_exclude")), F.col("source_id") == F.col("_source"), "left").withColumn("_said", said)
+    ok = text.years_allowed(F.concat_ws(" ", "_said", "description_text")) & F.expr("NOT (coalesce(_exclude, '') <> '' AND _said RLIKE _exclude) AND (coalesce(_include, '') = '' OR _said RLIKE _include)")
+    return rows.where(F.col("rejected").isNotNull() | ok).drop("_source", "_include", "_exclude", "_said")
+
+
 def boards_to_poll(store: StateStore, *, seed: str, most: int) -> DataFrame:
     """Active boards as sources, the least recently polled first."""
     boards = store.read("board_registry").where("active AND board_token <> ''").where(F.col("ats").isin(*PARSERS))
@@ -104,16 +183,17 @@ def _cascade(jobs: DataFrame, conditions: dict, now) -> DataFrame:
     return jobs.withColumns({"rejected": reason, "groups": F.transform(rules.matched_groups(role, groups), lambda g: g["id"]), "age": age})
 
 
-def discover(store: StateStore, bodies: DataFrame, *, conditions: dict, now: str, run_id: str, settings: Settings, details: Callable[[DataFrame], DataFrame] | None = None, most_details: int = 25, force: bool = False, model=None, write: bool = True) -> dict[str, int]:
+def discover(store: StateStore, bodies: DataFrame, *, conditions: dict, now: str, run_id: str, settings: Settings, details: Callable[[DataFrame], DataFrame] | None = None, most_details: int = 25, force: bool = False, model=None, write: bool = True, sources: list[dict] = (), most_failures: int = 3) -> dict[str, int]:
     """Evaluates the postings of fetched boards (source_id, adapter, company, body) and records each one's status.
 
     ``details`` gets (source_id, external_id) of the postings worth a second request, ``most_details`` a source at most
     (a polling budget), and returns their bodies (source_id, external_id, company, body); a posting without a detail
-    keeps its index row.  Unparseable and null bodies give no rows.
+    keeps its index row.  Unparseable and null bodies give no rows.  ``sources`` are the configured ones: their wrappers,
+    keywords and row limits.  Bodies that ``poll`` gave also update the registry and the cache of answers, in the same
+    commit as the postings.
     """
-    clock = F.to_timestamp(F.lit(now))
-    known = {a: parse(bodies.where(F.col("adapter") == a)) for a, parse in PARSERS.items()}
-    raw = known["greenhouse"].unionByName(known["lever"]).unionByName(known["ashby"])
+    clock = dates.parse_iso(F.lit(now))
+    raw = _parsed(bodies, list(sources))
     index = _staged(store, normalize(raw, fetched_at=now, cities=settings.cities, remote_ok=settings.remote_ok))
     seen = _cascade(relational.first_wins(index, ["stable_key"], ["source_id", "pos"]), conditions, clock).where("rejected IS NULL OR rejected = 'no_role_group'")
     if not force:
@@ -125,7 +205,7 @@ def discover(store: StateStore, bodies: DataFrame, *, conditions: dict, now: str
         full = normalize(payloads.greenhouse(details(asked.select("source_id", "external_id"))), fetched_at=now, cities=settings.cities, remote_ok=settings.remote_ok)
         full = _staged(store, _cascade(relational.first_wins(full, ["stable_key"], ["pos"]), conditions, clock))
         seen = full.unionByName(seen.join(full.select("stable_key"), "stable_key", "left_anti"))  # each posting once, with its detail where one arrived
-    judged = _staged(store, seen)
+    judged = _staged(store, _allowed(seen, list(sources)))
     good = judged.where("rejected IS NULL").withColumn("tags", F.concat("tags", F.array_except(F.transform("groups", lambda g: F.concat(F.lit("condition:"), g)), "tags")))
     ranked = ranking.rank(good, least=settings.least_jobs, most=settings.most_jobs, model=model, fall_back=settings.rank_without_model, stage=lambda df: _staged(store, df))
     chosen = ranked.rows.select(F.col("stable_key").alias("_key"), "score", "reason", "why_cool", "risk_flags")
@@ -142,10 +222,24 @@ def discover(store: StateStore, bodies: DataFrame, *, conditions: dict, now: str
     n = entry.agg(F.count("*").alias("evaluated"), F.count_if(F.col("status") == "included").alias("included"), F.count_if(F.col("rejection_reason").startswith("conditions")).alias("rejected")).first()
     out = {"city": index.count(), "evaluated": n.evaluated, "candidates": n.evaluated - n.rejected, "included": n.included, "ranker_error": ranked.error}
     if write:
-        store.commit({"evaluated_jobs": entry, "runs": _run(store, run_id, "discovery", now, out)}, {"runs": _last_runs})
+        changes = {"evaluated_jobs": entry, "runs": _run(store, run_id, "discovery", now, out)}
+        if "board_key" in bodies.columns:
+            polls = bodies.where("board_key IS NOT NULL").select("board_key", "ok", "error")
+            changes["board_registry"] = _staged(store, polled_boards(store.read("board_registry"), polls, at=now, most_failures=most_failures))
+            changes["source_cache"] = bodies.where("ok AND (etag <> '' OR last_modified <> '')").select("source_id", "etag", "last_modified")
+        store.commit(changes, {"runs": _last_runs})
     return out
 
 
+def report(counters: dict, rows: list[dict] = (), as_json: bool = False) -> tuple[str, int]:
+    """(text, exit code) of a run: its counters as JSON or as lines, with up to ten chosen postings; 1 if no ranking was possible."""
+    failed = str(counters.get("ranker_error", "")).startswith("ranker_failed")
+    if as_json:
+        return json.dumps({**counters, "included_jobs": list(rows)}, ensure_ascii=False, indent=2, sort_keys=True, default=str), int(failed)
+    lines = [f"{k.replace('_', ' ').capitalize()}: {v if v not in ('', [], None) else 'none'}" for k, v in counters.items()]
+    return "\n".join(lines + [f"- {r['company']} - {r['title']} ({r['city']}) score={round(r['score'])}" for r in list(rows)[:10]]), int(failed)
+
+
 def _staged(store: StateStore, rows: DataFrame) -> DataFrame:
     """Rows written once beside the state and read back, as several reads follow; survives lost executors."""
     path = f"{store.root.rstrip('/')}/staged/{uuid.uuid4().hex}"
@@ -186,7 +280,7 @@ def trend_of(spark, rows: list) -> str:
 def weekly_digest(store: StateStore, *, now: str, run_id: str, settings: Settings, recipients: list[str], send=delivery.dry_run, dry_run: bool = True, force: bool = False, greeting: str = "Hello,", sign_off: str = "Best") -> dict:
     """Builds and sends one digest a week.  The state changes only if every recipient got it and it was no dry run."""
     spark = store.spark
-    clock = F.to_timestamp(F.lit(now))
+    clock = dates.parse_iso(F.lit(now))
     when = spark.range(1).select(dates.week_key(clock, settings.zone).alias("week"), dates.in_send_window(clock, settings.zone, settings.weekday, settings.hour).alias("due")).first()
     if not force and not dry_run and not when.due:
         return {"status": "outside_send_window", "week": when.week}

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieve.functions.text import blank, first_present
+from sieve.functions.text import blank, email, first_present, strip_html
+from sieve.operators.relational import first_wins
 
 RAW = ("external_id", "title", "company", "location", "canonical_url", "apply_url", "department", "employment_type", "posted_at", "updated_at", "created_at", "description_text", "tags")
 
@@ -64,12 +65,12 @@ def rss(bodies: DataFrame) -> DataFrame:
     return rows.select("source_id", "pos", first_present(F.col("i.guid"), F.col("i.link"), F.col("i.title")).alias("external_id"), blank(F.col("i.title")).alias("title"), blank(F.col("i.link")).alias("link"), blank(F.col("i.description")).alias("description"), blank(F.col("i.pubDate")).alias("published"))
 
 
-def html_items(bodies: DataFrame, item_regex: str, fields: dict[str, str]) -> DataFrame:
+def html_items(bodies: DataFrame, item_regex: str, fields: dict[str, str], keep_item: bool = False) -> DataFrame:
     """User-defined wrapper: each match of the item regex, with group 1 of each field's regex in it."""
     if not item_regex:
         raise ValueError("item_regex is required")
     rows = bodies.select("source_id", F.posexplode(F.regexp_extract_all("body", F.lit("(?is)" + item_regex), F.lit(0))).alias("pos", "item"))
-    return rows.select("source_id", "pos", *(F.regexp_extract("item", "(?is)" + p, 1).alias(c) for c, p in fields.items()))
+    return rows.select("source_id", "pos", *(F.regexp_extract("item", "(?is)" + p, 1).alias(c) for c, p in fields.items()), *["item"] * keep_item)
 
 
 def crawl_records(bodies: DataFrame) -> DataFrame:
@@ -80,15 +81,59 @@ def crawl_records(bodies: DataFrame) -> DataFrame:
     held = F.from_json(text, f"struct<records:array<{kind}>>")["records"]
     lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.from_json(x, kind))
     found = F.when(text.startswith("["), listed).otherwise(F.coalesce(held, lines))
-    return bodies.select("source_id", F.explode(F.filter(found, lambda r: r["url"].isNotNull())).alias("r")).select("source_id", "r.*")
+    return bodies.select("source_id", F.posexplode(F.filter(found, lambda r: r["url"].isNotNull())).alias("pos", "r")).select("source_id", "pos", "r.*")
 
 
 def empty_answer(status: Column, detail: Column) -> Column:
-    """A 404 that says there are no captures is an empty result, not an error."""
-    return (status == 404) & F.lower(blank(detail)).contains("no captures")
+    """A 404 that says there are no captures, or that the URL isn't there, is an empty result, not an error."""
+    return (status == 404) & F.lower(blank(detail)).rlike("no captures|url not found")
 
 
 def conditional_headers(etag: Column, modified: Column) -> Column:
     """Request headers from a cached answer's."""
     pairs = F.array(F.when(blank(etag) != "", F.struct(F.lit("If-None-Match").alias("k"), etag.alias("v"))), F.when(blank(modified) != "", F.struct(F.lit("If-Modified-Since").alias("k"), modified.alias("v"))))
     return F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull()))
+
+
+_RSS_PLACES = r"(?i)\b(Beijing|Dubai|Shenzhen|Shenzen|New York City|New York|NYC|San Francisco|SF|Sydney)\b"
+
+
+def rss_raw(bodies: DataFrame) -> DataFrame:
+    """Raw postings of feeds; the place is the first that title and description name."""
+    items = rss(bodies).join(bodies.select("source_id", "company").distinct(), "source_id")
+    place = F.regexp_extract(F.concat_ws(" ", "title", "description"), _RSS_PLACES, 1)
+    none = F.array().cast("array<string>")
+    return _raw(items, F.col("company"), {"external_id": F.col("external_id"), "title": F.col("title"), "location": place, "canonical_url": F.col("link"), "apply_url": F.col("link"), "posted_at": F.col("published"), "description_text": F.col("description"), "tags": none})
+
+
+def html_raw(bodies: DataFrame, source: dict) -> DataFrame:
+    """Raw postings by a configured wrapper: ``item_regex`` and ``<field>_regex`` for id, title, company, location, url, description."""
+    names = ("id", "title", "company", "location", "url", "description")
+    rows = html_items(bodies, str(source.get("item_regex") or ""), {f"f_{n}": str(source[f"{n}_regex"]) for n in names if source.get(f"{n}_regex")}, keep_item=True)
+    got = {n: strip_html(F.col(f"f_{n}")) if f"f_{n}" in rows.columns else F.lit("") for n in names}
+    company = F.lit(str(source["company"])) if source.get("company") else got["company"]
+    none = F.array().cast("array<string>")
+    return _raw(rows, company, {"external_id": first_present(got["id"], got["url"], got["title"]), "title": got["title"], "location": got["location"], "canonical_url": got["url"], "apply_url": got["url"], "description_text": first_present(got["description"], F.col("item")), "tags": none})
+
+
+def fixture(bodies: DataFrame) -> DataFrame:
+    """Raw postings given as they are: {jobs: []} or a bare list of objects with the columns of RAW."""
+    kind = "struct<" + ",".join(f"{c}:string" for c in (*RAW[:-1], "location_text")) + ",tags:array<string>>"
+    rows = _items(bodies, "body", kind, False)
+    fields = {c: F.col(f"job.{c}") for c in RAW[:-1]} | {"company": first_present(F.col("job.company"), F.col("company")), "location": first_present(F.col("job.location"), F.col("job.location_text"))}
+    return _raw(rows, F.col("company"), fields | {"tags": F.coalesce(F.col("job.tags"), F.array().cast("array<string>"))})
+
+
+def recipients(rows: DataFrame, inactive: tuple[str, ...]) -> DataFrame:
+    """(email) of a sheet's rows (at, cells), in order, each address once whatever its case, inactive ones left out.
+
+    The first row is a header if it names an e-mail column; without one the first column holds the addresses.
+    """
+    head = rows.orderBy("at").limit(1).collect()
+    names = [str(c or "").strip().lower().replace(" ", "_") for c in head[0]["cells"] or []] if head else []
+    column = next((names.index(n) for n in ("email", "email_address", "address") if n in names), None)
+    status = names.index("status") if column is not None and "status" in names else None
+    cells = rows if column is None else rows.where(F.col("at") > F.lit(head[0]["at"]))
+    said = F.lower(F.trim(blank(F.get("cells", F.lit(status))))) if status is not None else F.lit("")
+    kept = cells.where(~said.isin(*inactive)).select("at", email(F.get("cells", F.lit(column or 0))).alias("email")).where("email <> ''").withColumn("low", F.lower("email"))
+    return first_wins(kept, ["low"], ["at"]).orderBy("at").select("email")
