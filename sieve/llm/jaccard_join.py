@@ -42,7 +42,9 @@ BASE = 0xC2B2AE3D27D4EB4F
 FLUSH_KEYS = 400_000
 #: Shingles of the largest region that one task takes (8 bytes each).
 REGION_SHINGLES = 1_500_000
-DOCUMENT, KEYS = 0, 1
+DOCUMENT, KEYS, HOT = 0, 1, 2
+#: Sampled documents, and how many of them make a key they share hot: its points are dealt to many tasks.
+SAMPLE_DOCS, HOT_AMONG = 4000, 40
 _ROWS = "bucket int, kind int, doc_id long, v long, n long, sig binary, data binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("data", pa.binary())])
 
@@ -101,7 +103,32 @@ def region_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), spare
 
 
-def _points(words: int, num: int, den: int, n_buckets: int):
+def _is_in(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+    return hot[at] == key if len(hot) else np.zeros(len(key), bool)
+
+
+def hot_keys(docs: DataFrame, words: int, num: int, den: int, most_docs: int = SAMPLE_DOCS, among: int = HOT_AMONG) -> np.ndarray:
+    """Keys that at least ``among`` of about ``most_docs`` sampled documents share, sorted.
+
+    They only say how points are dealt out: what is found doesn't depend on them.  They are as many at most as the keys
+    of ``most_docs / among`` documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist():
+                if len(s := shingles(hashes, text, words)):
+                    yield pa.record_batch([pa.array(region_keys(s, num, den)[0].view(np.int64))], names=["key"])
+
+    share = min(1.0, most_docs / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).select("text")
+    rows = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= among).select("key").collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+
+
+def _points(words: int, num: int, den: int, n_buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys, owners, spares, held, seen, dealt = WordHashes(), [], [], [], 0, set(), 0
 
@@ -109,7 +136,8 @@ def _points(words: int, num: int, den: int, n_buckets: int):
             key = np.concatenate(keys)
             owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
             spare = np.repeat(np.array(spares, np.uint16).reshape(-1, 2), [len(k) for k in keys], axis=0)
-            bucket = ((key >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint32)
+            place = np.where(_is_in(key, hot), mix(key ^ owner.view(np.uint64)), key)
+            bucket = ((place >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             out = []
@@ -154,36 +182,53 @@ def _points(words: int, num: int, den: int, n_buckets: int):
 _TIES = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("spare", pa.int32())])
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as they are; (key, point, points of the key, cells the point may leave out) of keys that points share."""
-    keys, owners, spares = [], [], []
-    for batch in batches:
-        kind = batch.column(1).to_numpy()
-        docs = batch.filter(pa.array(kind == DOCUMENT))
-        if docs.num_rows:
-            yield pa.record_batch([*(docs.column(i) for i in (1, 2, 3, 4, 5)), pa.nulls(docs.num_rows, pa.int32())], schema=_TIES)
-        for data in batch.column(6).drop_null().to_pylist():
-            key, v, n, even, odd = unpack(data)
-            keys.append(key)
-            owners.append(np.repeat(v, n))
-            spares.append(np.where(key & np.uint64(1), np.repeat(odd, n), np.repeat(even, n)))
-    if not keys:
-        return
-    key, v = np.concatenate(keys), np.concatenate(owners)
-    order = np.lexsort((v, key))
-    key, v, spare = key[order], v[order], np.concatenate(spares)[order]
-    once = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
-    key, v, spare = key[once], v[once], spare[once]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    size = np.repeat(size, size)
-    for at in np.array_split(np.flatnonzero(size > 1), max(1, int((size > 1).sum()) // 10_000)):
-        yield pa.record_batch([pa.array(np.full(len(at), KEYS, np.int32)), pa.array(key[at].view(np.int64)), pa.array(v[at]), pa.array(size[at].astype(np.int64)), pa.nulls(len(at), pa.binary()), pa.array(spare[at].astype(np.int32))], schema=_TIES)
+def _share(hot: np.ndarray):
+    """Documents as they are; (key, point, points of the key, cells the point may leave out) of keys that points share.
+
+    Of hot keys every point, without the number of points, as a task has a part of them.
+    """
+
+    def rows(kind: int, key: np.ndarray, v: np.ndarray, n: np.ndarray, spare: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(key), 10_000):
+            part = slice(at, at + 10_000)
+            size = len(key[part])
+            yield pa.record_batch([pa.array(np.full(size, kind, np.int32)), pa.array(key[part].view(np.int64)), pa.array(v[part]), pa.array(n[part].astype(np.int64)), pa.nulls(size, pa.binary()), pa.array(spare[part].astype(np.int32))], schema=_TIES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, spares = [], [], []
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            docs = batch.filter(pa.array(kind == DOCUMENT))
+            if docs.num_rows:
+                yield pa.record_batch([*(docs.column(i) for i in (1, 2, 3, 4, 5)), pa.nulls(docs.num_rows, pa.int32())], schema=_TIES)
+            for data in batch.column(6).drop_null().to_pylist():
+                key, v, n, even, odd = unpack(data)
+                keys.append(key)
+                owners.append(np.repeat(v, n))
+                spares.append(np.where(key & np.uint64(1), np.repeat(odd, n), np.repeat(even, n)))
+        if not keys:
+            return
+        key, v = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((v, key))
+        key, v, spare = key[order], v[order], np.concatenate(spares)[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
+        key, v, spare = key[once], v[once], spare[once]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        size, warm = np.repeat(size, size), _is_in(key, hot)
+        for kind, these in ((KEYS, (size > 1) & ~warm), (HOT, warm)):
+            yield from rows(kind, key[these], v[these], size[these], spare[these])
+
+    return run
 
 
 def _ties(shared: DataFrame) -> DataFrame:
     """(a, b): pivot and other points of each key, once every point has left out its most shared cells."""
-    rows = shared.select(F.col("a").alias("key"), F.col("b").alias("v"), "n", "spare")
+    rows = shared.select("kind", F.col("a").alias("key"), F.col("b").alias("v"), "n", "spare")
+    hot = rows.where(f"kind = {HOT}").drop("n")
+    # one row a hot key, of which there are as many as a sample's bound allows
+    counts = hot.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.where(f"kind = {KEYS}").unionByName(hot.join(F.broadcast(counts), "key"))
     rank = F.row_number().over(Window.partitionBy("v", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("n"), "key"))
     kept = staged(rows.withColumn("rank", rank).where("rank > spare").select("key", "v"))
     pivots = kept.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("most"), F.count("*").alias("points")).where("a < most").select("key", "a", "points")
@@ -287,32 +332,44 @@ def _join_regions(num: int, den: int):
 
 
 def _shells(num: int, den: int):
-    """Distance of each row's set to its region's pivot, as a shell of width eps."""
+    """Distance of each row's set to its region's pivot, as a shell of width eps, and whether they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            shell, hit = [], []
             for s, p in zip(batch.column("shingles").to_pylist(), batch.column("pivot").to_pylist(), strict=True):
                 x, y = np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(int((1 - both / (len(x) + len(y) - both)) / (1 - num / den + 1e-9)))
-            yield pa.record_batch([*(batch.column(c) for c in ("region", "sig", "doc_id", "shingles", "n")), pa.array(out, pa.int32())], names=["region", "sig", "doc_id", "shingles", "n", "shell"])
+                union = len(x) + len(y) - both
+                shell.append(int((1 - both / union) / (1 - num / den + 1e-9)))
+                hit.append(den * both >= num * union)
+            yield pa.record_batch([*(batch.column(c) for c in ("region", "sig", "doc_id", "shingles", "n", "pivot_id")), pa.array(shell, pa.int32()), pa.array(hit)], names=["region", "sig", "doc_id", "shingles", "n", "pivot_id", "shell", "hit"])
 
     return run
 
 
-def _split(large: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """Regions beyond one task: shells about a pivot, cut into blocks by hash; shells that touch meet block by block."""
-    pivots = large.groupBy("region").agg(F.min_by("shingles", F.xxhash64("sig")).alias("pivot"))
-    rows = staged(large.join(pivots, "region").mapInArrow(_shells(num, den), "region long, sig binary, doc_id long, shingles binary, n long, shell int"))
-    count = staged(rows.groupBy("region", "shell").agg(F.ceil(F.sum("n") / F.lit(most / 2)).cast("int").alias("blocks")))
-    cut = rows.join(count, ["region", "shell"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    each = count.select("region", "shell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+def _split(large: DataFrame, num: int, den: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Regions beyond one task: (regions of less size, links found already).
+
+    All that link to a region's pivot are one component, so they need not meet one another.  The rest falls into shells
+    about the pivot, cut into blocks by hash; shells that touch meet block by block, where a block holds one of the rest.
+    """
+    pivots = staged(large.groupBy("region").agg(F.min_by(F.struct("shingles", "doc_id"), F.xxhash64("sig")).alias("p"), F.count("*").alias("points")))
+    pivots, total = pivots.select("region", F.col("p.shingles").alias("pivot"), F.col("p.doc_id").alias("pivot_id"), "points"), pivots.agg(F.sum("points")).first()[0]
+    rows = join_skewed(large, pivots, "region", "points", total).mapInArrow(_shells(num, den), "region long, sig binary, doc_id long, shingles binary, n long, pivot_id long, shell int, hit boolean")
+    rows = staged(rows)
+    count = staged(rows.groupBy("region", "shell", "hit").agg(F.ceil(F.sum("n") / F.lit(most / 2)).cast("int").alias("blocks"), F.count("*").alias("points")))
+    each = count.select("region", "shell", "hit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    each = each.withColumn("of", F.struct("shell", "hit", "block"))
     a, b = each.alias("a"), each.alias("b")
-    pairs = a.join(b, F.expr("a.region = b.region AND (b.shell = a.shell AND b.block >= a.block OR b.shell = a.shell + 1)"))
-    pairs = pairs.select("a.region", F.xxhash64("a.region", "a.shell", "a.block", "b.shell", "b.block").alias("pair"), F.array_distinct(F.array(F.struct("a.shell", "a.block"), F.struct("b.shell", "b.block"))).alias("of"))
-    pairs = pairs.select("region", "pair", F.explode("of").alias("of")).select("region", "pair", F.col("of.shell").alias("shell"), F.col("of.block").alias("block"))
-    return cut.join(pairs, ["region", "shell", "block"]).select(F.col("pair").alias("region"), "sig", "doc_id", "shingles")
+    pairs = a.join(b, F.expr("a.region = b.region AND (b.shell = a.shell AND b.of >= a.of OR b.shell = a.shell + 1) AND NOT (a.hit AND b.hit)"))
+    pairs = pairs.select("a.region", F.xxhash64("a.region", "a.of", "b.of").alias("pair"), F.explode(F.array_distinct(F.array("a.of", "b.of"))).alias("of"))
+    pairs = pairs.select("region", "pair", "of.*")
+    cut = join_skewed(rows.withColumn("cell", F.xxhash64("region", "shell", "hit")), count.select(F.xxhash64("region", "shell", "hit").alias("cell"), "blocks", "points"), "cell", "points", total)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    parts = cut.join(pairs, ["region", "shell", "hit", "block"]).select(F.col("pair").alias("region"), "sig", "doc_id", "shingles")
+    # the rest of a block that meets nobody links with itself
+    return parts, rows.select("sig", F.col("doc_id").alias("a"), F.when(F.col("hit"), F.col("pivot_id")).otherwise(F.col("doc_id")).alias("b"))
 
 
 def _bitmap(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
@@ -325,7 +382,7 @@ def _bitmap(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
-def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES, hot_sample: tuple[int, int] = (SAMPLE_DOCS, HOT_AMONG)) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row.
 
     class_id is the least id with the same shingle set, component_id the least id reachable by links.  Without
@@ -333,10 +390,11 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
     """
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = buckets_for(docs, 4 << 20)
-    ties = staged(docs.mapInArrow(_points(words, num, den, n), _ROWS).repartitionById(n, "bucket").mapInArrow(_share, "kind int, a long, b long, n long, sig binary, spare int"))
+    hot = hot_keys(docs, words, num, den, *hot_sample)
+    ties = staged(docs.mapInArrow(_points(words, num, den, n, hot), _ROWS).repartitionById(n, "bucket").mapInArrow(_share(hot), "kind int, a long, b long, n long, sig binary, spare int"))
     rows = ties.where(f"kind = {DOCUMENT}").select(F.col("a").alias("doc_id"), F.col("b").alias("v"), "n", "sig")
     classes = staged(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("v").alias("v"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    edges = _ties(ties.where(f"kind = {KEYS}"))
+    edges = _ties(ties.where(f"kind <> {DOCUMENT}"))
     tied = components(edges, "a", "b")
     unstaged(edges)
     wanted = staged(classes.join(tied.select(F.col("vertex").alias("v"), F.col("root").alias("region")), "v").select("region", "sig", F.col("class_id").alias("doc_id"), "n"))
@@ -346,11 +404,11 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
     ready, again = sets.select("region", "sig", "doc_id", "shingles"), size.head(1)
     if again:
         sets = staged(sets)
-        parts = _split(sets.join(size, "region", "left_semi"), num, den, region_shingles)
+        parts, found = _split(sets.join(size, "region", "left_semi"), num, den, region_shingles)
         ready = sets.join(size, "region", "left_anti").select("region", "sig", "doc_id", "shingles").union(parts)
     links = ready.repartition(n, "region").sortWithinPartitions("region").mapInArrow(_join_regions(num, den), "sig binary, a long, b long")
     if again:
-        links = staged(links)
+        links = staged(links.unionByName(found))
         roots = components(links.select("a", "b"), "a", "b")
         links = links.select("sig", "a").distinct().join(roots, F.col("a") == F.col("vertex"), "left").select("sig", "a", F.coalesce("root", "a").alias("b"))
     named = staged(classes.join(links.select("sig", F.col("b").alias("root")), "sig", "left").select("sig", "class_id", F.coalesce("root", "class_id").alias("component_id"), "copies"))
