@@ -13,11 +13,12 @@ f AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY source_size / weight, o
         sum(source_size) OVER () AS total FROM w),
 l AS (SELECT *, (CAST(total AS DOUBLE) * 1.5::DOUBLE - CAST(capped AS DOUBLE) * 2) / CAST(open AS DOUBLE) AS level FROM f),
 m AS (SELECT arg_min(level, (source_size / weight, ordinal)) AS level FROM l WHERE level * weight <= source_size * 2),
-t AS (SELECT source, source_size, coalesce(least(CAST(source_size * 2 AS DOUBLE), m.level * weight), CAST(source_size * 2 AS DOUBLE)) AS target FROM l LEFT JOIN m ON true),
+t AS (SELECT source, source_size, ordinal, coalesce(least(CAST(source_size * 2 AS DOUBLE), m.level * weight), CAST(source_size * 2 AS DOUBLE)) AS target FROM l LEFT JOIN m ON true),
 p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY spread, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d)
-SELECT doc_id, size, source_size, target,
-    CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - start)) + greatest(0, least(size, CAST(floor(target) AS BIGINT) - source_size - start)) AS BIGINT) AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE WHEN a = b THEN u ELSE (sqrt(a * a + (b * b - a * a) * u) - a) / (b - a) END END AS position
+FROM (SELECT *, CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - start)) + greatest(0, least(size, CAST(floor(target) AS BIGINT) - source_size - start)) AS BIGINT) AS taken,
+    CASE WHEN target > 0 THEN least(1.0::DOUBLE, CAST(start AS DOUBLE) / target) END AS u, ([1.5, 0.5, 1.0]::DOUBLE[])[(ordinal % 3) + 1] AS a, ([0.5, 1.5, 1.0]::DOUBLE[])[(ordinal % 3) + 1] AS b
+    FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
 """
 
 OP5 = rf"""
@@ -44,4 +45,28 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kep
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
-ORACLES = {"op4_mixing": OP4, "op5_jaccard_join": OP5, "op10_substring_dedup": OP10}
+# the texts of conversation -1 and the marks of a turn, 24 characters beside its role and text
+OP3 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)) AS head, replace(replace(text, '\', '\\'), '<|', '<\|') AS body FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(24 + length(head) + length(body)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+# base32 of the 160 bits of a digest, five at a time from its hex digits
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex),
+r AS (SELECT page_id, html, hex, first, coalesce(page_id > first, first IS NOT NULL) AS later FROM p JOIN f USING (hex))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda k:
+        (((instr('0123456789abcdef', substr(hex, (c * 5 + k) // 4 + 1, 1)) - 1) >> (3 - (c * 5 + k) % 4)) & 1) << (4 - k))) AS INT), 1)), '') AS payload_digest,
+    CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN first END AS refers_to, true AS complete
+FROM r
+"""
+
+ORACLES = {"op3_chat": OP3, "op7_warc": OP7, "op4_mixing": OP4, "op5_jaccard_join": OP5, "op10_substring_dedup": OP10}
