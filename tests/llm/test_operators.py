@@ -110,6 +110,13 @@ def test_jaccard_join(spark, n, num, most):
         assert Counter(map(tuple, found)) == Counter(brute_components([r[:2] for r in rows], n, num, 100))
 
 
+def test_jaccard_join_with_hot_keys(spark):
+    for rows in (ODD, near_copies(200, 2)):
+        for sample in ((10**6, 1), (10**6, 6)):
+            found = jaccard_join.jaccard_components(table(spark, rows), words=3, num=80, region_shingles=3000, hot_sample=sample).select("doc_id", "n_shingles", "component_id").collect()
+            assert Counter(map(tuple, found)) == Counter(brute_components([r[:2] for r in rows], 3, 80, 100))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
     found = dict(map(tuple, components.components(edges).collect()))
@@ -372,7 +379,7 @@ def test_every_read_has_its_own_position(spark, sf):
     docs = [tuple(r) for r in df.select("doc_id", "text", "lang", "source").collect()]
     ordinal = {s: k for k, s in enumerate(sorted({r[3] for r in docs}))}
     source, start = {r[0]: r[3] for r in docs}, places(docs)
-    found, reads = queries.op4_mixing(spark, sf).collect(), mixing.mixed_reads(df).collect()
+    found, reads = mixing.mix_sources(df, every_position=True).collect(), mixing.mixed_reads(df).collect()
     by = defaultdict(list)
     for r in sorted(reads, key=lambda r: r.read):
         by[r.doc_id].append(r)
@@ -648,6 +655,21 @@ def test_clashing_columns_of_pages_and_conversations(spark):
     assert (row.n_turns, row.loss_chars) == (2, 1) and row.turns_sha256 == hashlib.sha256(("user\n" + "x" * 200_000 + "\nassistant\ny\n").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", ["op3_chat", "op4_mixing", "op5_jaccard_join", "op7_warc", "op10_substring_dedup"])
+def test_query_against_its_sql(spark, sf, name):
+    import duckdb
+
+    from sieve.llm.oracles import ORACLES
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    out, plain = queries.QUERIES[name](spark, sf), con.execute(ORACLES[name])
+    columns = [d[0] for d in plain.description]
+    assert sorted(out.columns) == sorted(columns)
+    assert Counter(map(tuple, out.select(*columns).collect())) == Counter(plain.fetchall())
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert substring_dedup.remove_repeated_windows(none).count() == 0
