@@ -90,9 +90,12 @@ def unescape_all(c: Column) -> Column:
 
 
 def pattern_of(term: str) -> str:
-    """Java regex of a keyword between characters other than a-z and 0-9."""
-    words = " ".join(term.lower().split())
-    return r"(?<![a-z0-9])" + re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", words) + r"(?![a-z0-9])"
+    """Java regex of a keyword between characters other than a-z and 0-9.
+
+    The word comes first and what stands before it is looked at afterwards, so most places fail at one character.
+    """
+    words = re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", " ".join(term.lower().split()))
+    return f"{words}(?<![a-z0-9]{words})(?![a-z0-9])"
 
 
 def has_keyword(text: Column, term: str) -> Column:

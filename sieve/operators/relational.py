@@ -5,8 +5,12 @@ Every operator that depends on order takes it as columns; none uses the order in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 
 def first_wins(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -57,12 +61,32 @@ def bounded_fifo(values: Column, most: int, held: Column | None = None) -> Colum
 def board_rollup(refs: DataFrame, key: str, at: str, value: str, order: str, most: int) -> DataFrame:
     """first_seen, last_seen and the bounded list of values of each board.
 
-    Adjacent repeats change nothing and are dropped before the values are gathered.
+    Values are folded as they come out of the sort, so a board of any size holds ``most`` of them in memory.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    moved = refs.withColumn("_new", ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1))
-    gathered = F.transform(F.array_sort(F.collect_list(F.when(F.col("_new"), F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v"))))), lambda x: x["v"])
-    return moved.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), bounded_fifo(gathered, most).alias("sample"))
+    rows = refs.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("string").alias("v"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        board, held, done = None, [], []
+        for batch in batches:
+            for k, v in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if board is None or k != board:
+                    done += [(board, held)] * (board is not None)
+                    board, held = k, []
+                if v not in held:
+                    held = [*held, v][-most:]
+            if done:
+                yield out(done, batch.schema.field(0))
+                done = []
+        if board is not None:
+            yield out([(board, held)], pa.field("k", board.type))
+
+    def out(done: list, kind: pa.Field) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([k.as_py() for k, _ in done], kind.type), pa.array([h for _, h in done], pa.list_(pa.string()))], names=["k", "sample"])
+
+    schema = StructType([rows.schema["k"]]).add("sample", ArrayType(StringType()))
+    folded = rows.repartition("k").sortWithinPartitions("k", "o").select("k", "v").mapInArrow(fold, schema)
+    seen = refs.groupBy(F.col(key).alias("_k")).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
+    return seen.join(folded, F.col("_k").eqNullSafe(F.col("k"))).select(F.col("_k").alias(key), "first_seen", "last_seen", "sample")
 
 
 def failure_streak(log: DataFrame, key: str, order: list[str], failed: Column, most: int) -> DataFrame:
@@ -83,10 +107,23 @@ def poll_spread(boards: DataFrame, token: str, last_polled: Column, seed: str, m
     return boards.withColumn("bucket", spread).orderBy(last_polled, "bucket").limit(most)
 
 
-def budget_cut(df: DataFrame, group: str, order: list[str], amount: str, budget: float) -> DataFrame:
-    """Rows of each group while the amounts before them stay under the budget."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.sum(amount).over(w), F.lit(0.0))).where(F.col("before") < budget)
+def budget_cut(df: DataFrame, group: str, order: list[str], amount: str, budget: float, parts: int = 64) -> DataFrame:
+    """Rows of each group while the amounts before them stay under the budget; amounts are 0 or more.
+
+    A group is cut into ranges of the first column of the order, a number, and their sums are added up first, so a large
+    group is spread over tasks; ranges that start beyond the budget are left out before any sort.
+    """
+    x = F.col(order[0]).cast("double")
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    width = ((high - low) / parts or 1.0) if low is not None else 1.0
+    rows = df.withColumn("_part", F.coalesce(F.floor((x - F.lit(low or 0.0)) / F.lit(width)), F.lit(-1)))
+    sums = rows.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_at")).agg(F.sum(amount).alias("_sum"))
+    up = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_group", "_at", F.coalesce(F.sum("_sum").over(up), F.lit(0.0)).alias("_start")).where(F.col("_start") < budget)
+    rows = rows.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")))
+    inside = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum(amount).over(inside), F.lit(0.0))
+    return rows.withColumn("before", before).where(F.col("before") < budget).drop("_part", "_group", "_at", "_start")
 
 
 def last_runs(runs: DataFrame, key: str, order: list[Column], most: int = 50) -> DataFrame:
