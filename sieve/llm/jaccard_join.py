@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieve.llm.common import NULL_ID, WordHashes, buckets_for, join_skewed, mix, pack, rolling, staged, unpack, unstaged
+from sieve.llm.common import NULL_ID, WordHashes, buckets_for, join_skewed, mix, pack, rolling, staged, trimmed, unpack, unstaged
 from sieve.llm.components import components
 
 BASE = 0xC2B2AE3D27D4EB4F
@@ -391,14 +391,14 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = buckets_for(docs, 4 << 20)
     hot = hot_keys(docs, words, num, den, *hot_sample)
-    ties = staged(docs.mapInArrow(_points(words, num, den, n, hot), _ROWS).repartitionById(n, "bucket").mapInArrow(_share(hot), "kind int, a long, b long, n long, sig binary, spare int"))
+    ties = staged(docs.mapInArrow(trimmed(_points(words, num, den, n, hot)), _ROWS).repartitionById(n, "bucket").mapInArrow(trimmed(_share(hot)), "kind int, a long, b long, n long, sig binary, spare int"))
     rows = ties.where(f"kind = {DOCUMENT}").select(F.col("a").alias("doc_id"), F.col("b").alias("v"), "n", "sig")
     classes = staged(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("v").alias("v"), F.first("n").alias("n"), F.count("*").alias("copies")))
     edges = _ties(ties.where(f"kind <> {DOCUMENT}"))
     tied = components(edges, "a", "b")
     unstaged(edges)
     wanted = staged(classes.join(tied.select(F.col("vertex").alias("v"), F.col("root").alias("region")), "v").select("region", "sig", F.col("class_id").alias("doc_id"), "n"))
-    sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23)).alias("at")).mapInArrow(_sets(words, _bitmap(wanted)), "doc_id long, sig binary, shingles binary")
+    sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23)).alias("at")).mapInArrow(trimmed(_sets(words, _bitmap(wanted))), "doc_id long, sig binary, shingles binary")
     sets = wanted.join(sets, (wanted.sig == sets.sig) & wanted.doc_id.eqNullSafe(sets.doc_id)).select("region", wanted.sig, wanted.doc_id, "shingles", "n")
     size = staged(wanted.groupBy("region").agg(F.sum("n").alias("shingles"), F.count("*").alias("points")).where(f"shingles > {region_shingles}").select("region"))
     ready, again = sets.select("region", "sig", "doc_id", "shingles"), size.head(1)
@@ -406,7 +406,7 @@ def jaccard_components(df: DataFrame, *, words: int = 5, num: int = 80, den: int
         sets = staged(sets)
         parts, found = _split(sets.join(size, "region", "left_semi"), num, den, region_shingles)
         ready = sets.join(size, "region", "left_anti").select("region", "sig", "doc_id", "shingles").union(parts)
-    links = ready.repartition(n, "region").sortWithinPartitions("region").mapInArrow(_join_regions(num, den), "sig binary, a long, b long")
+    links = ready.repartition(n, "region").sortWithinPartitions("region").mapInArrow(trimmed(_join_regions(num, den)), "sig binary, a long, b long")
     if again:
         links = staged(links.unionByName(found))
         roots = components(links.select("a", "b"), "a", "b")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from sieve.llm.common import trimmed
+
 DEPTH = 300
 MOST_DOCS = 4000
 RUN = 500_000
@@ -121,7 +123,7 @@ def learn(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
                     seen, place = np.unique(gram[own], return_inverse=True)
                     yield pa.record_batch([pa.array([lang] * len(seen)), pa.array(seen.astype(np.int64)), pa.array(np.bincount(place, n[own]).astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = picked.mapInArrow(trimmed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= depth).select("lang", "gram", "rank").collect()
     out: dict[str, list[int]] = {}
@@ -172,7 +174,7 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], *, text_col: str = "
 
     rows = df.select(*(F.col(f"`{c}`") for c in rest))
     schema = StructType(list(rows.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import staged
+from sieve.llm.common import staged, trimmed
 
 SEQUENCE, END_ID = 2048, 0
 POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 2, 2, 30, 4
 #: Bins filled less than this are pooled anew.
 FULL = 0.995
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 # Fixed value: how byte-level pre-tokenizers split a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -132,7 +132,7 @@ def pieces(df: DataFrame, tokenizer: str, *, size: int = SEQUENCE, end_id: int =
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import NULL_ID, WordHashes, buckets_for, mix, pack, rolling, unpack
+from sieve.llm.common import NULL_ID, WordHashes, buckets_for, mix, pack, rolling, trimmed, unpack
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 FLUSH_WORDS, FLUSH_BYTES = 600_000, 4 << 20
@@ -234,7 +234,7 @@ def remove_repeated_windows(df: DataFrame, *, size: int = 13, id_col: str = "doc
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = buckets_for(docs, 4 << 20)
-    answers = docs.mapInArrow(_hash_windows(size, n), _PACKED).repartitionById(n, "bucket").mapInArrow(_count(n), _PACKED)
-    texts = docs.mapInArrow(_pack_texts(n), _PACKED)
+    answers = docs.mapInArrow(trimmed(_hash_windows(size, n)), _PACKED).repartitionById(n, "bucket").mapInArrow(trimmed(_count(n)), _PACKED)
+    texts = docs.mapInArrow(trimmed(_pack_texts(n)), _PACKED)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", kept_text string" * with_text
-    return answers.union(texts).repartitionById(n, "bucket").mapInArrow(_remove(size, with_text), out)
+    return answers.union(texts).repartitionById(n, "bucket").mapInArrow(trimmed(_remove(size, with_text)), out)
