@@ -33,7 +33,7 @@ SEQUENCE, END_ID = 2048, 0
 POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 2, 2, 30, 4
 #: Bins filled less than this are pooled anew.
 FULL = 0.995
-MOST_WORDS = 200_000
+MOST_WORDS = 300_000
 # Fixed value: how byte-level pre-tokenizers split a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
