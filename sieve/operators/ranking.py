@@ -8,7 +8,7 @@ import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.functions.text import blank, json_object
@@ -18,6 +18,7 @@ from sieve.operators.rules import rationale, signal_score
 THRESHOLD = 70
 #: Postings shown to a model; its answer may name any posting.
 SHOWN = 60
+MOST_SHOWN_CHARS = 1200
 _ANSWER = "struct<opportunities:array<struct<key:string,score:double,include:boolean,scholar_fit_reason:string,why_cool:string,risk_flags:array<string>>>>"
 
 
@@ -52,11 +53,24 @@ def by_points(jobs: DataFrame, least: int, most: int, stage: Callable[[DataFrame
     return _selected(stage(scored(jobs)), least, most)
 
 
+def compact(**columns: Column | str) -> Column:
+    """The columns as one JSON object in their order, the description cut to what a model is shown of it."""
+    cut = {n: F.left(c, F.lit(MOST_SHOWN_CHARS)) if n == "description" else c for n, c in columns.items()}
+    return F.to_json(F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in cut.items())))
+
+
+def outcome(chosen: Column, rejected: Column) -> dict[str, Column]:
+    """Status and reason of a posting that the ranking chose or not, and that a rule (or null) kept out before it."""
+    why = F.when(rejected.isNotNull(), F.concat(F.lit("conditions_filter:"), rejected)).when(chosen, "").otherwise("not_selected")
+    return {"status": F.when(chosen, "included").otherwise("rejected"), "rejection_reason": why}
+
+
 def shown(jobs: DataFrame) -> list[str]:
     """The best postings by points as JSON, for a prompt; at most SHOWN rows reach the driver."""
-    row = F.struct(F.col("stable_key").alias("key"), "title", "company", "city", "location_text", "department", "employment_type", "posted_at", F.slice("tags", 1, 12).alias("tags"), F.left("description_text", F.lit(1200)).alias("description"))
+    same = {c: c for c in ("title", "company", "city", "location_text", "department", "employment_type", "posted_at")}
+    row = compact(key="stable_key", **same, tags=F.slice("tags", 1, 12), description=F.col("description_text"))
     top = scored(jobs).orderBy(F.desc("points"), "stable_key").limit(SHOWN)
-    return [r.row for r in top.select(F.to_json(row).alias("row")).collect()]
+    return [r.row for r in top.select(row.alias("row")).collect()]
 
 
 # Fixed value: what a model is told to return.

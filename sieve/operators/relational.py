@@ -19,13 +19,38 @@ def first_wins(df: DataFrame, keys: list[Column | str], order: list[Column | str
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def first_n(df: DataFrame, group: Column | str, order: list[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group; cut before the shuffle too."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def leading(df: DataFrame, value: str, place: str, least: int, most: int) -> DataFrame:
+    """(value, n, first): the ``most`` frequent values that occur ``least`` times or more; the first placed wins a tie."""
+    counts = df.groupBy(value).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "first").limit(most)
+
+
+def attach(df: DataFrame, facts: DataFrame, key: str, mark: str) -> DataFrame:
+    """``df`` with the columns of ``facts``, null where it has no row of the key, and whether it has one in ``mark``."""
+    rows = df.join(facts.withColumn(mark, F.lit(True)), key, "left")
+    return rows.withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
+def tally(included: Column, rejected: Column) -> list[Column]:
+    """Aggregates of evaluated rows; without rows nothing failed, and yet not all is well."""
+    return [
+        F.count("*").alias("evaluated"), F.count_if(included).alias("included"), F.count_if(rejected).alias("rejected"),
+        F.coalesce(F.bool_or(rejected), F.lit(False)).alias("any_failed"), F.coalesce(F.bool_and(~rejected), F.lit(False)).alias("all_ok"),
+    ]
+
+
 def per_group_cap(df: DataFrame, group: Column | str, order: list[Column], cap: int, most: int) -> DataFrame:
     """At most ``cap`` rows a group and ``most`` in all, in order, with rank 1..n.
 
     The cut to ``most`` is a top-k; only its rows are ranked in one place.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn").orderBy(*order).limit(most)
+    top = first_n(df, group, order, cap).orderBy(*order).limit(most)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 

@@ -62,7 +62,7 @@ def signal_score(*, title: Column, company: Column, department: Column, employme
         score = score + F.when(in_role, float(points)).when(in_context, max(4, points * 0.4) * 1.0).otherwise(0.0)
         reasons.append(F.when(in_role | in_context, term))
     for term, points in BRAND_TERMS.items():
-        hit = low_company.contains(term) | context.contains(term)
+        hit = brand_hit(low_company, context, term)
         score = score + F.when(hit, float(points)).otherwise(0.0)
         reasons.append(F.when(hit, term))
     for mark, table in (("low-signal", LOW_SIGNAL_TERMS), ("seniority", SENIOR_TERMS)):
@@ -74,6 +74,16 @@ def signal_score(*, title: Column, company: Column, department: Column, employme
     return score, F.filter(F.array(*reasons), lambda r: r.isNotNull())
 
 
+def brand_hit(company: Column, context: Column, term: str) -> Column:
+    """A brand occurs anywhere, inside words too, in lower-case texts."""
+    return company.contains(term) | context.contains(term)
+
+
+def tagged(tags: Column, groups: Column) -> Column:
+    """The tags and, where they lack it, ``condition:`` with each role group's id."""
+    return F.concat(tags, F.array_except(F.transform(groups, lambda g: F.concat(F.lit("condition:"), g)), tags))
+
+
 def rationale(company: Column, city: Column, title: Column, reasons: Column) -> Column:
     head = F.concat(company, F.lit(" role in "), city, F.lit(": "), title)
     return F.when(F.size(reasons) > 0, F.concat(head, F.lit(" ("), F.array_join(F.slice(reasons, 1, 3), ", "), F.lit(")"))).otherwise(head)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieve.functions import dates, places, text, urls
 from sieve.functions.vocabulary import ACRONYMS, BRAND_TERMS, GROUPS, INACTIVE, LOW_SIGNAL_TERMS, OTHER_GROUP, SENIOR_TERMS, SIGNAL_TERMS, THEMES
-from sieve.operators import delivery, ranking, relational, rules
+from sieve.operators import delivery, postings, ranking, relational, rules
 from sieve.plans import jobs
 from sieve.sources import payloads
 
@@ -102,7 +102,10 @@ def content_hash(t):
 _UNESCAPE = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
-@query(f"""SELECT page_id, left(trim(regexp_replace({_UNESCAPE.format("regexp_replace(regexp_replace(regexp_replace(" + _UNESCAPE.format("html") + ", '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')), 12000) AS plain FROM pages""")
+_PLAIN = "left(trim(regexp_replace(" + _UNESCAPE.format("regexp_replace(regexp_replace(regexp_replace(" + _UNESCAPE.format("html") + ", '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')") + ", '\\s+', ' ', 'g')), 12000)"
+
+
+@query(f"SELECT page_id, {_PLAIN} AS plain FROM pages")
 def strip_html(t):
     return t("pages").select("page_id", text.strip_html(col("html")).alias("plain"))
 
@@ -209,9 +212,9 @@ def source_join(t):
     CASE WHEN r.k IS NULL THEN '' ELSE o_orderpriority END AS description FROM orders LEFT JOIN (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000) r ON r.k = o_orderkey""")
 def evaluated_status(t):
     orders = t("orders")
-    picked = orders.where("o_totalprice > 200000").select(col("o_orderkey").alias("k"))
-    no = col("k").isNull()
-    return orders.join(picked, col("o_orderkey") == col("k"), "left").select("o_orderkey", F.when(no, "rejected").otherwise("included").alias("status"), F.when(no, "not_selected").otherwise("").alias("rejection_reason"), F.when(no, "").otherwise(col("o_orderpriority")).alias("description"))
+    picked = orders.where("o_totalprice > 200000").select("o_orderkey")
+    said = ranking.outcome(col("_on"), F.lit(None).cast("string"))
+    return relational.attach(orders, picked, "o_orderkey", "_on").select("o_orderkey", *(c.alias(n) for n, c in said.items()), F.when(col("_on"), col("o_orderpriority")).otherwise("").alias("description"))
 
 
 @query("""SELECT conv_id, turn, role, CAST(conv_id % 100 AS DOUBLE) AS score FROM conversations""")
@@ -241,8 +244,8 @@ def registry_rollup(t):
 
 @query("SELECT count(DISTINCT user_id) AS added, count(*) - count(DISTINCT user_id) AS updated FROM (SELECT DISTINCT user_id, event_type FROM events)")
 def registry_refresh_counts(t):
-    refs = t("events").select("user_id", "event_type").distinct()
-    return refs.agg(F.count_distinct("user_id").alias("added"), (F.count("*") - F.count_distinct("user_id")).alias("updated"))
+    refs = t("events").select(col("user_id").alias("board_key"), "event_type").distinct()
+    return jobs.board_counts(refs, refs.limit(0)).select("added", "updated")
 
 
 @query("""SELECT user_id, CAST(coalesce(n, 0) AS BIGINT) AS failure_count, coalesce(n, 0) < 3 AS active FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN
@@ -327,7 +330,7 @@ _THEMES = {"articles": ("the", "die", "le"), "joins": ("and", "und", "et"), "rig
 def theme_counts(t):
     found = F.array(*(F.when(text.any_keyword(F.lower("text"), v), F.lit(k)) for k, v in _THEMES.items()))
     rows = t("documents").select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("theme"))
-    return rows.groupBy("theme").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "theme").limit(3)
+    return relational.leading(rows, "theme", "theme", 3, 3).select("theme", "n")
 
 
 @query("SELECT source, count(*) AS fetched, count(*) FILTER (lang = 'en') AS normalized, CAST(max(n_chars) AS BIGINT) AS longest FROM documents GROUP BY source")
@@ -381,21 +384,31 @@ def message_chunks(t):
 
 
 @query("""WITH top AS (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30), r AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS n FROM top),
-    g AS (SELECT o_orderpriority, string_agg(n || '. customer ' || o_custkey || ' - order ' || o_orderkey, chr(10) ORDER BY n) AS body FROM r GROUP BY 1)
-    SELECT string_agg(o_orderpriority || chr(10) || body, chr(10) || chr(10) ORDER BY o_orderpriority) AS digest FROM g""")
+    g AS (SELECT *, CASE WHEN n = min(n) OVER (PARTITION BY o_orderpriority) THEN o_orderpriority || chr(10) ELSE '' END AS head FROM r)
+    SELECT 'Hello,' || chr(10) || chr(10) || 'Roles for the week of 15 June.' || chr(10) || 'Large orders lead.' || chr(10) || chr(10) || string_agg(head || n || '. customer ' || o_custkey || ' - order ' || o_orderkey || chr(10)
+    || '   Location: ' || o_orderstatus || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '   Why it is interesting: even' || chr(10) ELSE '' END || '   Apply: https://example.com/' || o_orderkey || chr(10) || chr(10), '' ORDER BY n) || 'Best' AS digest FROM g""")
 def digest_lines(t):
+    # the message is one text of at most 30 rows, which the driver sends
     top = t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30)
-    ranked = top.withColumn("n", F.row_number().over(Window.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")))
-    line = F.concat(col("n"), F.lit(". customer "), col("o_custkey"), F.lit(" - order "), col("o_orderkey"))
-    groups = ranked.groupBy("o_orderpriority").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    return groups.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderpriority", "body"))), lambda g: F.concat(g["o_orderpriority"], F.lit("\n"), g["body"])), "\n\n").alias("digest"))
+    shown = ranking.display_rank(top, ["o_orderpriority", F.desc("o_totalprice"), "o_orderkey"]).orderBy("display_rank").collect()
+    rows = [{"group": r.o_orderpriority, "company": f"customer {r.o_custkey}", "title": f"order {r.o_orderkey}", "place": r.o_orderstatus, "why": "" if r.o_orderkey % 2 else "even", "url": f"https://example.com/{r.o_orderkey}"} for r in shown]
+    message = delivery.digest_text(rows, week="15 June", trend="Large orders lead.", greeting="Hello,", sign_off="Best")
+    return top.sparkSession.createDataFrame([(message,)], "digest string")
 
 
-@query("""SELECT page_id, left(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), 40) AS title, left(url, 1200) AS canonical_url
-    FROM pages WHERE trim(regexp_extract(html, '<title>(.*?)</title>', 1)) <> '' AND url <> ''""")
+@query(f"""SELECT CAST(page_id AS VARCHAR) AS external_id, title, company, canonical_url, location_text, CASE page_id % 3 WHEN 0 THEN 'Sydney' ELSE 'Remote' END AS city, page_id % 3 = 1 AS remote, 'pages:' || page_id AS stable_key,
+    sha256(CAST(json_object('canonical_url', canonical_url, 'company', company, 'description_text', left(plain, 2000), 'external_id', CAST(page_id AS VARCHAR), 'location_text', location_text, 'source_id', 'pages', 'title', title) AS VARCHAR)) AS content_hash, plain AS description_text
+    FROM (SELECT page_id, left(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), 220) AS title, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS company, left(url, 1200) AS canonical_url,
+    CASE page_id % 3 WHEN 0 THEN 'Sydney, NSW' ELSE 'Remote' END AS location_text, {_PLAIN} AS plain FROM pages WHERE page_id % 3 <> 2) WHERE title <> '' AND company <> '' AND canonical_url <> ''""")
 def normalize_rows(t):
-    rows = t("pages").select("page_id", text.clean_text(F.regexp_extract("html", "<title>(.*?)</title>", 1), 40).alias("title"), text.clean_text(col("url"), 1200).alias("canonical_url"))
-    return rows.where((col("title") != "") & (col("canonical_url") != ""))
+    none, m = F.lit(None).cast("string"), col("page_id") % 3
+    place = F.when(m == 0, "Sydney, NSW").when(m == 1, "Remote").otherwise("Elsewhere")
+    raw = t("pages").select(
+        F.lit("pages").alias("source_id"), col("page_id").cast("string").alias("external_id"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), urls.host_of(col("url")).alias("company"), place.alias("location"),
+        col("url").alias("canonical_url"), col("html").alias("description_text"), none.alias("posted_at"), none.alias("created_at"), none.alias("updated_at"), F.lit(None).cast("array<string>").alias("tags"), F.lit(0).alias("pos"),
+    )
+    rows = postings.normalize(raw, fetched_at="2024-06-10T00:00:00+00:00", remote_ok=True)
+    return rows.select("external_id", "title", "company", "canonical_url", "location_text", "city", "remote", "stable_key", "content_hash", "description_text")
 
 
 @query(f"SELECT n_nationkey, ({_CITY}) <> '' OR lower({_LOCATION}) LIKE '%remote%' AS allowed, CASE WHEN ({_CITY}) <> '' THEN ({_CITY}) WHEN n_nationkey % 5 = 3 THEN 'Remote' ELSE '' END AS city, n_nationkey % 5 IN (1, 2, 3) AS remote FROM nation")
@@ -417,7 +430,7 @@ def unsent_included(t):
 
 @query("SELECT doc_id, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def match_attach(t):
-    return t("documents").select("doc_id", "source").join(t("labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return relational.attach(t("documents").select("doc_id", "source"), t("labels").select("doc_id", "quality", "toxic"), "doc_id", "_on").drop("_on")
 
 
 @query("""SELECT doc_id, CASE WHEN s.k IS NULL THEN '' ELSE 'If-None-Match=' || s.etag END AS headers FROM documents LEFT JOIN (SELECT 'src' || s_suppkey AS k, s_name AS etag FROM supplier) s ON s.k = source""")
@@ -447,23 +460,23 @@ def budget_cut(t):
 @query("""SELECT o_orderkey, coalesce(l.l_returnflag, o_orderstatus) AS flag, coalesce(l.l_linenumber, 0) AS line FROM orders LEFT JOIN
     (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem WHERE l_quantity > 10) WHERE rn <= 2) l ON l.l_orderkey = o_orderkey""")
 def detail_overlay(t):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    detail = t("lineitem").where("l_quantity > 10").select("l_orderkey", "l_linenumber", "l_returnflag", F.row_number().over(w).alias("rn")).where("rn <= 2")
-    rows = t("orders").select("o_orderkey", "o_orderstatus").join(detail, col("o_orderkey") == col("l_orderkey"), "left")
-    return rows.select("o_orderkey", F.coalesce("l_returnflag", "o_orderstatus").alias("flag"), F.coalesce("l_linenumber", F.lit(0)).alias("line"))
+    items = t("lineitem").where("l_quantity > 10").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    detail = relational.first_n(items, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], 2)
+    index = t("orders").select("o_orderkey", col("o_orderstatus").alias("flag"), F.lit(0).alias("line"))
+    return relational.upsert(index, detail.select(col("l_orderkey").alias("o_orderkey"), col("l_returnflag").alias("flag"), col("l_linenumber").alias("line")), "o_orderkey")
 
 
 @query("SELECT n_name, count(*) AS n, min(c_custkey) AS first FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, first LIMIT 3")
 def top_places(t):
-    counts = t("customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
-    return counts.join(t("nation"), col("c_nationkey") == col("n_nationkey")).where("n >= 2").select("n_name", "n", "first").orderBy(F.desc("n"), "first").limit(3)
+    top = relational.leading(t("customer"), "c_nationkey", "c_custkey", 2, 3)
+    return top.join(t("nation"), col("c_nationkey") == col("n_nationkey")).select("n_name", "n", "first")
 
 
 @query("""SELECT user_id, count(*) FILTER (event_type = 'purchase') AS included, count(*) FILTER (event_type = 'error') AS rejected, count(*) AS evaluated, bool_or(event_type = 'error') AS any_failed,
     count(*) > 0 AND bool_and(event_type <> 'error') AS all_ok, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY 1""")
 def status_counts(t):
     e = col("event_type")
-    return t("events").groupBy("user_id").agg(F.count_if(e == "purchase").alias("included"), F.count_if(e == "error").alias("rejected"), F.count("*").alias("evaluated"), F.bool_or(e == "error").alias("any_failed"), F.bool_and(e != "error").alias("all_ok"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+    return t("events").groupBy("user_id").agg(*relational.tally(e == "purchase", e == "error"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
 
 
 @query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
@@ -488,7 +501,7 @@ def parse_dates(t):
 
 @query("SELECT p_partkey, contains(lower(p_name), 'an') AS branded FROM part")
 def brand_substring(t):
-    return t("part").select("p_partkey", F.lower("p_name").contains("an").alias("branded"))
+    return t("part").select("p_partkey", rules.brand_hit(F.lower("p_name"), F.lit(""), "an").alias("branded"))
 
 
 @query("""SELECT DISTINCT strftime(m, '%G-W%V') AS week, CASE WHEN month(m) = month(m + INTERVAL 6 DAY) THEN strftime(m, '%B ') || day(m) || '-' || day(m + INTERVAL 6 DAY) || strftime(m, ', %Y')
@@ -510,8 +523,8 @@ def token_display_name(t):
 
 @query("SELECT p_partkey, array_to_string(list_concat(tags, list_filter(extra, lambda x: NOT list_contains(tags, x))), ',') AS tags FROM (SELECT p_partkey, [p_brand, 'condition:a'] AS tags, ['condition:a', 'condition:' || p_type] AS extra FROM part)")
 def tag_enrich(t):
-    tags, extra = F.array("p_brand", F.lit("condition:a")), F.transform(F.array(F.lit("a"), "p_type"), lambda g: F.concat(F.lit("condition:"), g))
-    return t("part").select("p_partkey", F.array_join(F.concat(tags, F.array_except(extra, tags)), ",").alias("tags"))
+    tags = rules.tagged(F.array("p_brand", F.lit("condition:a")), F.array(F.lit("a"), "p_type"))
+    return t("part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
 
 
 @query("""SELECT p_partkey, 'https://index.example.org/' || p_brand || '?url=' || replace(replace(p_name, ' ', '%20'), '#', '%23') || '%2F%2A&output=json&fl=url%2Ctimestamp%2Cstatus%2Cmime&filter=status%3A200&collapse=urlkey&limit=50' AS url,
@@ -537,7 +550,7 @@ def active_boards(t):
 
 @query("SELECT doc_id, CAST(json_object('description', left(text, 1200), 'lang', lang, 'source', source) AS VARCHAR) AS row FROM documents")
 def compact_projection(t):
-    return t("documents").select("doc_id", F.to_json(F.struct(F.left("text", F.lit(1200)).alias("description"), "lang", "source")).alias("row"))
+    return t("documents").select("doc_id", ranking.compact(description=col("text"), lang="lang", source="source").alias("row"))
 
 
 @query("SELECT p_partkey, p_brand || ' role in ' || p_type || ': ' || p_name || CASE WHEN p_size > 25 THEN ' (big, ' || p_size || ')' ELSE '' END AS why FROM part")

@@ -5,11 +5,10 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections import Counter
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieve.functions import dates, text, urls
@@ -53,7 +52,7 @@ def merged_boards(old: DataFrame, refs: DataFrame, at: str) -> DataFrame:
     A board's refs are distinct, so the last 3 * MOST_IDS of them give the same bounded lists as all of them would:
     within the first two thirds every value held before is evicted.  No board is gathered beyond that.
     """
-    last = refs.withColumn("_rn", F.row_number().over(Window.partitionBy("board_key").orderBy(F.desc("url")))).where(f"_rn <= {3 * MOST_IDS}")
+    last = relational.first_n(refs, "board_key", [F.desc("url")], 3 * MOST_IDS)
     new = last.groupBy("board_key").agg(F.min("ats").alias("_ats"), F.min("board_token").alias("_token"), F.array_sort(F.collect_list(F.struct("url", "job_id"))).alias("_refs"))
     rows, none = new.join(old, "board_key", "left"), F.array().cast("array<string>")
 
@@ -66,17 +65,21 @@ def merged_boards(old: DataFrame, refs: DataFrame, at: str) -> DataFrame:
     )
 
 
+def board_counts(refs: DataFrame, old: DataFrame) -> DataFrame:
+    """One row: refs accepted, boards added, and refs of boards known by then, those added in the batch included."""
+    boards = relational.attach(refs.groupBy("board_key").agg(F.count("*").alias("n")), old.select("board_key"), "board_key", "known")
+    found = boards.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("accepted"), F.count_if(~F.col("known")).alias("added"))
+    return found.withColumn("updated", F.col("accepted") - F.col("added"))
+
+
 def refresh_registry(store: StateStore, records: DataFrame, *, at: str, run_id: str, excluded: list[str] = (), write: bool = True) -> dict[str, int]:
     """Boards found in crawl records enter the registry.  Counters: raw, accepted, rejected, added, updated.
 
-    ``updated`` counts refs of boards known by then, those added earlier in the batch included.  An empty table of
-    records changes nothing but the history.
+    An empty table of records changes nothing but the history.
     """
     refs, old = posting_refs(records, excluded), store.read("board_registry")
     raw = records.agg(F.count("*").alias("raw"), F.count_if(urls.posting_ref(F.col("url"), excluded).isNull()).alias("rejected")).first()
-    boards = refs.groupBy("board_key").agg(F.count("*").alias("n")).join(old.select("board_key", F.lit(1).alias("known")), "board_key", "left")
-    found = boards.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("accepted"), F.count_if(F.col("known").isNull()).alias("added")).first()
-    out = {"raw": raw.raw, "rejected": raw.rejected, "accepted": found.accepted, "added": found.added, "updated": found.accepted - found.added}
+    out = {"raw": raw.raw, "rejected": raw.rejected, **board_counts(refs, old).first().asDict()}
     if write:
         changed = {"board_registry": _state(merged_boards(old, refs, at), "board_registry"), "runs": _run(store, run_id, "registry", at, out)}
         store.commit(changed, {"runs": _last_runs})
@@ -200,26 +203,25 @@ def discover(store: StateStore, bodies: DataFrame, *, conditions: dict, now: str
         old = store.read("evaluated_jobs").select("stable_key", F.col("source_updated_at").alias("_at"), "rejection_reason").where("_at <> '' AND NOT coalesce(rejection_reason, '') LIKE '%no_role_group'").select(F.col("stable_key").alias("_key"), "_at")
         seen = seen.join(old, F.expr("stable_key = _key AND source_updated_at = _at"), "left_anti")
     if details is not None:
-        seen, nth = _staged(store, seen), F.row_number().over(Window.partitionBy("source_id").orderBy("pos"))
-        asked = seen.join(bodies.where("adapter = 'greenhouse'").select("source_id").distinct(), "source_id", "left_semi").withColumn("_nth", nth).where(F.col("_nth") <= most_details)
+        seen = _staged(store, seen)
+        asked = relational.first_n(seen.join(bodies.where("adapter = 'greenhouse'").select("source_id").distinct(), "source_id", "left_semi"), "source_id", ["pos"], most_details)
         full = normalize(payloads.greenhouse(details(asked.select("source_id", "external_id"))), fetched_at=now, cities=settings.cities, remote_ok=settings.remote_ok)
         full = _staged(store, _cascade(relational.first_wins(full, ["stable_key"], ["pos"]), conditions, clock))
-        seen = full.unionByName(seen.join(full.select("stable_key"), "stable_key", "left_anti"))  # each posting once, with its detail where one arrived
+        seen = relational.upsert(seen, full, "stable_key")  # each posting once, with its detail where one arrived
     judged = _staged(store, _allowed(seen, list(sources)))
-    good = judged.where("rejected IS NULL").withColumn("tags", F.concat("tags", F.array_except(F.transform("groups", lambda g: F.concat(F.lit("condition:"), g)), "tags")))
+    good = judged.where("rejected IS NULL").withColumn("tags", rules.tagged(F.col("tags"), F.col("groups")))
     ranked = ranking.rank(good, least=settings.least_jobs, most=settings.most_jobs, model=model, fall_back=settings.rank_without_model, stage=lambda df: _staged(store, df))
-    chosen = ranked.rows.select(F.col("stable_key").alias("_key"), "score", "reason", "why_cool", "risk_flags")
-    rows = good.unionByName(judged.where("rejected IS NOT NULL")).join(chosen, F.col("stable_key") == F.col("_key"), "left")
-    week, on = dates.week_key(clock, settings.zone), F.col("_key").isNotNull()
-    status = F.when(on, "included").otherwise("rejected")
-    why = F.when(F.col("rejected").isNotNull(), F.concat(F.lit("conditions_filter:"), "rejected")).when(on, "").otherwise("not_selected")
+    chosen = ranked.rows.select("stable_key", "score", "reason", "why_cool", "risk_flags")
+    rows = relational.attach(good.unionByName(judged.where("rejected IS NOT NULL")), chosen, "stable_key", "_on")
+    week, on = dates.week_key(clock, settings.zone), F.col("_on")
+    said = ranking.outcome(on, F.col("rejected"))
     body = {"description_text": F.when(on, F.col("description_text")).otherwise("")}
     entry = rows.withColumns(body).select(
-        "stable_key", status.alias("status"), F.lit(run_id).alias("run_id"), week.alias("week_key"), F.lit(now).alias("evaluated_at"), F.when(on, F.col("posted_at")).otherwise(F.col("source_updated_at")).alias("source_updated_at"),
-        F.coalesce("score", F.lit(0.0)).alias("score"), text.blank(F.col("reason")).alias("reason"), text.blank(F.col("why_cool")).alias("why_cool"), F.coalesce("risk_flags", ranking.no_flags()).alias("risk_flags"), why.alias("rejection_reason"), "groups", F.struct(*POSTING).alias("job"),
+        "stable_key", said["status"].alias("status"), F.lit(run_id).alias("run_id"), week.alias("week_key"), F.lit(now).alias("evaluated_at"), F.when(on, F.col("posted_at")).otherwise(F.col("source_updated_at")).alias("source_updated_at"),
+        F.coalesce("score", F.lit(0.0)).alias("score"), text.blank(F.col("reason")).alias("reason"), text.blank(F.col("why_cool")).alias("why_cool"), F.coalesce("risk_flags", ranking.no_flags()).alias("risk_flags"), said["rejection_reason"].alias("rejection_reason"), "groups", F.struct(*POSTING).alias("job"),
     )
     entry = _staged(store, entry)
-    n = entry.agg(F.count("*").alias("evaluated"), F.count_if(F.col("status") == "included").alias("included"), F.count_if(F.col("rejection_reason").startswith("conditions")).alias("rejected")).first()
+    n = entry.agg(*relational.tally(F.col("status") == "included", F.col("rejection_reason").startswith("conditions"))).first()
     out = {"city": index.count(), "evaluated": n.evaluated, "candidates": n.evaluated - n.rejected, "included": n.included, "ranker_error": ranked.error}
     if write:
         changes = {"evaluated_jobs": entry, "runs": _run(store, run_id, "discovery", now, out)}
@@ -260,8 +262,9 @@ def _group(row) -> str:
     return next((label for key, label in GROUPS.items() if key in (row["groups"] or [])), OTHER_GROUP)
 
 
-def _leading(values, least: int, most: int) -> list[str]:
-    return [v for v, n in Counter(values).most_common(most) if n >= least]
+def _leading(spark, values: list[str], least: int, most: int) -> list[str]:
+    rows = spark.createDataFrame(list(enumerate(values)), "at long, name string")
+    return [r.name for r in relational.leading(rows, "name", "at", least, most).collect()]
 
 
 def trend_of(spark, rows: list) -> str:
@@ -271,8 +274,8 @@ def trend_of(spark, rows: list) -> str:
         said = " ".join(str(row[c] or "") for c in ("title", "company", "department", "why_cool", "reason")).lower() + " " + " ".join(row["tags"] or []).lower()
         return any(re.search(text.pattern_of(t), said) for t in terms)
 
-    cities = _leading([r["city"] for r in rows if r["city"]], 2, 3)
-    themes = _leading([name for r in rows for name, terms in THEMES.items() if says(r, terms)], 3, 3) or _leading([_group(r) for r in rows], 2, 2)
+    cities = _leading(spark, [r["city"] for r in rows if r["city"]], 2, 3)
+    themes = _leading(spark, [name for r in rows for name, terms in THEMES.items() if says(r, terms)], 3, 3) or _leading(spark, [_group(r) for r in rows], 2, 2)
     lists = spark.createDataFrame([(cities, themes)], "c array<string>, t array<string>")
     return lists.select(delivery.trend_sentence(F.col("c"), F.col("t")).alias("s")).first().s
 
