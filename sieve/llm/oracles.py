@@ -69,4 +69,46 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM r
 """
 
-ORACLES = {"op3_chat": OP3, "op7_warc": OP7, "op4_mixing": OP4, "op5_jaccard_join": OP5, "op10_substring_dedup": OP10}
+# the checksum of a text's bytes, by a table of 256 values that the polynomial makes
+CRC = """crc_table AS (SELECT list_transform(range(0, 256), lambda x: list_reduce(range(0, 8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), CAST(x AS BIGINT))) AS crc_of)"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned checksum of a text, where ``crc_of`` is the table."""
+    octets = f"list_transform(range(0, strlen({text})), lambda i: CAST(('0x' || substr(hex(encode({text})), 2 * i + 1, 2)) AS BIGINT))"
+    return f"(xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc_of[CAST(xor(c, b) & 255 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295))"
+
+
+OP12 = rf"""
+WITH RECURSIVE {CRC},
+t AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key, run, n FROM r),
+h AS (SELECT run, n, {crc32("key")} AS h FROM k, crc_table),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1),
+w AS (SELECT word, n FROM v WHERE length(word) >= 6 AND n >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+pair AS (SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+    UNION SELECT cut.word, w.word FROM cut JOIN w ON w.word = cut.rest UNION SELECT w.word, cut.word FROM cut JOIN w ON w.word = cut.rest),
+best AS (SELECT x, count(*) AS n_near, arg_min(y, (-w.n, y)) AS near, max(w.n) AS near_n FROM pair JOIN w ON w.word = y GROUP BY x),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM w LEFT JOIN best ON x = word),
+walk(word, root) AS (SELECT word, word FROM f UNION SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f last ON last.word = walk.root WHERE last.form IS NULL
+"""
+
+OP13 = f"""
+WITH {CRC},
+l AS (SELECT CAST(floor((2 * CAST(floor(100 * amount + 0.5) AS BIGINT) + quantity)::BIGINT // (2 * quantity)::BIGINT) AS BIGINT) AS u, item_id, sale_id, CAST(line_no AS BIGINT) AS line_no,
+        concat_ws(',', sale_id, line_no, item_id) AS key FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity >= 1 AND amount IS NOT NULL),
+c AS (SELECT l.*, {crc32("key")} AS crc FROM l, crc_table),
+i AS (SELECT item_id, row_number() OVER () AS row, CAST(floor(100 * price + 0.5) AS BIGINT) AS p FROM items),
+j AS (SELECT row, c.*, abs(u - p) AS gap FROM i JOIN c ON u BETWEEN p - greatest(10, 2 * p // 1000) AND p + greatest(10, 2 * p // 1000) AND c.item_id IS DISTINCT FROM i.item_id),
+s AS (SELECT row, count(*) AS n_pairs, CAST(sum(gap) AS BIGINT) AS gap_sum, CAST(sum(crc) AS BIGINT) AS lines_crc FROM j GROUP BY row),
+k AS (SELECT row, gap, u, sale_id, line_no, item_id AS line_item_id, row_number() OVER (PARTITION BY row ORDER BY gap, u, sale_id, line_no, item_id) AS rank FROM j QUALIFY rank <= 5)
+SELECT i.item_id, CAST(coalesce(k.rank, 0) AS INT) AS rank, k.gap, k.u, k.sale_id, k.line_no, k.line_item_id,
+    coalesce(n_pairs, 0) AS n_pairs, coalesce(s.gap_sum, 0) AS gap_sum, coalesce(s.lines_crc, 0) AS lines_crc
+FROM i LEFT JOIN s USING (row) LEFT JOIN k USING (row)
+"""
+
+ORACLES = {"op3_chat": OP3, "op7_warc": OP7, "op4_mixing": OP4, "op5_jaccard_join": OP5, "op10_substring_dedup": OP10, "op12_spelling_variants": OP12, "op13_band_join": OP13}

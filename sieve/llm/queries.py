@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import chat, fingerprints, jaccard_join, language_id, matroska, mixing, packing, secrets, substring_dedup, warc
+from sieve.llm import band_join, chat, fingerprints, jaccard_join, language_id, matroska, mixing, packing, secrets, simhash, spelling, substring_dedup, warc
 from sieve.llm.common import staged
 
 #: A conversation whose texts are the template's own control strings.
@@ -67,4 +67,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_chat, op4_mixing, op5_jaccard_join, op6_language_id, op7_warc, op8_packing, op9_matroska, op10_substring_dedup)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return band_join.near_price_pairs(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"), spark.read.parquet(f"{sf_dir}/items.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_chat, op4_mixing, op5_jaccard_join, op6_language_id, op7_warc, op8_packing, op9_matroska, op10_substring_dedup, op11_simhash, op12_spelling_variants, op13_band_join)}
