@@ -144,8 +144,8 @@ def regions(bins: list[tuple[int, int, int, int]], least: int, target: int = TAR
         for half in best:
             heapq.heappush(heap, (-half["load"], tie, half))
             tie += 1
-    done = [r for r in done if r["prices"] and r["near"]]
-    for k, r in enumerate(sorted(done, key=lambda r: r["lo"])):
+    done = sorted((r for r in done if r["prices"] and r["near"]), key=lambda r: r["lo"])
+    for k, r in enumerate(done):
         r |= {"region": k, "line_blocks": max(1, -(-r["near"] // target)), "price_blocks": max(1, -(-r["prices"] // PRICE_BLOCK))}
     return done
 
@@ -225,7 +225,9 @@ def price_answers(prices: DataFrame, lines: DataFrame, first: int, target: int)
     def cell(table: pa.Table) -> pa.Table:
         return joiner(table.select(columns))
 
-    cells = staged(of_lines.union(of_prices).groupBy("region", "i", "j").applyInArrow(cell, _CELL_DDL))
+    # partitions grow with the cells, so that a task has few of them
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["line_blocks"] * r["price_blocks"] for r in found))
+    cells = staged(of_lines.union(of_prices).repartition(count, "region", "i", "j").groupBy("region", "i", "j").applyInArrow(cell, _CELL_DDL))
     sums = cells.where("n IS NOT NULL").groupBy("p").agg(F.sum("n").alias("n"), F.sum("gap_sum").alias("gap_sum"), F.sum("crc").alias("crc"))
     pairs = cells.where("n IS NULL").withColumn("gap", F.expr("abs(u - p)"))
     order = ["gap", "u", "sale", F.col("line").asc_nulls_first(), "item"]
