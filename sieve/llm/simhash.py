@@ -30,8 +30,9 @@ from sieve.llm.common import SPACE, join_skewed, staged, trimmed, unstaged
 from sieve.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Points a shard should own; at most MOST_SHARDS are cut from a sample of SAMPLE points, then shards grow.
-SHARD, MOST_SHARDS, SAMPLE = 8192, 4096, 32_768
+#: Points a shard should own; at most MOST_SHARDS are cut from a sample of SAMPLE points, then shards grow.  Each doubling
+#: of the shards adds about a third to the copies of points, while a shard's points take but 16 bytes each.
+SHARD, MOST_SHARDS, SAMPLE = 65_536, 4096, 32_768
 #: Points compared with all others of their leaf, and pairs compared at once.
 LEAF, BLOCK = 256, 1 << 20
 #: A split is taken if the smaller side has this part of the points at least, and this part at most crosses the border.
