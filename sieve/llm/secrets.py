@@ -97,17 +97,21 @@ def train(samples: DataFrame, alphabet: str = ALPHABET) -> list[float]:
 
 
 def corpus_samples(df: DataFrame, *, text_col: str = "text", most_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(label, text) from about ``most_docs`` texts: tokens inside rule spans (1), plain words and numbers outside them (0).
+    """(label, text) from about ``most_docs`` rows: tokens inside rule spans (1), plain words and numbers outside them (0).
+
+    Rows are picked by a hash of all their columns (but maps), so that of many rows with one text only some are.
 
     Only letters of one case, a capital before them, or digits count as plain, so keys that no rule finds teach nothing.
     """
     n = df.count()
-    texts = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(min(1.0, most_docs / max(n, 1)) * (1 << 20)))
+    texts = df.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(*(c for c, kind in df.dtypes if not kind.startswith("map"))).alias("spread")).where("text IS NOT NULL")
+    texts = texts.where(F.pmod("spread", F.lit(1 << 20)) < F.lit(min(1.0, most_docs / max(n, 1)) * (1 << 20)))
     rows = texts.select(F.expr(f"concat({_found(ASSIGN, 0, ASSIGN_LEAST)}, {_found(ACCESS, 1)}, {_found(HEX, 2)})").alias("base"), F.expr(_found(SAMPLED, 3, text=True)).alias("tokens"))
-    rows = rows.withColumn("blocks", F.expr(_blocks("base"))).select("blocks", F.explode("tokens").alias("t"))
-    rows = rows.select(F.expr(f"CAST({_overlaps('t')} AS int)").alias("label"), "t.x")
-    return rows.where(F.expr("label = 1 OR x RLIKE '^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$'")).select("label", F.col("x").alias("text"))
+    # labelled inside the array, bound once, so that no token carries its text's spans along
+    labelled = f"transform(z.tokens, t -> named_struct('label', CAST({_overlaps('t', 'z.blocks')} AS int), 'text', t.x))"
+    plain = "x -> x.label = 1 OR x.text RLIKE '^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$'"
+    bound = f"transform(array(named_struct('tokens', tokens, 'blocks', {_blocks('base')})), z -> filter({labelled}, {plain}))[0]"
+    return rows.select(F.explode(F.expr(bound)).alias("s")).select("s.label", "s.text")
 
 
 def _quoted(pattern: str) -> str:
@@ -138,9 +142,9 @@ def _blocks(spans: str) -> str:
     return f"transform({cut}, q -> named_struct('low', array_min(transform(q, b -> b.start)), 'high', array_max(transform(q, b -> b.end)), 'of', q))"
 
 
-def _overlaps(span: str) -> str:
+def _overlaps(span: str, blocks: str = "blocks") -> str:
     """SQL for whether a span overlaps one of ``blocks``."""
-    return f"exists(blocks, q -> q.low < {span}.end AND {span}.start < q.high AND exists(q.of, b -> b.start < {span}.end AND {span}.start < b.end))"
+    return f"exists({blocks}, q -> q.low < {span}.end AND {span}.start < q.high AND exists(q.of, b -> b.start < {span}.end AND {span}.start < b.end))"
 
 
 def _steps(ratios: tuple[float, ...], alphabet: str, token: str) -> str:
@@ -186,12 +190,12 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sampl
     ratios = tuple(train(samples))
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     base = rows.select(*rows.columns, F.expr(f"array_sort(concat({_found(ASSIGN, 0, ASSIGN_LEAST)}, {_found(ACCESS, 1)}, {_found(HEX, 2)}))").alias("base"), F.expr(_found(TOKEN, 3, text=True)).alias("tokens"))
-    base = base.withColumn("blocks", F.expr(_blocks("base")))
     whole = "array(named_struct('a', 0, 'b', length(y.x)))"
     parts = f"CASE WHEN {_mean('y.l')} >= {least_score} THEN {whole} ELSE {_runs('y.x', 'y.l', least_score)} END"
     bound = f"transform(transform(array(t.x), x -> named_struct('x', x, 'l', {_steps(ratios, ALPHABET, 'x')})), y -> {parts})[0]"
     spans = f"flatten(transform(tokens, t -> transform({bound}, p -> named_struct('start', t.start + p.a, 'end', t.start + p.b, 'kind', t.kind))))"
-    extra = f"CASE WHEN size(tokens) > 0 THEN filter({spans}, p -> NOT {_overlaps('p')}) ELSE array() END"
+    # the blocks are bound, as a column of a projection below would be made again for each span
+    extra = f"CASE WHEN size(tokens) > 0 THEN transform(array({_blocks('base')}), blocks -> filter({spans}, p -> NOT {_overlaps('p')}))[0] ELSE array() END"
     return base.select("doc_id", "text", "base", F.expr(f"array_sort(concat(base, {extra}))").alias("found"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
 
 
