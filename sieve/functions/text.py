@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,28 +66,63 @@ def strip_html(c: Column, most: int = 12000) -> Column:
     return clean_text(unescape(text), most)
 
 
-# The entities resolved without the full table.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&rdquo;": "”", "&ldquo;": "“", "&hellip;": "…", "&bull;": "•", "&amp;": "&"}
+#: A reference as HTML reads it: what follows the mark, up to its end or what can't be part of a name.
+_REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def unescape(c: Column) -> Column:
-    """The common named entities; ``&amp;`` last, so nothing is resolved twice.  Stays in generated code."""
-    for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+#: The names that texts are full of, which are looked at first.
+_COMMON = ("lt;", "gt;", "nbsp;", "quot;", "apos;", "rsquo;", "lsquo;", "rdquo;", "ldquo;", "ndash;", "mdash;", "bull;", "middot;", "hellip;")
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    """A map that is one constant in a plan, however many entries it has."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
 
+def _named(reference: Column, names: Iterable[str]) -> Column:
+    """Characters of a named reference, null if it isn't among the names."""
+    first = [n for n in _COMMON if n in names]
+    return F.try_element_at(_table({n: html5[n] for n in [*first, *(n for n in names if n not in first)]}), reference)
 
-def unescape_all(c: Column) -> Column:
-    """Every HTML5 entity, by an Arrow UDF: for sources that use more than ENTITIES."""
-    import html
 
-    import pandas as pd
+def _numbered(number: Column) -> Column:
+    """Characters of a numeric reference; null numbers are beyond every code point."""
+    windows = {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)} | {"0": "\ufffd", "13": "\r"}
+    old = F.try_element_at(_table(windows), number.cast("string"))
+    beyond = number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    dropped = number.between(1, 8) | (number == 0xB) | number.between(0xE, 0x1F) | (number == 0x7F) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(beyond, "\ufffd").when((number < 0xA0) & old.isNotNull(), old).when(dropped, "").otherwise(char)
 
-    @F.pandas_udf("string")
-    def whole(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
 
-    return whole(c)
+def unescape(c: Column) -> Column:
+    """Every character reference of HTML 5 resolved once, those without a semicolon too, as browsers read them.
+
+    A name that is unknown counts as the longest of the old names, those valid without a semicolon, that it begins with.
+    """
+    old = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    prefix = F.lit("^(?:" + "|".join(old) + ")")
+
+    def resolved(part: Column) -> Column:
+        said = F.regexp_extract(part, _REFERENCE, 0)
+        number = F.when(said.rlike("^#[xX]"), F.conv(F.regexp_extract(said, "^#[xX]0*([0-9a-fA-F]{1,8});?$", 1), 16, 10)).otherwise(F.regexp_extract(said, "^#0*([0-9]{1,10});?$", 1))
+        number = F.when(said.rlike("^#[xX]?0+;?$"), F.lit(0).cast("long")).otherwise(number.try_cast("long"))
+        begun = F.regexp_substr(part, prefix)
+        plain = F.concat(F.lit("&"), part)
+        rest = lambda used: F.substr(part, F.length(used) + 1)
+        return (
+            F.when(said == "", plain)
+            .when(said == "amp;", F.concat(F.lit("&"), rest(said)))
+            .when(said.startswith("#"), F.concat(_numbered(number), rest(said)))
+            .otherwise(F.coalesce(F.concat(_named(said, html5), rest(said)), F.concat(_named(begun, old), rest(begun)), plain))
+        )
+
+    def joined(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), resolved), ""))
+
+    # bound, so that text and parts are made once however often they are named
+    whole = lambda x: F.when(F.contains(x, F.lit("&")), F.get(F.transform(F.array(F.split(x, "&", -1)), joined), F.lit(0))).otherwise(x)
+    return F.get(F.transform(F.array(c), whole), F.lit(0))
 
 
 def pattern_of(term: str) -> str:

@@ -11,6 +11,8 @@ from sieve.functions.text import blank, url_quote
 GREENHOUSE = ("job-boards.greenhouse.io", "boards.greenhouse.io")
 GREENHOUSE_API, LEVER, ASHBY = "boards-api.greenhouse.io", "jobs.lever.co", "jobs.ashbyhq.com"
 INDEX_FIELDS, INDEX_FILTER, INDEX_COLLAPSE = "url,timestamp,status,mime", "status:200", "urlkey"
+# Domains whose postings are left out where none are configured.
+EXCLUDED_DOMAINS = ("linkedin.com", "www.linkedin.com", "m.linkedin.com")
 _TOKEN = "^[A-Za-z0-9_-]+$"
 
 
@@ -37,7 +39,7 @@ def domain_excluded(host: Column, domains: list[str]) -> Column:
 
 
 def posting_ref(url: Column, excluded: list[str] = ()) -> Column:
-    """struct(ats, board_token, job_id) of a posting URL; null for any other."""
+    """struct(ats, board_token, job_id) of a posting URL; null for any other.  Without ``excluded``, EXCLUDED_DOMAINS are."""
     host, parts = host_of(url), path_parts(url)
 
     def part(i: int) -> Column:
@@ -49,7 +51,7 @@ def posting_ref(url: Column, excluded: list[str] = ()) -> Column:
     ats = F.when((board & (part(1) == "jobs")) | api, "greenhouse").when(host == LEVER, "lever").when(host == ASHBY, "ashby")
     token = F.when(api, part(2)).otherwise(part(0))
     job = F.when(api, part(4)).when(board, part(2)).when((host == ASHBY) & (second == "application"), query_value(url, "jobId")).when((host == ASHBY) & second.isin("department", "teams"), "").otherwise(part(1))
-    good = ats.isNotNull() & token.rlike(_TOKEN) & job.rlike(_TOKEN) & ~domain_excluded(host, list(excluded))
+    good = ats.isNotNull() & token.rlike(_TOKEN) & job.rlike(_TOKEN) & ~domain_excluded(host, list(excluded) or list(EXCLUDED_DOMAINS))
     return F.when(good, F.struct(ats.alias("ats"), F.lower(token).alias("board_token"), job.alias("job_id")))
 
 

@@ -4,39 +4,26 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
-from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieve.functions import dates, text, urls
-from sieve.functions.vocabulary import GROUPS, OTHER_GROUP, THEMES
-from sieve.operators import delivery, ranking, relational, rules
-from sieve.operators.postings import POSTING, normalize
+from sieve.functions.vocabulary import ACRONYMS, GROUPS, OTHER_GROUP, THEMES
+from sieve.operators import delivery, relational
+from sieve.operators.source_rules import source_id
+from sieve.plans.discovery import discover, polled_boards  # noqa: F401  both are part of this module's interface
+from sieve.plans.shared import last_runs, run_row, staged, state_rows
 from sieve.settings import Settings
 from sieve.sources import listing, payloads
 from sieve.sources.fetch import fetch_bodies, get
 from sieve.sources.store import TABLES, StateStore
 
-MOST_URLS, MOST_IDS, MOST_RUNS = 5, 25, 50
-PARSERS = {"greenhouse": payloads.greenhouse, "lever": payloads.lever, "ashby": payloads.ashby}
-MORE_PARSERS = {"rss": payloads.rss_raw, "fixture": payloads.fixture}
-#: Postings read of a source that sets no limit of its own.
-MOST_ROWS = 500
-
-
-def _state(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*re.findall(r"(?:^|, )(\w+) ", TABLES[table][1]))
-
-
-def _run(store: StateStore, run_id: str, kind: str, at: str, counters: dict) -> DataFrame:
-    return store.spark.createDataFrame([(run_id, kind, at, json.dumps(counters, sort_keys=True))], TABLES["runs"][1])
-
-
-def _last_runs(runs: DataFrame) -> DataFrame:
-    return relational.last_runs(runs, "run_id", ["at", "run_id"], MOST_RUNS)
+MOST_URLS, MOST_IDS = 5, 25
+BOARDS = ("greenhouse", "lever", "ashby")
+# Fixed value: characters of a description that the trend of a digest is read from.
+TREND_CHARS = 600
 
 
 def posting_refs(records: DataFrame, excluded: list[str] = ()) -> DataFrame:
@@ -81,8 +68,8 @@ def refresh_registry(store: StateStore, records: DataFrame, *, at: str, run_id:
     raw = records.agg(F.count("*").alias("raw"), F.count_if(urls.posting_ref(F.col("url"), excluded).isNull()).alias("rejected")).first()
     out = {"raw": raw.raw, "rejected": raw.rejected, **board_counts(refs, old).first().asDict()}
     if write:
-        changed = {"board_registry": _state(merged_boards(old, refs, at), "board_registry"), "runs": _run(store, run_id, "registry", at, out)}
-        store.commit(changed, {"runs": _last_runs})
+        changed = {"board_registry": state_rows(merged_boards(old, refs, at), "board_registry"), "runs": run_row(store, run_id, "registry", at, out)}
+        store.commit(changed, {"runs": last_runs})
     return out
 
 
@@ -91,15 +78,15 @@ def refresh_from(store: StateStore, config: dict, *, at: str, run_id: str, condi
 
     ``ok`` is false only if there were errors and no ref was accepted.
     """
-    records, errors = listing.found_urls(store.spark, config, conditions, getter, env, lambda df: _staged(store, df))
-    out = refresh_registry(store, _staged(store, records), at=at, run_id=run_id, excluded=[str(d) for d in config.get("exclude_domains") or []], write=write)
+    records, errors = listing.found_urls(store.spark, config, conditions, getter, env, lambda df: staged(store, df))
+    out = refresh_registry(store, staged(store, records), at=at, run_id=run_id, excluded=[str(d) for d in config.get("exclude_domains") or []], write=write)
     return out | {"provider": config.get("provider") or listing.CRAWL, "errors": errors, "ok": not errors or out["accepted"] > 0}
 
 
 def poll(store: StateStore, sources: list[dict], *, getter=get, boards: DataFrame | None = None, force: bool = False) -> DataFrame:
     """Answers of the enabled sources and of registry boards (as ``boards_to_poll`` gives them), written once.
 
-    (source_id, adapter, company, board_key, status, body, ok, error, etag, last_modified).  Requests are conditional on
+    (source_id, adapter, company, board_key, url, status, body, ok, error, elapsed_ms, etag, last_modified).  Requests are conditional on
     what the state knows of the last answer, unless ``force``; a 304 is an answer without postings.  Inline and file
     rows (adapter ``fixture``) are answers too.
     """
@@ -107,130 +94,35 @@ def poll(store: StateStore, sources: list[dict], *, getter=get, boards: DataFram
     for s in sources:
         if not s.get("enabled", True):
             continue
-        name, adapter = str(s.get("id") or s.get("name") or "source").strip(), str(s.get("adapter") or "").strip().lower()
+        name, adapter = source_id(s), str(s.get("adapter") or "").strip().lower()
         company = str(s.get("company") or s.get("name") or name)
         if adapter == "fixture":
-            body = json.dumps({"jobs": s["jobs"]}) if "jobs" in s else Path(str(s["fixture_path"])).read_text("utf-8-sig") if s.get("fixture_path") else ""
-            given.append((name, adapter, company, body))
+            try:
+                body, error = json.dumps({"jobs": s["jobs"] or []}) if "jobs" in s else Path(str(s["fixture_path"])).read_text("utf-8-sig") if s.get("fixture_path") else "", ""
+            except OSError as e:  # one missing file must not fail the others
+                body, error = "", type(e).__name__
+            given.append((name, adapter, company, body, error))
         else:
             asked.append((name, adapter, company, str(s.get("url") or "").strip(), str(s.get("board_token") or "")))
     rows = spark.createDataFrame(asked, "source_id string, adapter string, company string, url string, token string")
-    known = F.col("adapter").isin(*PARSERS) & ((F.col("token") != "") | (F.col("url") != ""))
+    known = F.col("adapter").isin(*BOARDS) & ((F.col("token") != "") | (F.col("url") != ""))
     url = F.when(F.col("url") != "", F.col("url")).when(known, urls.board_urls(F.col("adapter"), F.lower("token")))
     rows = rows.select("source_id", "adapter", "company", F.lit(None).cast("string").alias("board_key"), url.alias("url"))
     if boards is not None:
         rows = rows.unionByName(boards.select("source_id", "adapter", "company", "board_key", "url"))
     cache = store.read("source_cache").select("source_id", "etag", "last_modified")
-    rows = _staged(store, relational.first_wins(rows, ["source_id"], ["url"]).join(cache.limit(0) if force else cache, "source_id", "left"))
+    rows = staged(store, relational.first_wins(rows, ["source_id"], ["url"]).join(cache.limit(0) if force else cache, "source_id", "left"))
     answers = fetch_bodies(rows.withColumn("headers", payloads.conditional_headers(F.col("etag"), F.col("last_modified"))), getter)
-    told = answers.join(rows.select("source_id", "board_key"), "source_id").select("source_id", "adapter", "company", "board_key", "status", "body", "ok", "error", *(text.blank(F.try_element_at("headers", F.lit(h))).alias(c) for h, c in (("etag", "etag"), ("last-modified", "last_modified"))))
-    inline = spark.createDataFrame([(n, a, c, None, 200, b, True, "", "", "") for n, a, c, b in given], "source_id string, adapter string, company string, board_key string, status int, body string, ok boolean, error string, etag string, last_modified string")
-    return _staged(store, told.unionByName(inline))
-
-
-def _source_rules(spark, sources: list[dict]) -> DataFrame:
-    """One row a configured source: its name, keywords as one pattern each, and most rows; as many as are configured."""
-
-    def pattern(words) -> str:
-        return "|".join(text.pattern_of(str(w)) for w in words or [] if str(w).split())
-
-    rows = [(str(s.get("id") or s.get("name") or "source").strip(), str(s.get("name") or s.get("id") or ""), pattern(s.get("include_keywords")), pattern(s.get("exclude_keywords")), int(s.get("max_jobs_per_source", MOST_ROWS))) for s in sources]
-    return spark.createDataFrame(list({r[0]: r for r in rows}.values()), "_source string, _name string, _include string, _exclude string, _most int")
-
-
-def _parsed(bodies: DataFrame, sources: list[dict]) -> DataFrame:
-    """Raw postings of every adapter, the first of each source, with the source's configured name."""
-    out = None
-    for adapter, parse in (PARSERS | MORE_PARSERS).items():
-        rows = parse(bodies.where(F.col("adapter") == adapter))
-        out = rows if out is None else out.unionByName(rows)
-    for s in sources:
-        if str(s.get("adapter") or "").strip().lower() == "html_static" and s.get("item_regex"):
-            out = out.unionByName(payloads.html_raw(bodies.where((F.col("adapter") == "html_static") & (F.col("source_id") == str(s.get("id") or s.get("name") or "source").strip())), s))
-    # as many rows as sources are configured, which the driver holds anyway
-    out = out.join(F.broadcast(_source_rules(bodies.sparkSession, sources).select(F.col("_source").alias("source_id"), "_name", "_most")), "source_id", "left")
-    return out.where(F.col("pos") < F.coalesce("_most", F.lit(MOST_ROWS))).withColumn("source_name", F.coalesce(text.present(F.col("_name")), F.col("source_id"))).drop("_name", "_most")
-
-
-def _allowed(judged: DataFrame, sources: list[dict]) -> DataFrame:
-    """Without the accepted postings that their own source's keywords, or the years they ask for, keep out."""
-    said = text.haystack(F.col("title"), F.col("company"), F.col("city"), F.col("location_text"), F.col("department"), F.col("employment_type"), F.left("description_text", F.lit(8000)), F.array_join("tags", " "))
-    rows = judged.join(F.broadcast(_source_rules(judged.sparkSession, sources).select("_source", "_include", "_exclude")), F.col("source_id") == F.col("_source"), "left").withColumn("_said", said)
-    ok = text.years_allowed(F.concat_ws(" ", "_said", "description_text")) & F.expr("NOT (coalesce(_exclude, '') <> '' AND _said RLIKE _exclude) AND (coalesce(_include, '') = '' OR _said RLIKE _include)")
-    return rows.where(F.col("rejected").isNotNull() | ok).drop("_source", "_include", "_exclude", "_said")
+    told = answers.join(rows.select("source_id", "board_key"), "source_id").select("source_id", "adapter", "company", "board_key", "url", "status", "body", "ok", "error", "elapsed_ms", *(text.blank(F.try_element_at("headers", F.lit(h))).alias(c) for h, c in (("etag", "etag"), ("last-modified", "last_modified"))))
+    inline = spark.createDataFrame([(n, a, c, None, None, 200, b, not e, e, 0, "", "") for n, a, c, b, e in given], "source_id string, adapter string, company string, board_key string, url string, status int, body string, ok boolean, error string, elapsed_ms long, etag string, last_modified string")
+    return staged(store, told.unionByName(inline))
 
 
 def boards_to_poll(store: StateStore, *, seed: str, most: int) -> DataFrame:
     """Active boards as sources, the least recently polled first."""
-    boards = store.read("board_registry").where("active AND board_token <> ''").where(F.col("ats").isin(*PARSERS))
+    boards = store.read("board_registry").where("active AND board_token <> ''").where(F.col("ats").isin(*BOARDS))
     rows = relational.poll_spread(boards, "board_token", F.col("last_polled"), seed, most)
-    return rows.select(F.concat_ws("-", F.lit("registry"), "ats", "board_token").alias("source_id"), F.col("ats").alias("adapter"), F.col("board_token").alias("company"), "board_key", urls.board_urls(F.col("ats"), F.col("board_token")).alias("url"))
-
-
-def polled_boards(old: DataFrame, polls: DataFrame, *, at: str, most_failures: int) -> DataFrame:
-    """Registry rows of polled boards (board_key, ok, error): success resets the failures, too many of them deactivate."""
-    rows = old.join(polls.select("board_key", "ok", "error"), "board_key")
-    n = F.when(F.col("ok"), F.lit(0)).otherwise(F.coalesce("failure_count", F.lit(0)) + 1).cast("long")
-    return _state(rows.withColumns({"failure_count": n, "active": F.col("active") & (F.col("ok") | (n < most_failures)), "last_polled": F.lit(at), "last_error": F.when(F.col("ok"), "").otherwise(text.blank(F.col("error")))}), "board_registry")
-
-
-def _cascade(jobs: DataFrame, conditions: dict, now) -> DataFrame:
-    """Adds ``rejected`` (the first rule that rejects, or null) and ``groups`` (ids of the role groups)."""
-    metadata = text.haystack(*(F.col(c) for c in ("title", "company", "city", "location_text", "department", "employment_type", "posted_at")), F.array_join("tags", " "))
-    full = F.concat_ws(" ", metadata, F.lower("description_text"))
-    prefix = F.left("description_text", F.lit(int(conditions.get("role_description_chars") or 0)))
-    role = text.haystack(F.col("title"), F.col("department"), F.col("employment_type"), F.array_join("tags", " "), prefix)
-    age = dates.age_days(dates.parse_iso(F.col("posted_at")), now)
-    groups = conditions.get("role_groups") or []
-    reason = rules.rejection(age=age, title=F.col("title"), metadata=metadata, full=full, role=role, rules=conditions, groups=groups)
-    return jobs.withColumns({"rejected": reason, "groups": F.transform(rules.matched_groups(role, groups), lambda g: g["id"]), "age": age})
-
-
-def discover(store: StateStore, bodies: DataFrame, *, conditions: dict, now: str, run_id: str, settings: Settings, details: Callable[[DataFrame], DataFrame] | None = None, most_details: int = 25, force: bool = False, model=None, write: bool = True, sources: list[dict] = (), most_failures: int = 3) -> dict[str, int]:
-    """Evaluates the postings of fetched boards (source_id, adapter, company, body) and records each one's status.
-
-    ``details`` gets (source_id, external_id) of the postings worth a second request, ``most_details`` a source at most
-    (a polling budget), and returns their bodies (source_id, external_id, company, body); a posting without a detail
-    keeps its index row.  Unparseable and null bodies give no rows.  ``sources`` are the configured ones: their wrappers,
-    keywords and row limits.  Bodies that ``poll`` gave also update the registry and the cache of answers, in the same
-    commit as the postings.
-    """
-    clock = dates.parse_iso(F.lit(now))
-    raw = _parsed(bodies, list(sources))
-    index = _staged(store, normalize(raw, fetched_at=now, cities=settings.cities, remote_ok=settings.remote_ok))
-    seen = _cascade(relational.first_wins(index, ["stable_key"], ["source_id", "pos"]), conditions, clock).where("rejected IS NULL OR rejected = 'no_role_group'")
-    if not force:
-        old = store.read("evaluated_jobs").select("stable_key", F.col("source_updated_at").alias("_at"), "rejection_reason").where("_at <> '' AND NOT coalesce(rejection_reason, '') LIKE '%no_role_group'").select(F.col("stable_key").alias("_key"), "_at")
-        seen = seen.join(old, F.expr("stable_key = _key AND source_updated_at = _at"), "left_anti")
-    if details is not None:
-        seen = _staged(store, seen)
-        asked = relational.first_n(seen.join(bodies.where("adapter = 'greenhouse'").select("source_id").distinct(), "source_id", "left_semi"), "source_id", ["pos"], most_details)
-        full = normalize(payloads.greenhouse(details(asked.select("source_id", "external_id"))), fetched_at=now, cities=settings.cities, remote_ok=settings.remote_ok)
-        full = _staged(store, _cascade(relational.first_wins(full, ["stable_key"], ["pos"]), conditions, clock))
-        seen = relational.upsert(seen, full, "stable_key")  # each posting once, with its detail where one arrived
-    judged = _staged(store, _allowed(seen, list(sources)))
-    good = judged.where("rejected IS NULL").withColumn("tags", rules.tagged(F.col("tags"), F.col("groups")))
-    ranked = ranking.rank(good, least=settings.least_jobs, most=settings.most_jobs, model=model, fall_back=settings.rank_without_model, stage=lambda df: _staged(store, df))
-    chosen = ranked.rows.select("stable_key", "score", "reason", "why_cool", "risk_flags")
-    rows = relational.attach(good.unionByName(judged.where("rejected IS NOT NULL")), chosen, "stable_key", "_on")
-    week, on = dates.week_key(clock, settings.zone), F.col("_on")
-    said = ranking.outcome(on, F.col("rejected"))
-    body = {"description_text": F.when(on, F.col("description_text")).otherwise("")}
-    entry = rows.withColumns(body).select(
-        "stable_key", said["status"].alias("status"), F.lit(run_id).alias("run_id"), week.alias("week_key"), F.lit(now).alias("evaluated_at"), F.when(on, F.col("posted_at")).otherwise(F.col("source_updated_at")).alias("source_updated_at"),
-        F.coalesce("score", F.lit(0.0)).alias("score"), text.blank(F.col("reason")).alias("reason"), text.blank(F.col("why_cool")).alias("why_cool"), F.coalesce("risk_flags", ranking.no_flags()).alias("risk_flags"), said["rejection_reason"].alias("rejection_reason"), "groups", F.struct(*POSTING).alias("job"),
-    )
-    entry = _staged(store, entry)
-    n = entry.agg(*relational.tally(F.col("status") == "included", F.col("rejection_reason").startswith("conditions"))).first()
-    out = {"city": index.count(), "evaluated": n.evaluated, "candidates": n.evaluated - n.rejected, "included": n.included, "ranker_error": ranked.error}
-    if write:
-        changes = {"evaluated_jobs": entry, "runs": _run(store, run_id, "discovery", now, out)}
-        if "board_key" in bodies.columns:
-            polls = bodies.where("board_key IS NOT NULL").select("board_key", "ok", "error")
-            changes["board_registry"] = _staged(store, polled_boards(store.read("board_registry"), polls, at=now, most_failures=most_failures))
-            changes["source_cache"] = bodies.where("ok AND (etag <> '' OR last_modified <> '')").select("source_id", "etag", "last_modified")
-        store.commit(changes, {"runs": _last_runs})
-    return out
+    return rows.select(F.concat_ws("-", F.lit("registry"), "ats", "board_token").alias("source_id"), F.col("ats").alias("adapter"), text.display_name(F.col("board_token"), ACRONYMS).alias("company"), "board_key", urls.board_urls(F.col("ats"), F.col("board_token")).alias("url"))
 
 
 def report(counters: dict, rows: list[dict] = (), as_json: bool = False) -> tuple[str, int]:
@@ -242,13 +134,6 @@ def report(counters: dict, rows: list[dict] = (), as_json: bool = False) -> tupl
     return "\n".join(lines + [f"- {r['company']} - {r['title']} ({r['city']}) score={round(r['score'])}" for r in list(rows)[:10]]), int(failed)
 
 
-def _staged(store: StateStore, rows: DataFrame) -> DataFrame:
-    """Rows written once beside the state and read back, as several reads follow; survives lost executors."""
-    path = f"{store.root.rstrip('/')}/staged/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return store.spark.read.schema(rows.schema).parquet(path)
-
-
 def digest_rows(store: StateStore, settings: Settings, include_sent: bool = False) -> list:
     """Included postings not sent yet, capped by company and in all: at most ``most_jobs`` rows reach the driver."""
     rows = store.read("evaluated_jobs").where("status = 'included'").select("stable_key", "score", "why_cool", "reason", "groups", "job.*")
@@ -259,7 +144,9 @@ def digest_rows(store: StateStore, settings: Settings, include_sent: bool = Fals
 
 
 def _group(row) -> str:
-    return next((label for key, label in GROUPS.items() if key in (row["groups"] or [])), OTHER_GROUP)
+    """Label of a row's first known group in their order, else its first id in title case, else the rest's."""
+    ids = row["groups"] or []
+    return next((label for key, label in GROUPS.items() if key in ids), ids[0].replace("_", " ").title() if ids else OTHER_GROUP)
 
 
 def _leading(spark, values: list[str], least: int, most: int) -> list[str]:
@@ -271,11 +158,11 @@ def trend_of(spark, rows: list) -> str:
     """Sentence on the leading places and themes of the chosen rows, bounded by their cap."""
 
     def says(row, terms) -> bool:
-        said = " ".join(str(row[c] or "") for c in ("title", "company", "department", "why_cool", "reason")).lower() + " " + " ".join(row["tags"] or []).lower()
+        said = " ".join((str(row[c] or "")[:TREND_CHARS] if c == "description_text" else str(row[c] or "")) for c in ("company", "title", "department", "description_text", "why_cool", "reason")).lower()
         return any(re.search(text.pattern_of(t), said) for t in terms)
 
     cities = _leading(spark, [r["city"] for r in rows if r["city"]], 2, 3)
-    themes = _leading(spark, [name for r in rows for name, terms in THEMES.items() if says(r, terms)], 3, 3) or _leading(spark, [_group(r) for r in rows], 2, 2)
+    themes = _leading(spark, [name for r in rows for name, terms in THEMES.items() if says(r, terms)], 3, 3) or [g.lower() for g in _leading(spark, [_group(r) for r in rows], 2, 2)]
     lists = spark.createDataFrame([(cities, themes)], "c array<string>, t array<string>")
     return lists.select(delivery.trend_sentence(F.col("c"), F.col("t")).alias("s")).first().s
 
@@ -301,9 +188,9 @@ def weekly_digest(store: StateStore, *, now: str, run_id: str, settings: Setting
     results = delivery.send_all(recipients, message, send)
     if not delivery.all_sent(results):
         return out | {"status": "send_failed", "errors": [r.error for r in results if not r.ok]}
-    changes = {"sent_weeks": spark.createDataFrame([(when.week, now, run_id)], TABLES["sent_weeks"][1]), "runs": _run(store, run_id, "digest", now, {"selected": len(rows)})}
+    changes = {"sent_weeks": spark.createDataFrame([(when.week, now, run_id)], TABLES["sent_weeks"][1]), "runs": run_row(store, run_id, "digest", now, {"selected": len(rows)})}
     if rows:
         changes["sent_jobs"] = spark.createDataFrame([(r["stable_key"], now, when.week, run_id, r["company"], r["title"], r["city"], r["canonical_url"]) for r in rows], TABLES["sent_jobs"][1])
         changes["seen_jobs"] = spark.createDataFrame([(r["stable_key"], now, r["company"], r["title"], r["city"], r["canonical_url"], r["content_hash"]) for r in rows], TABLES["seen_jobs"][1])
-    store.commit(changes, {"runs": _last_runs})
+    store.commit(changes, {"runs": last_runs})
     return out | {"status": "sent"}

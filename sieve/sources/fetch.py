@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Answer = tuple[int, dict[str, str], str, str]
-_SCHEMA = "source_id string, adapter string, company string, url string, status int, headers map<string,string>, body string, ok boolean, error string"
-_FIELDS = pa.schema([("source_id", pa.string()), ("adapter", pa.string()), ("company", pa.string()), ("url", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.string()), ("ok", pa.bool_()), ("error", pa.string())])
+_SCHEMA = "source_id string, adapter string, company string, url string, status int, headers map<string,string>, body string, ok boolean, error string, elapsed_ms long"
+_FIELDS = pa.schema([("source_id", pa.string()), ("adapter", pa.string()), ("company", pa.string()), ("url", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.string()), ("ok", pa.bool_()), ("error", pa.string()), ("elapsed_ms", pa.int64())])
 ERROR_CHARS = 400
 
 
@@ -37,8 +38,9 @@ def fetch_bodies(requests: DataFrame, getter: Callable[[str, dict[str, str]], An
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source, adapter, company, url, headers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                began = time.monotonic()
                 status, answered, body, error = getter(url, dict(headers or {})) if url else (0, {}, "", "no url")
-                row = (source, adapter, company, url, status, list(answered.items()), body, not error, error)
+                row = (source, adapter, company, url, status, list(answered.items()), body, not error, error, round((time.monotonic() - began) * 1000))
                 yield pa.record_batch([pa.array([x], t) for x, t in zip(row, _FIELDS.types, strict=True)], schema=_FIELDS)
 
     n = tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sieve.functions.text import blank, email, first_present, strip_html
 from sieve.operators.relational import first_wins
 
-RAW = ("external_id", "title", "company", "location", "canonical_url", "apply_url", "department", "employment_type", "posted_at", "updated_at", "created_at", "description_text", "tags")
+RAW = ("external_id", "title", "company", "location", "canonical_url", "apply_url", "department", "employment_type", "posted_at", "updated_at", "created_at", "description_text", "salary_text", "tags")
 
 _GREENHOUSE = "struct<id:string,title:string,absolute_url:string,location:struct<name:string>,first_published:string,published_at:string,updated_at:string,departments:array<struct<name:string>>,content:string>"
 _LEVER = "struct<id:string,text:string,hostedUrl:string,applyUrl:string,createdAt:string,descriptionPlain:string,description:string,categories:struct<location:string,team:string,commitment:string>>"
@@ -95,6 +95,7 @@ def conditional_headers(etag: Column, modified: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull()))
 
 
+# Fixed value: the places that a feed's texts are searched for.
 _RSS_PLACES = r"(?i)\b(Beijing|Dubai|Shenzhen|Shenzen|New York City|New York|NYC|San Francisco|SF|Sydney)\b"
 
 
@@ -106,21 +107,31 @@ def rss_raw(bodies: DataFrame) -> DataFrame:
     return _raw(items, F.col("company"), {"external_id": F.col("external_id"), "title": F.col("title"), "location": place, "canonical_url": F.col("link"), "apply_url": F.col("link"), "posted_at": F.col("published"), "description_text": F.col("description"), "tags": none})
 
 
-def html_raw(bodies: DataFrame, source: dict) -> DataFrame:
-    """Raw postings by a configured wrapper: ``item_regex`` and ``<field>_regex`` for id, title, company, location, url, description."""
+def html_raw(bodies: DataFrame) -> DataFrame:
+    """Raw postings by configured wrappers: (source_id, company, body) with ``_rules``, whose patterns are each row's own.
+
+    Each match of ``item_regex`` is an item, with group 1 of each ``<field>_regex`` in it; bodies without one have none.
+    """
+    items = F.expr("regexp_extract_all(body, concat('(?is)', _rules.item_regex), 0)")
+    rows = bodies.where("_rules.item_regex IS NOT NULL").select("source_id", "company", "_rules", F.posexplode(items).alias("pos", "item"))
     names = ("id", "title", "company", "location", "url", "description")
-    rows = html_items(bodies, str(source.get("item_regex") or ""), {f"f_{n}": str(source[f"{n}_regex"]) for n in names if source.get(f"{n}_regex")}, keep_item=True)
-    got = {n: strip_html(F.col(f"f_{n}")) if f"f_{n}" in rows.columns else F.lit("") for n in names}
-    company = F.lit(str(source["company"])) if source.get("company") else got["company"]
+    found = F.array(*(F.expr(f"regexp_extract(item, concat('(?is)', _rules.{n}_regex), 1)") for n in names))
+    rows = rows.withColumn("_found", F.transform(found, lambda x: strip_html(x)))
+    got = {n: F.get("_found", F.lit(k)) for k, n in enumerate(names)}
     none = F.array().cast("array<string>")
-    return _raw(rows, company, {"external_id": first_present(got["id"], got["url"], got["title"]), "title": got["title"], "location": got["location"], "canonical_url": got["url"], "apply_url": got["url"], "description_text": first_present(got["description"], F.col("item")), "tags": none})
+    return _raw(rows, first_present(F.col("_rules.company"), got["company"]), {"external_id": first_present(got["id"], got["url"], got["title"]), "title": got["title"], "location": got["location"], "canonical_url": got["url"], "apply_url": got["url"], "description_text": first_present(got["description"], F.col("item")), "tags": none})
+
+
+# Other names that inline rows give their fields, in the order they are looked at.
+_OTHER_NAMES = {"external_id": ("id",), "location": ("location_text",), "canonical_url": ("apply_url", "url"), "description_text": ("description", "content"), "department": ("team",), "employment_type": ("commitment",), "salary_text": ("salary",)}
 
 
 def fixture(bodies: DataFrame) -> DataFrame:
-    """Raw postings given as they are: {jobs: []} or a bare list of objects with the columns of RAW."""
-    kind = "struct<" + ",".join(f"{c}:string" for c in (*RAW[:-1], "location_text")) + ",tags:array<string>>"
+    """Raw postings given as they are: {jobs: []} or a bare list of objects with the columns of RAW or their other names."""
+    names = list(dict.fromkeys([*RAW[:-1], *(n for more in _OTHER_NAMES.values() for n in more)]))
+    kind = "struct<" + ",".join(f"{c}:string" for c in names) + ",tags:array<string>>"
     rows = _items(bodies, "body", kind, False)
-    fields = {c: F.col(f"job.{c}") for c in RAW[:-1]} | {"company": first_present(F.col("job.company"), F.col("company")), "location": first_present(F.col("job.location"), F.col("job.location_text"))}
+    fields = {c: first_present(*(F.col(f"job.{n}") for n in (c, *_OTHER_NAMES.get(c, ())))) for c in RAW[:-1]} | {"company": first_present(F.col("job.company"), F.col("company"))}
     return _raw(rows, F.col("company"), fields | {"tags": F.coalesce(F.col("job.tags"), F.array().cast("array<string>"))})
 
 

@@ -123,7 +123,8 @@ def test_every_adapter_and_the_rules_of_a_source(store, tmp_path):
     assert {r.source_id: r.ok for r in bodies.collect()} == {"feed": True, "page": True, "own": True, "file": True, "strict": True, "lost": False}
     jobs.discover(store, bodies, conditions=RULES, now=AT, run_id="d", settings=SETTINGS, sources=sources)
     state = {r.stable_key: r for r in store.read("evaluated_jobs").collect()}
-    accepted = {k for k, r in state.items() if not r.rejection_reason.startswith("conditions_filter")}
+    accepted = {k for k, r in state.items() if not r.rejection_reason.startswith(("conditions_filter", "hard_filter"))}
+    assert {k for k, r in state.items() if r.rejection_reason == "hard_filter"} == {"own:2", "strict:4"}
     assert accepted == {"feed:g1", "page:https-x-io-h1", "own:1", "file:9"}
     assert state["feed:g1"].job.city == "New York" and state["feed:g1"].job.source_name == "Feed Co" and state["page:https-x-io-h1"].job.title == "Policy & more"
     assert state["page:https-x-io-h2"].rejection_reason == "conditions_filter:no_role_group"
