@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sieve.functions import dates, text, urls
 from sieve.functions.vocabulary import ACRONYMS, GROUPS, OTHER_GROUP, THEMES
 from sieve.operators import delivery, relational
+from sieve.operators.postings import normalize  # noqa: F401  part of this module's interface
 from sieve.operators.source_rules import source_id
 from sieve.plans.discovery import discover, polled_boards  # noqa: F401  both are part of this module's interface
 from sieve.plans.shared import last_runs, run_row, staged, state_rows
