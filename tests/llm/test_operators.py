@@ -655,14 +655,14 @@ def test_clashing_columns_of_pages_and_conversations(spark):
     assert (row.n_turns, row.loss_chars) == (2, 1) and row.turns_sha256 == hashlib.sha256(("user\n" + "x" * 200_000 + "\nassistant\ny\n").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op3_chat", "op4_mixing", "op5_jaccard_join", "op7_warc", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op3_chat", "op4_mixing", "op5_jaccard_join", "op7_warc", "op10_substring_dedup", "op12_spelling_variants", "op13_band_join"])
 def test_query_against_its_sql(spark, sf, name):
     import duckdb
 
     from sieve.llm.oracles import ORACLES
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "sale_lines", "items"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     out, plain = queries.QUERIES[name](spark, sf), con.execute(ORACLES[name])
     columns = [d[0] for d in plain.description]
