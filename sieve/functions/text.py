@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -121,8 +121,8 @@ def unescape(c: Column) -> Column:
         return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), resolved), ""))
 
     # bound, so that text and parts are made once however often they are named
-    whole = lambda x: F.when(F.contains(x, F.lit("&")), F.get(F.transform(F.array(F.split(x, "&", -1)), joined), F.lit(0))).otherwise(x)
-    return F.get(F.transform(F.array(c), whole), F.lit(0))
+    whole = lambda x: F.when(F.contains(x, F.lit("&")), bound(F.split(x, "&", -1), joined)).otherwise(x)
+    return bound(c, whole)
 
 
 def pattern_of(term: str) -> str:
@@ -145,10 +145,60 @@ def any_keyword(text: Column, terms: Iterable[str]) -> Column:
     return text.rlike("|".join(terms)) if terms else F.lit(False)
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value of ``c``, made once a row however often it is named."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def keyword_of(term: str) -> str:
+    """A term as it is looked for: lower-case, one space between its words."""
+    return " ".join(term.lower().split())
+
+
+def _quoted(c: str) -> str:
+    return c if re.match("[A-Za-z0-9_ ]", c) else "\\" + c
+
+
+def _branch(node: dict) -> str:
+    """Regex of a trie's strings, longer ones first."""
+    ways = [_quoted(c) + _branch(below) for c, below in sorted(node.items()) if c]
+    if not ways:
+        return ""
+    return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+
+def keyword_hits(text: Column, terms: Iterable[str]) -> Column:
+    """The keywords (see ``keyword_of``) that lower-case text holds, found in one pass over it; null for null.
+
+    At each place where a word begins a trie of all terms finds the longest that stands there, without using up the
+    text, so that terms may overlap; shorter ones that begin it are known from the terms alone.
+    """
+    keys = sorted({k for t in terms if (k := keyword_of(t))})
+    if not keys:
+        return F.when(text.isNotNull(), F.array().cast("array<string>"))
+    trie: dict = {}
+    for k in keys:
+        node = trie
+        for c in k:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    first = "".join(map(_quoted, sorted(trie)))  # most places fail at one look
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=[{first}])(?<![a-z0-9])(?=({_branch(trie)})(?![a-z0-9]))"), F.lit(1)))
+    begun = {k: [x for x in keys if k.startswith(x) and not re.match("[a-z0-9]", k[len(x):])] for k in keys}
+    held = [F.struct(F.lit(k).alias("key"), F.array(*map(F.lit, x)).alias("value")) for k, x in begun.items() if len(x) > 1]
+    if not held:
+        return found
+    also = F.map_from_entries(F.array(*held))
+    return F.array_distinct(F.flatten(F.transform(found, lambda k: F.coalesce(F.try_element_at(also, k), F.array(k)))))
+
+
 def matched_keywords(text: Column, terms: Iterable[str]) -> Column:
     """The terms that occur in lower-case text, in their order."""
-    found = [F.when(has_keyword(text, t), F.lit(t)) for t in terms]
-    return F.filter(F.array(*found), lambda t: t.isNotNull()) if found else F.array().cast("array<string>")
+    terms = [t for t in terms if t.split()]
+    if not terms:
+        return F.array().cast("array<string>")
+    table = F.array(*(F.struct(F.lit(keyword_of(t)).alias("key"), F.lit(t).alias("term")) for t in terms))
+    return bound(keyword_hits(text, terms), lambda hits: F.transform(F.filter(table, lambda t: F.array_contains(hits, t["key"])), lambda t: t["term"]))
 
 
 def haystack(*columns: Column) -> Column:

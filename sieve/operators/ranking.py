@@ -36,8 +36,8 @@ class Ranked:
 
 def scored(jobs: DataFrame) -> DataFrame:
     """Adds points (uncapped), the capped score, include and the reason."""
-    points, reasons = signal_score(title=F.col("title"), company=F.col("company"), department=F.col("department"), employment=F.col("employment_type"), tags=F.array_join("tags", " "), description=F.col("description_text"), city=F.col("city"))
-    rows = jobs.withColumns({"points": points, "_why": reasons})
+    signals = signal_score(title=F.col("title"), company=F.col("company"), department=F.col("department"), employment=F.col("employment_type"), tags=F.array_join("tags", " "), description=F.col("description_text"), city=F.col("city"))
+    rows = jobs.withColumn("_signals", signals).withColumns({"points": F.col("_signals.points"), "_why": F.col("_signals.reasons")}).drop("_signals")
     why = rationale(F.col("company"), F.col("city"), F.col("title"), F.col("_why"))
     return rows.withColumns({"score": F.least(F.lit(100.0), "points"), "include": F.col("points") >= THRESHOLD, "reason": why, "why_cool": why, "risk_flags": F.array(F.lit("deterministic_fallback"))}).drop("_why")
 

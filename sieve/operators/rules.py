@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sieve.functions.text import any_keyword, blank, has_keyword, haystack, matched_keywords, years_allowed
+from sieve.functions.text import any_keyword, blank, bound, haystack, keyword_hits, keyword_of, years_allowed
 from sieve.functions.vocabulary import BRAND_TERMS, LOW_SIGNAL_TERMS, PLACES, SENIOR_TERMS, SIGNAL_TERMS
 
 
-def group_match(text: Column, group: dict) -> Column:
-    """Terms of a role group found in lower-case text; null where the group doesn't match."""
-    every, some, none = (list(group.get(k) or []) for k in ("include_all", "include_any", "exclude_any"))
-    if not every and not some:
-        return F.lit(None).cast("array<string>")
-    ok = ~any_keyword(text, none)
-    for term in every:
-        ok = ok & has_keyword(text, term)
-    if some:
-        ok = ok & any_keyword(text, some)
-    return F.when(ok, matched_keywords(text, [*every, *some]))
+def _keys(terms: list[str]) -> Column:
+    return F.array(*(F.lit(keyword_of(t)) for t in terms)).cast("array<string>")
 
 
 def matched_groups(text: Column, groups: list[dict]) -> Column:
-    """array of struct(id, label, terms), in the order of the groups."""
-    found = [F.struct(F.lit(g["id"]).alias("id"), F.lit(g.get("label", g["id"])).alias("label"), group_match(text, g).alias("terms")) for g in groups]
-    return F.filter(F.array(*found), lambda g: g["terms"].isNotNull())
-
-
-def rejection(*, age: Column, title: Column, metadata: Column, full: Column, role: Column, rules: dict, groups: list[dict]) -> Column:
-    """The first rule that rejects, or null; later rules aren't evaluated where an earlier one rejects."""
+    """array of struct(id, label, terms) of the groups that lower-case text matches, in their order; none for null.
+
+    A group matches with every term of ``include_all``, one of ``include_any`` if it has any, and none of
+    ``exclude_any``; one without terms to include never does.  ``terms`` are those found.  The text is read once for
+    all groups together.
+    """
+    kind = "array<struct<id:string,label:string,terms:array<string>>>"
+    table, terms = [], []
+    for g in groups:
+        every, some, none = (list(g.get(k) or []) for k in ("include_all", "include_any", "exclude_any"))
+        if not every and not some:
+            continue
+        terms += [*every, *some, *none]
+        shown = [F.struct(F.lit(keyword_of(t)).alias("key"), F.lit(t).alias("term")) for t in [*every, *some]]
+        columns = {"id": F.lit(g["id"]), "label": F.lit(g.get("label", g["id"])), "every": _keys(every), "some": _keys(some), "none": _keys(none), "shown": F.array(*shown)}
+        table.append(F.struct(*(c.alias(n) for n, c in columns.items())))
+    if not table:
+        return F.array().cast(kind)
+
+    def met(hits: Column) -> Column:
+        ok = lambda g: (F.size(F.array_except(g["every"], hits)) == 0) & ((F.size(g["some"]) == 0) | F.arrays_overlap(g["some"], hits)) & ~F.arrays_overlap(g["none"], hits)
+        found = lambda g: F.transform(F.filter(g["shown"], lambda t: F.array_contains(hits, t["key"])), lambda t: t["term"])
+        return F.transform(F.filter(F.array(*table), ok), lambda g: F.struct(g["id"].alias("id"), g["label"].alias("label"), found(g).alias("terms")))
+
+    return bound(keyword_hits(blank(text), terms), met)
+
+
+def rejection(*, age: Column, title: Column, metadata: Column, full: Column, groups: Column, rules: dict) -> Column:
+    """The first rule that rejects, or null; later rules aren't evaluated where an earlier one rejects.
+
+    ``groups``: what ``matched_groups`` found in the text that roles are looked for in.
+    """
     limit = rules.get("posted_within_days") or 0
     missing = F.lit(bool(limit > 0 and not rules.get("allow_missing_posted_date"))) & age.isNull()
     late = F.lit(limit > 0) & age.isNotNull() & ~((age >= -1) & (age <= limit))
@@ -41,7 +59,7 @@ def rejection(*, age: Column, title: Column, metadata: Column, full: Column, rol
         .when(any_keyword(metadata, rules.get("exclude_any") or []), "excluded_keyword")
         .when(any_keyword(full, whole), "excluded_full_text_keyword")
         .when(~years_allowed(full, rules.get("max_years_experience", 5)), "years_experience")
-        .when(F.size(matched_groups(role, groups)) == 0, "no_role_group")
+        .when(F.size(groups) == 0, "no_role_group")
     )
 
 
@@ -51,30 +69,43 @@ def source_allows(text: Column, full: Column, include: list[str], exclude: list[
     return ok & any_keyword(text, include) if include else ok
 
 
-def signal_score(*, title: Column, company: Column, department: Column, employment: Column, tags: Column, description: Column, city: Column) -> tuple[Column, Column]:
-    """(score, reasons), added up in the order of the tables so that doubles agree bit for bit."""
+def _points(terms: dict[str, float], kind: str = "", sign: int = 1) -> Column:
+    """Literal table (key, points, weak, reason) of terms; ``weak``: the points where only the context holds a term."""
+    row = lambda t, p: F.struct(F.lit(t).alias("key"), F.lit(float(sign * p)).alias("points"), F.lit(max(4.0, p * 0.4)).alias("weak"), F.lit(kind + t).alias("reason"))
+    return F.array(*(row(t, p) for t, p in terms.items()))
+
+
+def _earned(table: Column, points: Callable[[Column], Column]) -> Column:
+    """array of struct(points, reason): the table's rows with the points that ``points`` gives them, or null."""
+    return F.transform(table, lambda t: F.struct(points(t).alias("points"), t["reason"].alias("reason")))
+
+
+def signal_score(*, title: Column, company: Column, department: Column, employment: Column, tags: Column, description: Column, city: Column) -> Column:
+    """struct(points, reasons), added up in the order of the tables so that doubles agree bit for bit.
+
+    Title, role and context are each read once; the tables are literals that a lambda walks, so the code that a stage
+    compiles doesn't grow with them.
+    """
     role = haystack(title, department, employment, tags)
     context = haystack(company, F.left(blank(description), F.lit(900)))
-    low_title, low_company = F.lower(blank(title)), F.lower(blank(company))
-    score, reasons = F.lit(45.0), []
-    for term, points in SIGNAL_TERMS.items():
-        in_role, in_context = has_keyword(role, term), has_keyword(context, term)
-        score = score + F.when(in_role, float(points)).when(in_context, max(4, points * 0.4) * 1.0).otherwise(0.0)
-        reasons.append(F.when(in_role | in_context, term))
-    for term, points in BRAND_TERMS.items():
-        hit = brand_hit(low_company, context, term)
-        score = score + F.when(hit, float(points)).otherwise(0.0)
-        reasons.append(F.when(hit, term))
-    for mark, table in (("low-signal", LOW_SIGNAL_TERMS), ("seniority", SENIOR_TERMS)):
-        for term, points in table.items():
-            hit = has_keyword(low_title, term)
-            score = score - F.when(hit, float(points)).otherwise(0.0)
-            reasons.append(F.when(hit, f"{mark}:{term}"))
-    score = score + F.when(blank(city).isin(*PLACES), 8.0).otherwise(0.0)
-    return score, F.filter(F.array(*reasons), lambda r: r.isNotNull())
-
-
-def brand_hit(company: Column, context: Column, term: str) -> Column:
+    texts = F.struct(
+        keyword_hits(role, SIGNAL_TERMS).alias("role"), keyword_hits(context, SIGNAL_TERMS).alias("near"), keyword_hits(F.lower(blank(title)), [*LOW_SIGNAL_TERMS, *SENIOR_TERMS]).alias("title"),
+        F.lower(blank(company)).alias("company"), context.alias("context"),
+    )
+
+    def earned(x: Column) -> Column:
+        holds = lambda hits: lambda t: F.when(F.array_contains(x[hits], t["key"]), t["points"])
+        signals = _earned(_points(SIGNAL_TERMS), lambda t: F.when(F.array_contains(x["role"], t["key"]), t["points"]).when(F.array_contains(x["near"], t["key"]), t["weak"]))
+        brands = _earned(_points(BRAND_TERMS), lambda t: F.when(brand_hit(x["company"], x["context"], t["key"]), t["points"]))
+        minus = [_earned(_points(table, f"{mark}:", -1), holds("title")) for mark, table in (("low-signal", LOW_SIGNAL_TERMS), ("seniority", SENIOR_TERMS))]
+        return F.filter(F.concat(signals, brands, *minus), lambda e: e["points"].isNotNull())
+
+    place = F.when(blank(city).isin(*PLACES), 8.0).otherwise(0.0)
+    total = lambda found: F.aggregate(found, F.lit(45.0), lambda a, e: a + e["points"]) + place
+    return bound(bound(texts, earned), lambda found: F.struct(total(found).alias("points"), F.transform(found, lambda e: e["reason"]).alias("reasons")))
+
+
+def brand_hit(company: Column, context: Column, term: Column | str) -> Column:
     """A brand occurs anywhere, inside words too, in lower-case texts."""
     return company.contains(term) | context.contains(term)
 
@@ -90,8 +121,7 @@ def rationale(company: Column, city: Column, title: Column, reasons: Column) ->
 
 
 def score_terms(text: Column, terms: dict[str, float], base: float = 0.0) -> Column:
-    """Left-folded sum of the weights of the terms that occur."""
-    score = F.lit(float(base))
-    for term, points in terms.items():
-        score = score + F.when(has_keyword(text, term), float(points)).otherwise(0.0)
-    return score
+    """Left-folded sum of the weights of the terms that lower-case text holds; ``base`` for null."""
+    table = F.array(*(F.struct(F.lit(keyword_of(t)).alias("key"), F.lit(float(p)).alias("points")) for t, p in terms.items()))
+    earned = lambda hits: F.aggregate(F.filter(table, lambda t: F.array_contains(hits, t["key"])), F.lit(float(base)), lambda a, t: a + t["points"])
+    return bound(keyword_hits(blank(text), terms), earned)

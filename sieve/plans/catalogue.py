@@ -148,7 +148,7 @@ def rule_cascade(t):
     rows = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
     age = F.when(col("quality") == 1, 1.0).when(col("quality") == 0, 99.0)
     config = {"posted_within_days": 8, "exclude_title_any": ["src1"], "exclude_any": ["es"], "exclude_full_text_any": ["token"]}
-    reason = rules.rejection(age=age, title=col("source"), metadata=text.haystack(col("source"), col("lang")), full=F.lower("text"), role=F.lower("text"), rules=config, groups=ROLE_GROUPS)
+    reason = rules.rejection(age=age, title=col("source"), metadata=text.haystack(col("source"), col("lang")), full=F.lower("text"), groups=rules.matched_groups(F.lower("text"), ROLE_GROUPS), rules=config)
     return rows.select("doc_id", F.coalesce(reason, F.lit("accepted")).alias("reason"))
 
 

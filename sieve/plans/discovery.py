@@ -51,9 +51,10 @@ def judged(jobs: DataFrame, conditions: dict, now: Column) -> DataFrame:
     role = text.haystack(F.col("title"), F.col("department"), F.col("employment_type"), F.array_join("tags", " "), prefix)
     age = dates.age_days(dates.parse_iso(F.col("posted_at")), now)
     groups = conditions.get("role_groups") or []
-    reason = rules.rejection(age=age, title=F.col("title"), metadata=metadata, full=full, role=role, rules=conditions, groups=groups)
+    reason = rules.rejection(age=age, title=F.col("title"), metadata=metadata, full=full, groups=F.col("_matched"), rules=conditions)
     recent = ~F.coalesce(reason, F.lit("")).isin("missing_posted_date", "not_recent")
-    return jobs.withColumns({"rejected": reason, "groups": F.transform(rules.matched_groups(role, groups), lambda g: g["id"]), "recent": recent})
+    rows = jobs.withColumn("_matched", rules.matched_groups(role, groups))
+    return rows.withColumns({"rejected": reason, "groups": F.transform("_matched", lambda g: g["id"]), "recent": recent}).drop("_matched")
 
 
 def by_source(rows: DataFrame) -> Column:

@@ -1,11 +1,14 @@
 """Every registered query against its DuckDB SQL, and functions on odd values."""
 
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sieve.functions import dates, places, text, urls
-from sieve.operators import delivery, relational
+from sieve.operators import delivery, relational, rules
 from sieve.plans.catalogue import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -61,3 +64,24 @@ def test_chunks_and_sinks():
 def test_plans_push_limits_down(spark, sf):
     plan = QUERIES["per_company_cap"](spark, sf)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan or "GlobalLimit" in plan
+
+
+def test_keywords_in_one_pass(spark):
+    """The trie against a regex a term: overlapping terms, terms that begin others, marks, case, nulls, blank terms."""
+    terms = ["public", "public policy", "policy", "policy ai", "ai", "c++", "c", "a.b", "Head  of", "é", "", "public policy ai", "art", "der"]
+    words = ["public", "policy", "ai", "art", "c++", "c", "a.b", "head of", "é", "aié", "publicity", "der", "-", "ai2", "aXb"]
+    draw = random.Random(5)
+    texts = ["", None, "public policy ai", "policy  ai", "head of c++c c+++", "x-ai", "éé é"] + [draw.choice([" ", "", "-"]).join(draw.choices(words, k=draw.randrange(9))).lower() for _ in range(400)]
+    groups = [{"id": "a", "include_all": ["public", "policy ai"], "exclude_any": ["der", ""]}, {"id": "b", "label": "B", "include_any": ["ai", "c++", ""]}, {"id": "none"}, {"id": "blank", "include_all": ["ai", " "]}]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("t", text.matched_keywords(F.col("t"), terms).alias("k"), rules.matched_groups(F.col("t"), groups).alias("g"), rules.score_terms(F.col("t"), {"ai": 3, "public policy": 0.1, "c": 0.7}, 45).alias("s")).collect()
+
+    def has(said, term):
+        key = " ".join(term.lower().split())
+        return bool(key) and re.search(rf"(?<![a-z0-9]){re.escape(key)}(?![a-z0-9])", said or "") is not None
+
+    for r in got:
+        assert r.k == [t for t in terms if has(r.t, t)], r.t
+        want = [("a", "a", ["public", "policy ai"])] * (has(r.t, "public") and has(r.t, "policy ai") and not has(r.t, "der"))
+        want += [("b", "B", [t for t in ("ai", "c++") if has(r.t, t)])] * (has(r.t, "ai") or has(r.t, "c++"))
+        assert [tuple(g) for g in r.g] == want and r.s == 45.0 + (3.0 if has(r.t, "ai") else 0.0) + (0.1 if has(r.t, "public policy") else 0.0) + (0.7 if has(r.t, "c") else 0.0), r.t
