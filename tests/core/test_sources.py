@@ -16,6 +16,7 @@ from sieve.plans import jobs
 from sieve.plans.catalogue import ORACLES, QUERIES
 from sieve.settings import Settings
 from sieve.sources import listing, payloads
+from sieve.sources.listing_settings import CrawlSettings, SearchSettings
 from sieve.sources.store import StateStore
 from tests.core.test_catalogue import TABLES, rows_of
 
@@ -40,14 +41,44 @@ def answers(**by):
     return get
 
 
-def test_crawl_indexes():
+def test_crawl_indexes(spark):
+    def asked(config, getter=answers()):
+        found, error = listing.crawl_indexes(spark, CrawlSettings.of(config), getter)
+        return [r.endpoint for r in found.orderBy("n").collect()], error
+
     listed = json.dumps([{"id": "CC-MAIN-1", "cdx-api": "https://index.example/1"}, {"id": "CC MAIN-2"}, "x", {"id": "3"}])
-    assert listing.crawl_indexes({"max_common_crawl_indexes": 2}, answers(collinfo=listed)) == (["https://index.example/1", listing.INDEX_HOST + "CC%20MAIN-2-index"], [])
-    assert listing.crawl_indexes({"common_crawl_indexes": ["A-index", "", "https://x"]}) == ([listing.INDEX_HOST + "A-index", "https://x"], [])
-    assert listing.crawl_indexes({"common_crawl_index": "B"}) == ([listing.INDEX_HOST + "B-index"], [])
-    assert listing.crawl_indexes({}, answers(collinfo="[]"))[1] == ["crawl_index_list_empty"]
-    assert listing.crawl_indexes({}, answers(collinfo="oops"))[1] == ["crawl_index_list_failed:JSONDecodeError"]
-    assert listing.crawl_indexes({}, answers(collinfo=(500, {}, "", "HTTP 500: no")))[1] == ["crawl_index_list_failed:HTTP 500: no"]
+    assert asked({"max_common_crawl_indexes": 2}, answers(collinfo=listed)) == (["https://index.example/1", listing.INDEX_HOST + "CC%20MAIN-2-index"], "")
+    assert asked({"common_crawl_indexes": ["A-index", "", "https://x/"]}) == ([listing.INDEX_HOST + "A-index", "https://x"], "")
+    assert asked({"common_crawl_index": "B"}) == ([listing.INDEX_HOST + "B-index"], "")
+    assert asked({}, answers(collinfo="[]"))[1] == "common_crawl_index_list_empty"
+    assert asked({}, answers(collinfo="oops"))[1] == "common_crawl_index_list_failed:JSONDecodeError"
+    assert asked({}, answers(collinfo=(500, {}, "", "HTTP 500: no")))[1] == "common_crawl_index_list_failed:HTTP 500: no"
+
+
+def test_settings_of_a_refresh():
+    crawl = CrawlSettings.of({"common_crawl_index_count": 0, "ats_hosts": ["a.io", " ", "b.io/x*"], "max_registry_refresh_urls": 9, "per_host_limit": 20})
+    assert (crawl.indexes, crawl.most_indexes, crawl.hosts, crawl.most_urls, crawl.per_host) == ((), 1, ("a.io/*", "b.io/x*"), 9, 9)
+    search = SearchSettings.of({"google_cse": {"api_key_env": "K", "max_queries": 3, "results_per_query": 50}}, {"K": " k ", "GOOGLE_CSE_CX": "e"})
+    assert (search.key, search.engine, search.page_size, search.most_queries, search.most_urls, search.since) == ("k", "e", 10, 3, 30, "d14")
+    assert SearchSettings.of({"google_cse": "no"}, {}).usable is False and SearchSettings.of({}, {}).most_urls == 300
+
+
+def test_waves_ask_what_is_left(spark, store, tmp_path):
+    """The budget is met in the first wave: no later request goes out, and what failed past it is no failure."""
+
+    def get(url, headers, timeout=30):
+        (tmp_path / url.rsplit("/", 1)[1]).write_text("asked")
+        return (503, {}, "", "HTTP 503: busy") if url.endswith(("1", "3")) else (200, {}, json.dumps([{"url": url + f"/{i}"} for i in range(4)]), "")
+
+    urls_of = lambda answers: payloads.crawl_records(answers.select("source_id", "body")).select(F.col("source_id").alias("at"), "pos", "url")
+    requests = listing._requests(spark, [(f"r{i}", f"https://x.io/{i}") for i in range(20)])
+    found, failures = listing.in_waves(requests, get, urls_of, most=6, width=4, stage=lambda df: jobs.staged(store, df))
+    assert [r.url for r in found.orderBy("at", "pos").collect()] == [f"https://x.io/{n}/{i}" for n, i in ((0, 0), (0, 1), (0, 2), (0, 3), (2, 0), (2, 1))]
+    assert failures == [("r1", "HTTP 503: busy")] and sorted(p.name for p in tmp_path.iterdir() if p.name.isdigit()) == ["0", "1", "2", "3"]
+    found, failures = listing.in_waves(requests, get, urls_of, most=30, width=4, stage=lambda df: jobs.staged(store, df))
+    asked = {p.name for p in tmp_path.iterdir() if p.name.isdigit()}
+    assert found.count() == 30 and asked == {str(i) for i in range(12)} and failures == [("r1", "HTTP 503: busy"), ("r3", "HTTP 503: busy")]
+    assert listing.in_waves(requests.limit(0), get, urls_of, most=3)[0].count() == 0
 
 
 def test_refresh_from_the_crawl(store):
@@ -57,7 +88,9 @@ def test_refresh_from_the_crawl(store):
     config = {"common_crawl_indexes": ["A"], "ats_hosts": ["boards.greenhouse.io/*", "jobs.lever.co", "jobs.ashbyhq.com", "broken.example"], "max_registry_refresh_urls": 7}
     out = jobs.refresh_from(store, config, at=AT, run_id="r", getter=get)
     assert (out["raw"], out["accepted"], out["rejected"], out["added"]) == (7, 6, 1, 2) and out["ok"]
-    assert out["errors"] == ["crawl_query_failed:broken.example/*:HTTP 503: busy"]
+    assert out["errors"] == []  # the budget is met before the broken host
+    out = jobs.refresh_from(store, config | {"max_registry_refresh_urls": 9}, at=AT, run_id="q", getter=get)
+    assert out["errors"] == ["common_crawl_query_failed:broken.example/*:HTTP 503: busy"] and out["raw"] == 7 and out["ok"]
     assert jobs.refresh_from(store, config | {"max_registry_refresh_urls": 3}, at=AT, run_id="s", getter=get)["raw"] == 3
     gone = jobs.refresh_from(store, {"common_crawl_indexes": ["A"], "ats_hosts": ["broken.example"]}, at=AT, run_id="t", getter=get)
     assert not gone["ok"] and gone["raw"] == 0 and jobs.refresh_from(store, {"enabled": False}, at=AT, run_id="u")["errors"] == ["discovery_disabled"]
@@ -81,9 +114,9 @@ def test_search(spark, store):
     own = {"api_key": "k", "cx": "e", "queries": ["a", "bad", "b"], "results_per_query": 2, "max_pages_per_query": 2, "max_results": 8}
     found, errors = listing.search_urls(spark, {"google_cse": own}, {}, get)
     assert [r.url.rsplit("/", 1)[1] for r in found.collect()] == ["a1", "a2", "example.com", "a3", "a4", "example.com", "b1", "b2"]
-    assert errors == ["search_query_failed:bad:HTTP 429: slow down"] * 2
-    assert listing.search_urls(spark, {"google_cse": {"queries": ["a"]}}, {}, get, env={})[1] == ["search_credentials_missing"]
-    assert listing.search_urls(spark, {"google_cse": {"api_key_env": "K", "cx_env": "C"}}, {}, get, env={"K": "k", "C": "c"})[1] == ["search_no_queries"]
+    assert errors == ["google_cse_query_failed:HTTP 429: slow down"] * 2
+    assert listing.search_urls(spark, {"google_cse": {"queries": ["a"]}}, {}, get, env={})[1] == ["google_cse_missing_credentials"]
+    assert listing.search_urls(spark, {"google_cse": {"api_key_env": "K", "cx_env": "C"}}, {}, get, env={"K": "k", "C": "c"})[1] == ["google_cse_no_queries"]
     out = jobs.refresh_from(store, {"provider": listing.SEARCH, "google_cse": own}, at=AT, run_id="r", getter=get)
     assert (out["provider"], out["raw"], out["accepted"], out["rejected"], out["added"]) == (listing.SEARCH, 8, 6, 2, 1)
 
