@@ -31,16 +31,35 @@ _TURN = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*+)\n((?:[^<\\]|\\.|<(?!\|))*
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
-def events_of_rows(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chars: int = DELTA_CHARS) -> DataFrame:
-    """The log that would have streamed a table of turns: each row a message, its text in deltas.
+def events_of_rows(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chars: int = DELTA_CHARS, revisions: bool = False) -> DataFrame:
+    """A log that ends in a table of turns: each row a message, its text in deltas.
 
-    Rows of a conversation that share a turn are messages of their own, in order of role and text.
+    Rows of a conversation that share a turn are messages of their own, in order of role and text.  With ``revisions``
+    the log has a past: of three messages that follow each other, one was a draft that an ``edit`` replaced and one an
+    answer cut short that was asked for again by ``regenerate``; both times a reply had begun and is thrown away.
     """
     rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("user")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     rows = rows.withColumn("message", place.cast("long"))
     parts = F.expr(f"transform(sequence(0, greatest(0, (length(text) - 1) div {chars})), i -> substring(text, cast(i * {chars} as int) + 1, {chars}))")
-    return rows.select("conv_id", "message", "role", F.posexplode(parts).alias("i", "text")).select("conv_id", "message", (F.col("message") * (1 << 32) + F.col("i")).alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    rows = rows.select("conv_id", "message", "role", parts.alias("parts"))
+
+    def event(kind: str, text: Column, at: Column | int, role: Column | str = "role", later: int = 0) -> Column:
+        role = F.col(role) if isinstance(role, str) else role
+        return F.struct((F.col("message") + later).alias("message"), (F.col("message") * (1 << 32) + at).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    def streamed(texts: Column, start: int = 0) -> Column:
+        return F.transform(texts, lambda x, i: event("delta", x, i + start))
+
+    log = streamed(F.col("parts"))
+    if revisions:
+        head = F.get("parts", F.lit(0))
+        reply = event("delta", F.lit("a reply that was thrown away"), 1, F.lit("assistant"), 1)
+        edited = F.array(event("delta", F.concat(F.lit("draft <|im_end|> of "), F.reverse(F.left(head, F.lit(64)))), 0), reply, event("edit", head, 2))
+        again = F.array(event("delta", F.left(head, F.lit(chars // 4)), 0), reply, event("regenerate", F.lit(""), 2))
+        turn = F.pmod(F.coalesce("conv_id", F.lit(0)) + F.col("message"), F.lit(3))
+        log = F.when(turn == 1, F.concat(edited, streamed(F.slice("parts", F.lit(2), F.size("parts")), 3))).when(turn == 2, F.concat(again, streamed(F.col("parts"), 3))).otherwise(log)
+    return rows.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
 
 
 def fold(events: DataFrame) -> DataFrame:

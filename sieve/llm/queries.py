@@ -33,7 +33,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
-    return chat.read_back(chat.formatted_conversations(rows.union(tricky)))
+    return chat.read_back(chat.formatted_conversations(rows.union(tricky), revisions=True))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
