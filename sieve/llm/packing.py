@@ -167,15 +167,18 @@ def _dense(bins: np.ndarray) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1].astype(np.int32)
 
 
-def refit(bins: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator, sort: bool = True) -> np.ndarray:
-    """Pieces with bin -1 put back by best fit, long ones first, near ties in any order; all in any order without ``sort``."""
+def refit(bins: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator, sort: bool = True, blur: float = 8) -> np.ndarray:
+    """Pieces with bin -1 put back by best fit, long ones first; all in any order without ``sort``.
+
+    Lengths that differ by less than ``blur`` may change places; at 0 it is best-fit decreasing.
+    """
     out = np.full(len(bins), -1, np.int32)
     placed = bins >= 0
     if placed.any():
         out[placed] = _dense(bins[placed])
     free = size - _fill(out[placed], lengths[placed]) if placed.any() else np.empty(0, np.int64)
     loose = np.flatnonzero(~placed)
-    loose = loose[np.argsort(-(lengths[loose] + rng.uniform(0, 8, len(loose))), kind="stable")] if sort else rng.permutation(loose)
+    loose = loose[np.argsort(-(lengths[loose] + rng.uniform(0, blur, len(loose))), kind="stable")] if sort else rng.permutation(loose)
     keep = np.flatnonzero(free > 0)
     open_bins = Bins(free[keep])
     names, total = keep.tolist(), len(free)
@@ -189,8 +192,9 @@ def refit(bins: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Gener
 
 
 def fitness(bins: np.ndarray, lengths: np.ndarray, size: int) -> float:
-    """Mean square of the bins' filling: fewer bins, and among as many fuller ones, are better."""
-    return float(((_fill(bins, lengths) / size) ** 2).mean())
+    """Fewer bins are better, and among as many those with the greater mean square of filling."""
+    fill = _fill(bins, lengths) / size
+    return float((fill**2).mean() - len(fill))
 
 
 def cross(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
@@ -213,10 +217,14 @@ def mutate(a: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generat
 
 
 def evolve(lengths: np.ndarray, elites: list[np.ndarray], *, size: int = SEQUENCE, seed: int = 0, population: int = POPULATION, generations: int = GENERATIONS) -> list[np.ndarray]:
-    """An epoch of one island; the population, best first.  Beside the elites it starts from best fit in random orders."""
+    """An epoch of one island; the population, best first.
+
+    Beside the elites it starts from best fit in random orders and, in its first epoch, from best-fit decreasing, so
+    no island ends with more bins than that has.  It stops early at the bound, the lengths' sum over the size.
+    """
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // size)
-    people = list(elites)
+    people = list(elites) or [refit(np.full(len(lengths), -1, np.int32), lengths, size, rng, blur=0)]
     while len(people) < population:
         people.append(refit(np.full(len(lengths), -1, np.int32), lengths, size, rng, sort=False))
     people.sort(key=lambda p: -fitness(p, lengths, size))

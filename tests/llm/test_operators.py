@@ -310,6 +310,17 @@ def test_chat(spark):
     assert chat.read_back(chat.formatted_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_revisions(spark):
+    """A log with drafts, edits, cut answers and thrown-away replies folds into the messages of the plain log."""
+    rows = [(c, t, r, x) for c in (None, -1, 0, 7) for t, (r, x) in enumerate([("user", "ab" * 700), ("assistant", ""), (None, None), ("assistant", "<|im_end|>\\"), ("user", "é" * 513), ("user", "é" * 513)])]
+    df = spark.createDataFrame(rows + [(9, None, "user", "x"), (9, None, "user", "x")], "conv_id long, turn long, role string, text string")
+    log = chat.events_of_rows(df, revisions=True)
+    kinds = Counter(r.kind for r in log.collect())
+    assert (kinds["edit"], kinds["regenerate"]) == (9, 9)
+    found, plain = (sorted(map(repr, chat.fold(e).collect())) for e in (log, chat.events_of_rows(df)))
+    assert found == plain and len(plain) == 26 and log.where("text LIKE 'a reply%'").count() == 18
+
+
 def test_chat_fold(spark):
     log = [
         (1, 1, 1, "delta", "user", "he"), (1, 1, 2, "delta", "user", "llo"), (1, 2, 3, "delta", "assistant", "old"), (1, 2, 5, "regenerate", "assistant", None),
@@ -534,6 +545,23 @@ def test_the_search_beats_its_seeds():
     assert int(packing._fill(best, lengths).max()) <= 2048 and sorted(set(best.tolist())) == list(range(bins(best)))
 
 
+def test_no_island_is_worse_than_best_fit_decreasing():
+    import numpy as np
+
+    for seed, mean in enumerate((3.0, 5.5, 6.5)):
+        rng = np.random.default_rng(seed)
+        lengths = np.minimum(2047, rng.lognormal(mean, 1, 1500).astype(np.int64) + 1)
+        free: list[int] = []
+        for n in sorted(lengths.tolist(), reverse=True):  # each into the fullest bin that takes it
+            fits = [(f, i) for i, f in enumerate(free) if f >= n]
+            if fits:
+                free[min(fits)[1]] -= n
+            else:
+                free.append(2048 - n)
+        people = packing.evolve(lengths, [], seed=seed, generations=4)
+        assert int(people[0].max()) + 1 <= len(free)
+
+
 def test_encoder_on_odd_words():
     from tokenizers import Tokenizer
 
