@@ -77,6 +77,24 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new, key, "left_anti"))
 
 
+def newest(layers: list[DataFrame], key: str) -> DataFrame:
+    """Rows of all layers, the last the newest: those of the newest layer that has their key; rows without a key stay.
+
+    The layers above the first are told apart by one window over them alone; the first, the largest, is only probed
+    with their keys, which Spark broadcasts where they are few and joins by a shuffle where they are many.
+    """
+    base, *above = layers
+    if not above:
+        return base
+    rows = above[0].withColumn("_layer", F.lit(0))
+    for n, layer in enumerate(above[1:], 1):
+        rows = rows.unionByName(layer.withColumn("_layer", F.lit(n)))
+    if above[1:]:
+        last = F.max("_layer").over(Window.partitionBy(key))
+        rows = rows.withColumn("_last", last).where(F.col(key).isNull() | (F.col("_layer") == F.col("_last"))).drop("_last")
+    return upsert(base, rows.drop("_layer"), key)
+
+
 def bounded_fifo(values: Column, most: int, held: Column | None = None) -> Column:
     """Fold: a value present is skipped, else appended, the oldest evicted beyond ``most``."""
     start = held if held is not None else F.array().cast("array<string>")

@@ -7,11 +7,11 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from sieve.operators import delivery, ranking
+from sieve.operators import delivery, ranking, relational
 from sieve.plans import jobs
 from sieve.settings import Settings, flag, listed, load_env, load_json
 from sieve.sources.fetch import fetch_bodies
-from sieve.sources.store import Conflict, StateStore
+from sieve.sources.store import Conflict, StateStore, outgrown
 from sieve.streaming.files import run_available
 
 AT, LATER = "2026-06-20T00:00:00+00:00", "2026-06-21T00:00:00+00:00"
@@ -76,6 +76,63 @@ def test_store_passes_over_a_version_that_was_never_finished(store, spark):
     assert store.read("sent_weeks").count() == 2
 
 
+def weeks(spark, low, high, said):
+    return spark.range(low, high).select(F.format_string("w%07d", "id").alias("week_key"), F.lit(said).alias("sent_at"), F.sha2(F.col("id").cast("string"), 256).alias("run_id"))
+
+
+def test_store_writes_in_proportion_to_the_commit(store, spark):
+    store.commit({"sent_weeks": weeks(spark, 0, 200_000, "old")})
+    _, at = store.current()
+    (_, base), = at["sent_weeks"]
+    for n in range(12):
+        store.commit({"sent_weeks": weeks(spark, n * 50, n * 50 + 100, f"new{n:02d}")})
+        layers = store.current()[1]["sent_weeks"]
+        # the large layer stays the file it was; those above are few and each outweighs the ones after it
+        assert layers[0] == at["sent_weeks"][0] and len(layers) <= 4
+        sizes = [size for _, size in layers]
+        assert all(size >= 4 * sum(sizes[i + 1:]) for i, size in enumerate(sizes)) and sum(sizes[1:]) < base / 20
+    rows = {r.week_key: r.sent_at for r in store.read("sent_weeks").where("sent_at <> 'old'").collect()}
+    assert rows == {f"w{i:07d}": f"new{min(i // 50, 11):02d}" for i in range(650)} and store.read("sent_weeks").count() == 200_000
+    assert store.read("sent_weeks", at).where("sent_at <> 'old'").count() == 0
+    plan = store.read("sent_weeks")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_store_merges_layers_by_size(store, spark):
+    assert outgrown([5]) == 0 and outgrown([100, 25]) == 1 and outgrown([100, 26]) == 0 and outgrown([1000, 100, 20, 20]) == 1 and outgrown([10_000, 100, 20, 20]) == 1
+    layers = [spark.createDataFrame(rows, "k string, v int") for rows in ([("a", 1), ("b", 1), (None, 1), ("e", 1)], [("a", 2), ("c", 2), ("c", 3), (None, 2)], [("a", 4), ("d", None)], [])]
+    assert sorted((r.k or "", r.v or 0) for r in relational.newest(layers, "k").collect()) == [("", 1), ("", 2), ("a", 4), ("b", 1), ("c", 2), ("c", 3), ("d", 0), ("e", 1)]
+
+
+def test_store_sees_a_commit_between_its_two_looks(store, spark, monkeypatch):
+    other, current, beaten = StateStore(spark, store.root, wait_s=0.2), store.current, []
+
+    def late():
+        if not beaten:
+            beaten.append(None)
+            found = current()
+            other.commit({"sent_weeks": weeks(spark, 0, 1, "theirs")})
+            return found
+        return current()
+
+    monkeypatch.setattr(store, "current", late)
+    assert store.commit({"sent_weeks": weeks(spark, 1, 2, "ours")}) == 2
+    assert {r.sent_at for r in store.read("sent_weeks").collect()} == {"ours", "theirs"}
+
+
+def test_vacuum_keeps_what_a_kept_version_names(store, spark):
+    for n in range(6):
+        store.commit({"sent_weeks": weeks(spark, n, n + 1, f"n{n}")})
+    lost = store.write("sent_weeks", weeks(spark, 90, 91, "never named"))
+    _, second = store.current()
+    store.commit({"sent_weeks": weeks(spark, 6, 7, "n6")})
+    fs, path = store._path(lost[0])
+    assert store.vacuum(keep=2, grace_s=3600) == 0 and fs.exists(path)
+    assert store.vacuum(keep=2, grace_s=-60) > 0 and not fs.exists(path)
+    assert store._numbers() == [6, 7] and store.read("sent_weeks").count() == 7 and store.read("sent_weeks", second).count() == 6
+    assert store.vacuum(keep=2, grace_s=-60) == 0 and store.commit({"sent_weeks": weeks(spark, 7, 8, "n7")}) == 8
+
+
 def test_registry(store, spark):
     found = boards(spark, "https://boards.greenhouse.io/coolco/jobs/100", "https://boards.greenhouse.io/CoolCo/jobs/101?x=1", "https://jobs.lever.co/acme/a1", "https://example.com/jobs/1", "https://boards.greenhouse.io/about", None)
     assert jobs.refresh_registry(store, found, at=AT, run_id="r1") == {"raw": 6, "rejected": 3, "accepted": 3, "added": 2, "updated": 1}
