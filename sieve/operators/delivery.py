@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.functions.dates import iso
-from sieve.functions.text import human_join
+from sieve.functions.text import human_join, title_case
+from sieve.functions.vocabulary import GROUPS, OTHER_GROUP
 
 MOST_CHARS = 1500
 
@@ -39,6 +40,34 @@ def split_messages(df: DataFrame, id_col: str, text_col: str, most: int = MOST_C
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, chunk int, text string")
 
 
+def group_ids(tags: Column) -> Column:
+    """Ids of the role groups among a posting's tags, each once."""
+    ids = F.transform(F.filter(tags, lambda x: x.startswith("condition:")), lambda x: F.trim(F.substring(x, len("condition:") + 1, 10_000)))
+    return F.array_distinct(F.filter(ids, lambda x: x != ""))
+
+
+def group_label(ids: Column) -> Column:
+    """Label of the first group in the groups' own order, else of the first id, in title case, else the rest's."""
+    known = (F.when(F.array_contains(ids, key), label) for key, label in GROUPS.items())
+    return F.coalesce(*known, title_case(F.replace(F.get(ids, F.lit(0)), F.lit("_"), F.lit(" "))), F.lit(OTHER_GROUP))
+
+
+def group_place(label: Column) -> Column:
+    """Place of a label in the groups' own order from 1; null for any other."""
+    at = F.array_position(F.array(*map(F.lit, GROUPS.values())), label)
+    return F.when(at > 0, at.cast("int"))
+
+
+def in_groups(rows: DataFrame, rank: str = "rank") -> DataFrame:
+    """Ranked rows with their ``group``, in order: groups in their own order, any others after them by their best row.
+
+    The rows are those of one digest, so its windows see as few as its cap lets through.
+    """
+    named = rows.withColumn("group", group_label(F.col("groups")))
+    best = F.min(rank).over(Window.partitionBy("group"))
+    return named.withColumn("_best", best).orderBy(F.asc_nulls_last(group_place(F.col("group"))), "_best", rank).drop("_best")
+
+
 def preview_title(now: Column, name: str = "Digest", zone: str = "UTC") -> Column:
     """``name`` preview 2026-06-20 09:30, as a clock in the zone shows it."""
     stamp = F.left(F.translate(iso(F.from_utc_timestamp(now, zone)), "T", " "), F.lit(16))

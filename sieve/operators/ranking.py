@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.functions.text import blank, json_object
-from sieve.operators.relational import first_wins, min_fill
+from sieve.operators.relational import first_wins, min_fill, top
 from sieve.operators.rules import rationale, signal_score
 
 THRESHOLD = 70
@@ -69,8 +69,8 @@ def shown(jobs: DataFrame) -> list[str]:
     """The best postings by points as JSON, for a prompt; at most SHOWN rows reach the driver."""
     same = {c: c for c in ("title", "company", "city", "location_text", "department", "employment_type", "posted_at")}
     row = compact(key="stable_key", **same, tags=F.slice("tags", 1, 12), description=F.col("description_text"))
-    top = scored(jobs).orderBy(F.desc("points"), "stable_key").limit(SHOWN)
-    return [r.row for r in top.select(row.alias("row")).collect()]
+    best = top(scored(jobs), [F.desc("points"), F.asc("stable_key")], SHOWN)
+    return [r.row for r in best.select(row.alias("row")).collect()]
 
 
 # Fixed value: what a model is told to return.

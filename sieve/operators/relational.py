@@ -45,13 +45,18 @@ def tally(included: Column, rejected: Column) -> list[Column]:
     ]
 
 
+def top(df: DataFrame, order: list[Column | str], most: int) -> DataFrame:
+    """The first ``most`` rows in an order that leaves no ties: each task keeps as many, and no more are sorted."""
+    return df.orderBy(*order).limit(most)
+
+
 def per_group_cap(df: DataFrame, group: Column | str, order: list[Column], cap: int, most: int) -> DataFrame:
     """At most ``cap`` rows a group and ``most`` in all, in order, with rank 1..n.
 
     The cut to ``most`` is a top-k; only its rows are ranked in one place.
     """
-    top = first_n(df, group, order, cap).orderBy(*order).limit(most)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    best = top(first_n(df, group, order, cap), order, most)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def min_fill(df: DataFrame, score: str, include: str, tie: list[Column], least: int, most: int, threshold: float = 70) -> DataFrame:
@@ -60,8 +65,8 @@ def min_fill(df: DataFrame, score: str, include: str, tie: list[Column], least:
     At most ``most`` of each kind can be selected, so both are top-k's before anything is ranked in one place.
     """
     order = [F.col(score).desc(), *tie]
-    yes = df.where(F.col(include)).orderBy(*order).limit(most).withColumns({"filled": F.lit(False)})
-    no = df.where(~F.coalesce(F.col(include), F.lit(False)) & (F.col(score) >= threshold)).orderBy(*order).limit(min(least, most)).withColumn("filled", F.lit(True))
+    yes = top(df.where(F.col(include)), order, most).withColumns({"filled": F.lit(False)})
+    no = top(df.where(~F.coalesce(F.col(include), F.lit(False)) & (F.col(score) >= threshold)), order, min(least, most)).withColumn("filled", F.lit(True))
     n = df.limit(min(least, most)).count()
     both = yes.unionByName(no).withColumn("rank", F.row_number().over(Window.orderBy("filled", *order)).cast("long"))
     return both.where((~F.col("filled") & (F.col("rank") <= most)) | (F.col("rank") <= n))
@@ -147,7 +152,7 @@ def failure_streak(log: DataFrame, key: str, order: list[str], failed: Column, m
 def poll_spread(boards: DataFrame, token: str, last_polled: Column, seed: str, most: int) -> DataFrame:
     """Least recently polled first, ties spread by hash; a top-k."""
     spread = F.sha2(F.concat(F.lit(seed + ":"), F.col(token).cast("string")), 256)
-    return boards.withColumn("bucket", spread).orderBy(last_polled, "bucket").limit(most)
+    return top(boards.withColumn("bucket", spread), [last_polled, "bucket"], most)
 
 
 def budget_cut(df: DataFrame, group: str, order: list[str], amount: str, budget: float, parts: int = 64) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieve.functions import dates, places, text, urls
-from sieve.functions.vocabulary import ACRONYMS, BRAND_TERMS, GROUPS, INACTIVE, LOW_SIGNAL_TERMS, OTHER_GROUP, SENIOR_TERMS, SIGNAL_TERMS, THEMES
-from sieve.operators import delivery, postings, ranking, relational, rules
-from sieve.plans import jobs
+from sieve.functions.vocabulary import ACRONYMS, BRAND_TERMS, INACTIVE, LOW_SIGNAL_TERMS, SENIOR_TERMS, SIGNAL_TERMS, THEMES
+from sieve.operators import delivery, postings, ranking, relational, rules, source_rules
+from sieve.plans import discovery, jobs
 from sieve.sources import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,7 +168,7 @@ def weighted_score(t):
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60")
 def top_k_stable(t):
-    return t("documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(60)
+    return relational.top(t("documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], ranking.SHOWN)
 
 
 @query("""WITH y AS (SELECT p_partkey, p_retailprice, false AS filled FROM part WHERE p_size = 50 ORDER BY p_retailprice DESC, p_partkey LIMIT 15),
@@ -225,14 +225,10 @@ def ranker_rows_join(t):
     return conv.withColumn("key", F.concat_ws(":", "conv_id", "turn")).join(relational.first_wins(answer, ["key"], ["score"]), "key").select("conv_id", "turn", "role", "score")
 
 
-_HALVES = "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0"
-
-
-@query(f"SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM ({_HALVES}) o FULL JOIN (SELECT c_custkey, -c_acctbal AS c_acctbal FROM customer WHERE c_custkey % 2 = 0) n USING (c_custkey)")
+@query("""SELECT k, arg_max(v, layer) AS v FROM (SELECT p_partkey AS k, p_retailprice AS v, 0 AS layer FROM part UNION ALL SELECT c_custkey, c_acctbal, 1 FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 2 FROM supplier) GROUP BY k""")
 def state_merge(t):
-    c = t("customer")
-    old, new = c.where("c_custkey % 3 <> 0").select("c_custkey", "c_acctbal"), c.where("c_custkey % 2 = 0").select("c_custkey", (-col("c_acctbal")).alias("c_acctbal"))
-    return relational.upsert(old, new, "c_custkey")
+    layers = (("part", "p_partkey", "p_retailprice"), ("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal"))
+    return relational.newest([t(name).select(col(k).alias("k"), col(v).alias("v")) for name, k, v in layers], "k")
 
 
 @query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
@@ -242,10 +238,14 @@ def registry_rollup(t):
     return out.select("user_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")), F.array_join("sample", ",").alias("sample"))
 
 
-@query("SELECT count(DISTINCT user_id) AS added, count(*) - count(DISTINCT user_id) AS updated FROM (SELECT DISTINCT user_id, event_type FROM events)")
+@query("""SELECT count(*) AS accepted, count(DISTINCT user_id) FILTER (NOT known) AS added, count(*) - count(DISTINCT user_id) FILTER (NOT known) AS updated FROM
+    (SELECT DISTINCT user_id, event_type, user_id IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02' AND event_type = 'purchase') AS known FROM events WHERE ts >= TIMESTAMP '2024-01-02')""")
 def registry_refresh_counts(t):
-    refs = t("events").select(col("user_id").alias("board_key"), "event_type").distinct()
-    return jobs.board_counts(refs, refs.limit(0)).select("added", "updated")
+    # boards that the first day's purchases made known, and refs that came after it
+    later = col("ts") >= F.expr("timestamp_ntz'2024-01-02 00:00:00'")
+    e = t("events").withColumn("board_key", col("user_id"))
+    known = e.where(~later & (col("event_type") == "purchase")).select("board_key").distinct()
+    return jobs.board_counts(e.where(later).select("board_key", "event_type").distinct(), known)
 
 
 @query("""SELECT user_id, CAST(coalesce(n, 0) AS BIGINT) AS failure_count, coalesce(n, 0) < 3 AS active FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN
@@ -302,25 +302,21 @@ def union_first_wins(t):
     return relational.first_wins(both, ["k"], ["pri", "id"]).select("k", "id")
 
 
-@query("""SELECT c_mktsegment, array_to_string(list_sort(list(DISTINCT n)), ',') AS nations FROM (SELECT c_mktsegment, c_nationkey AS n FROM customer INTERSECT SELECT 'BUILDING', s_nationkey FROM supplier) GROUP BY 1""")
+@query("""SELECT nation, array_to_string(list_sort(CASE WHEN len(d) = 0 AND len(w) = 0 THEN ['anywhere'] WHEN len(d) = 0 THEN w WHEN len(w) = 0 OR len(list_intersect(d, w)) = 0 THEN d ELSE list_intersect(d, w) END), ',') AS places FROM
+    (SELECT c_nationkey AS nation, coalesce(list(DISTINCT c_mktsegment) FILTER (c_acctbal < 0), []) AS w, coalesce(list(DISTINCT c_mktsegment) FILTER (c_acctbal > 9000), []) AS d FROM customer GROUP BY 1)""")
 def city_intersect(t):
-    both = t("customer").select("c_mktsegment", col("c_nationkey").alias("n")).intersect(t("supplier").select(F.lit("BUILDING"), "s_nationkey"))
-    return both.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("nations"))
-
-
-_PART_GROUP = "['policy_ai', 'legal_regulatory', 'my-own group', ''][(p_partkey % 4) + 1]"
+    named = t("customer").groupBy(col("c_nationkey").alias("nation")).agg(*(F.collect_set(F.when(c, col("c_mktsegment"))).alias(n) for n, c in (("wanted", col("c_acctbal") < 0), ("default", col("c_acctbal") > 9000))))
+    places_of = source_rules.target_places(col("wanted"), col("default"), F.array(F.lit("anywhere")))
+    return named.select("nation", F.array_join(F.array_sort(places_of), ",").alias("places"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Policy / AI Governance' WHEN 1 THEN 'Legal / Regulatory' WHEN 2 THEN 'My-Own Group' ELSE 'Other Strong Matches' END AS label,
-    CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 99 END AS ord FROM part""")
+@query("""SELECT *, CASE label WHEN 'Legal / Regulatory' THEN 2 WHEN 'Policy / AI Governance' THEN 3 WHEN 'Investing / Venture' THEN 4 ELSE 99 END AS ord FROM (SELECT p_partkey,
+    CASE p_partkey % 4 WHEN 0 THEN 'Policy / AI Governance' WHEN 1 THEN 'Legal / Regulatory' WHEN 2 THEN CASE WHEN p_size > 25 THEN 'Investing / Venture' ELSE 'My-Own Group' END ELSE 'Other Strong Matches' END AS label FROM part)""")
 def group_label(t):
-    known = F.create_map(*(F.lit(x) for pair in GROUPS.items() for x in pair))
-    tag = F.expr("element_at(array('condition:policy_ai', 'condition:legal_regulatory', 'condition:my-own group', 'other'), cast(p_partkey % 4 as int) + 1)")
-    ids = F.array_distinct(F.transform(F.filter(F.array(tag), lambda x: x.startswith("condition:")), lambda x: F.substring(x, 11, 1000)))
-    first = F.get(ids, F.lit(0))
-    label = F.coalesce(F.try_element_at(known, first), text.title_case(first), F.lit(OTHER_GROUP))
-    place = F.array_position(F.array(*(F.lit(g) for g in GROUPS.values())), label)
-    return t("part").select("p_partkey", label.alias("label"), F.when(place > 0, place.cast("int")).otherwise(99).alias("ord"))
+    tags = F.expr("""CASE p_partkey % 4 WHEN 0 THEN array('remote', 'condition:policy_ai') WHEN 1 THEN array('condition:legal_regulatory', 'condition:policy_ai')
+        WHEN 2 THEN filter(array('condition:my-own_group', CASE WHEN p_size > 25 THEN 'condition:investing_venture' END), x -> x IS NOT NULL) ELSE array('other', 'condition:') END""")
+    label = delivery.group_label(delivery.group_ids(tags))
+    return t("part").select("p_partkey", label.alias("label"), F.coalesce(delivery.group_place(label), F.lit(99)).alias("ord"))
 
 
 _THEMES = {"articles": ("the", "die", "le"), "joins": ("and", "und", "et"), "rights": ("license", "public license")}
@@ -333,9 +329,13 @@ def theme_counts(t):
     return relational.leading(rows, "theme", "theme", 3, 3).select("theme", "n")
 
 
-@query("SELECT source, count(*) AS fetched, count(*) FILTER (lang = 'en') AS normalized, CAST(max(n_chars) AS BIGINT) AS longest FROM documents GROUP BY source")
+@query("""SELECT source AS source_id, CASE WHEN source IS NULL THEN 0 ELSE count(*) END AS fetched_count,
+    CASE WHEN source IS NULL THEN 0 WHEN source = 'src0' THEN count(*) FILTER (lang = 'en' AND n_chars > 500) ELSE count(*) FILTER (lang = 'en') END AS normalized_count FROM documents GROUP BY source""")
 def source_metrics(t):
-    return t("documents").groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(col("lang") == "en").alias("normalized"), F.max("n_chars").alias("longest"))
+    met = t("documents").select(col("source").alias("source_id"), F.coalesce(col("lang") == "en", F.lit(False)).alias("kept"), "n_chars")
+    two_step = F.when(col("source_id") == "src0", "greenhouse").otherwise("lever")
+    answers = met.select("source_id").distinct().withColumns({"adapter": two_step, "ok": F.lit(True), "error": F.lit(""), "elapsed_ms": F.lit(1), "_rules": F.struct(col("source_id").alias("source_name"))})
+    return discovery.source_results(answers, met, met.where("kept AND n_chars > 500")).select("source_id", "fetched_count", "normalized_count")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
@@ -486,10 +486,10 @@ def run_history_merge(t):
     return relational.first_wins(both, ["o_custkey"], ["pri", "o_orderkey"]).drop("pri")
 
 
-@query("SELECT c_custkey, arg_max(v, pri) AS v FROM (SELECT c_custkey, c_name AS v, 0 AS pri FROM customer UNION ALL SELECT c_custkey, c_mktsegment, 1 FROM customer WHERE c_custkey % 4 = 0) GROUP BY 1")
+@query("SELECT k, arg_max(v, pri) AS v FROM (SELECT c_custkey AS k, c_name AS v, 0 AS pri FROM customer UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier) GROUP BY k")
 def dict_upsert(t):
-    c = t("customer")
-    return relational.upsert(c.select("c_custkey", col("c_name").alias("v")), c.where("c_custkey % 4 = 0").select("c_custkey", col("c_mktsegment").alias("v")), "c_custkey")
+    held = t("customer").select(col("c_custkey").alias("k"), col("c_name").alias("v"))
+    return relational.upsert(held, t("supplier").select(col("s_suppkey").alias("k"), col("s_name").alias("v")), "k")
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'not a date' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS parsed FROM orders")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieve.functions import dates, text, urls
-from sieve.functions.vocabulary import ACRONYMS, GROUPS, OTHER_GROUP, THEMES
+from sieve.functions.vocabulary import ACRONYMS, THEMES
 from sieve.operators import delivery, relational
 from sieve.operators.postings import normalize  # noqa: F401  part of this module's interface
 from sieve.operators.source_rules import source_id
@@ -136,18 +136,13 @@ def report(counters: dict, rows: list[dict] = (), as_json: bool = False) -> tupl
 
 
 def digest_rows(store: StateStore, settings: Settings, include_sent: bool = False) -> list:
-    """Included postings not sent yet, capped by company and in all: at most ``most_jobs`` rows reach the driver."""
+    """Included postings not sent yet, group by group, capped by company and in all: at most ``most_jobs`` rows reach the driver."""
     rows = store.read("evaluated_jobs").where("status = 'included'").select("stable_key", "score", "why_cool", "reason", "groups", "job.*")
     if not include_sent:
         rows = relational.without(rows, store.read("sent_jobs").select("stable_key"), "stable_key")
     company = F.coalesce(text.present(F.lower(F.trim("company"))), F.col("source_id"))
-    return relational.per_group_cap(rows, company, [F.desc("score"), F.desc("fetched_at"), F.asc("stable_key")], settings.most_per_company, settings.most_jobs).orderBy("rank").collect()
-
-
-def _group(row) -> str:
-    """Label of a row's first known group in their order, else its first id in title case, else the rest's."""
-    ids = row["groups"] or []
-    return next((label for key, label in GROUPS.items() if key in ids), ids[0].replace("_", " ").title() if ids else OTHER_GROUP)
+    best = relational.per_group_cap(rows, company, [F.desc("score"), F.desc("fetched_at"), F.asc("stable_key")], settings.most_per_company, settings.most_jobs)
+    return delivery.in_groups(best).collect()
 
 
 def _leading(spark, values: list[str], least: int, most: int) -> list[str]:
@@ -156,14 +151,14 @@ def _leading(spark, values: list[str], least: int, most: int) -> list[str]:
 
 
 def trend_of(spark, rows: list) -> str:
-    """Sentence on the leading places and themes of the chosen rows, bounded by their cap."""
+    """Sentence on the leading places and themes of the chosen rows (as ``digest_rows`` gives them), bounded by their cap."""
 
     def says(row, terms) -> bool:
         said = " ".join((str(row[c] or "")[:TREND_CHARS] if c == "description_text" else str(row[c] or "")) for c in ("company", "title", "department", "description_text", "why_cool", "reason")).lower()
         return any(re.search(text.pattern_of(t), said) for t in terms)
 
     cities = _leading(spark, [r["city"] for r in rows if r["city"]], 2, 3)
-    themes = _leading(spark, [name for r in rows for name, terms in THEMES.items() if says(r, terms)], 3, 3) or [g.lower() for g in _leading(spark, [_group(r) for r in rows], 2, 2)]
+    themes = _leading(spark, [name for r in rows for name, terms in THEMES.items() if says(r, terms)], 3, 3) or [g.lower() for g in _leading(spark, [r["group"] for r in rows], 2, 2)]
     lists = spark.createDataFrame([(cities, themes)], "c array<string>, t array<string>")
     return lists.select(delivery.trend_sentence(F.col("c"), F.col("t")).alias("s")).first().s
 
@@ -178,10 +173,8 @@ def weekly_digest(store: StateStore, *, now: str, run_id: str, settings: Setting
     if not force and store.read("sent_weeks").where(F.col("week_key") == when.week).head(1):
         return {"status": "already_sent", "week": when.week}
     rows = digest_rows(store, settings)
-    order = list(GROUPS.values())
-    rows = sorted(rows, key=lambda r: order.index(_group(r)) if _group(r) in order else len(order))
     week = spark.range(1).select(dates.week_range(dates.monday_of(F.lit(when.week))).alias("w")).first().w
-    lines = [{"group": _group(r), "company": r["company"], "title": r["title"], "place": r["city"] or r["location_text"], "why": r["why_cool"] or r["reason"], "url": r["apply_url"] or r["canonical_url"]} for r in rows]
+    lines = [{"group": r["group"], "company": r["company"], "title": r["title"], "place": r["city"] or r["location_text"], "why": r["why_cool"] or r["reason"], "url": r["apply_url"] or r["canonical_url"]} for r in rows]
     message = delivery.digest_text(lines, week=week, trend=trend_of(spark, rows) if rows else "", greeting=greeting, sign_off=sign_off)
     out = {"status": "preview", "week": when.week, "selected": len(rows), "message": message}
     if dry_run or not (rows or settings.send_empty):

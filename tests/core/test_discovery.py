@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieve.functions import text
-from sieve.operators import frontier, source_rules
+from sieve.operators import delivery, frontier, source_rules
 from sieve.plans import discovery, jobs
 from sieve.settings import Settings
 from sieve.sources import outcomes
@@ -182,8 +182,17 @@ def test_every_entity(spark):
 
 
 def test_trend_and_groups_of_a_digest(spark):
-    class Row(dict):
-        pass
+    rows = [dict(title="Lead", company="Co", department="", description_text="x" * 590 + " policy " + "later venture capital", why_cool="", reason="", city="Sydney", tags=["venture"], groups=["odd_kind"], rank=n) for n in range(3)]
+    rows = [r.asDict() for r in delivery.in_groups(spark.createDataFrame(rows)).collect()]
+    assert rows[0]["group"] == "Odd Kind" and "odd kind" in jobs.trend_of(spark, [r | {"description_text": ""} for r in rows])
 
-    rows = [Row(title="Lead", company="Co", department="", description_text="x" * 590 + " policy " + "later venture capital", why_cool="", reason="", city="Sydney", tags=["venture"], groups=["odd_kind"]) for _ in range(3)]
-    assert jobs._group(rows[0]) == "Odd Kind" and "odd kind" in jobs.trend_of(spark, [r | {"description_text": ""} for r in rows])
+
+def test_rows_of_a_digest_stand_group_by_group(spark):
+    """Groups in their own order, then others in the order of their best rows; a row's first known group counts."""
+    held = [(1, ["zeta_kind"]), (2, ["policy_ai"]), (3, []), (4, ["zeta_kind", "strategy_operations"]), (5, ["alpha"]), (6, ["zeta_kind"]), (7, None), (8, ["frontier_tech_startups", "policy_ai"])]
+    got = delivery.in_groups(spark.createDataFrame(held, "rank int, groups array<string>")).collect()
+    assert [(r["rank"], r.group) for r in got] == [
+        (4, "Strategy / Operations"), (2, "Policy / AI Governance"), (8, "Policy / AI Governance"), (1, "Zeta Kind"), (6, "Zeta Kind"), (3, "Other Strong Matches"), (7, "Other Strong Matches"), (5, "Alpha"),
+    ]
+    tags = spark.createDataFrame([(["a", "condition: policy_ai ", "condition:", "condition:policy_ai", "condition:b"],), ([],), (None,)], "t array<string>")
+    assert [r.i for r in tags.select(delivery.group_ids(F.col("t")).alias("i")).collect()] == [["policy_ai", "b"], [], None]
