@@ -61,7 +61,7 @@ def stable_key(source_id: Column, external_id: Column, url: Column, company: Col
 def strip_html(c: Column, most: int = 12000) -> Column:
     """Entities resolved, scripts, styles and tags dropped, entities resolved again, cleaned."""
     text = unescape(blank(c))
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
+    text = F.regexp_replace(text, r"(?is)<(script|style).*?</\1>", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
     return clean_text(unescape(text), most)
 

@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB SQL, and functions on odd values."""
 
+import html
 import random
 import re
 
@@ -43,6 +44,30 @@ def test_functions(spark):
     assert value(spark, text.clean_text(F.lit(None))) == "" and value(spark, text.strip_html(F.lit("<p>a&amp;b</p><script>x</script>"))) == "a&b"
 
 
+def plain(page):
+    """What the reference does to a page, in Python."""
+    found = re.sub(r"<(script|style).*?</\1>", " ", html.unescape(page), flags=re.I | re.S)
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", found)).split())[:12000]
+
+
+def on_pages(spark, where, name, pages):
+    """Rows of a query and of its SQL over these pages, page 1 first."""
+    path = str(where / "pages.parquet")
+    spark.createDataFrame([(i, f"https://a.example/{i}", p) for i, p in enumerate(pages, 1)], "page_id long, url string, html string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    found = [tuple(r) for r in QUERIES[name](spark, str(where)).collect()], con.execute(ORACLES[name]).fetchall()
+    return [sorted(rows, key=lambda r: int(r[0])) for rows in found]
+
+
+BLOCKS = ["a<scripty>b</script>c", "a<StyleSheet x='1'>b</STYLE>c", "a<script2\n>b</script>c<style>d</style>e", "a<scripts>b<script>c</script>d</scripts>e", "a<script>b</style>c</script>d", "<style>a"]
+
+
+def test_blocks_by_the_letters_they_begin_with(spark, tmp_path):
+    rows, sql = on_pages(spark, tmp_path, "strip_html", BLOCKS)
+    assert rows == sql == [(i, plain(p)) for i, p in enumerate(BLOCKS, 1)]
+
+
 def test_cap_and_fill(spark):
     jobs = spark.createDataFrame([(1, "A", 9.0), (2, "A", 8.0), (3, "A", 7.0), (4, "B", 6.0), (5, "C", 5.0)], "id int, company string, score double")
     top = relational.per_group_cap(jobs, "company", [F.desc("score"), F.asc("id")], 2, 4)
