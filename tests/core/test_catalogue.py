@@ -68,6 +68,12 @@ def test_blocks_by_the_letters_they_begin_with(spark, tmp_path):
     assert rows == sql == [(i, plain(p)) for i, p in enumerate(BLOCKS, 1)]
 
 
+def test_blocks_of_normalized_rows(spark, tmp_path):
+    pages = [f"<title>t</title>{p}" for p in BLOCKS]
+    rows, sql = on_pages(spark, tmp_path, "normalize_rows", pages)
+    assert rows == sql and [(r[0], r[-1]) for r in rows] == [(str(i), plain(p)) for i, p in enumerate(pages, 1) if i % 3 != 2]
+
+
 def test_cap_and_fill(spark):
     jobs = spark.createDataFrame([(1, "A", 9.0), (2, "A", 8.0), (3, "A", 7.0), (4, "B", 6.0), (5, "C", 5.0)], "id int, company string, score double")
     top = relational.per_group_cap(jobs, "company", [F.desc("score"), F.asc("id")], 2, 4)
